@@ -12,12 +12,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 MARKS = "▁ "
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_piece(pieces: pd.Series) -> pd.Series:
     def one(p):
         if p is None:

@@ -1,5 +1,6 @@
 """Queries of the operators for training data, and their SQL."""
 
+from cadenza.llm.clusters import density_clusters, enrolled, linked_groups
 from cadenza.llm.neighbours import nearest_vectors, neighbour_pairs
 from cadenza.llm.pieces import split_clips
 from cadenza.llm.runs import collapse_runs, repeated_runs
@@ -9,6 +10,8 @@ QUERIES = {
     "p2_found": lambda spark, d: repeated_runs(table(spark, d, "token_windows"), table(spark, d, "token_pieces")),
     "p2_collapsed": lambda spark, d: collapse_runs(table(spark, d, "token_windows"), table(spark, d, "token_pieces")),
     "p3_found": lambda spark, d: split_clips(table(spark, d, "clips"), table(spark, d, "vad_frames")),
+    "p4_found": lambda spark, d: linked_groups(enrolled(table(spark, d, "speaker_params"))),
+    "p4_clusters": lambda spark, d: density_clusters(enrolled(table(spark, d, "speaker_params"))),
     "p5_found": lambda spark, d: neighbour_pairs(nearest_vectors(table(spark, d, "speaker_params"))),
 }
 

@@ -1,9 +1,11 @@
 """Queries of the operators for training data, and their SQL."""
 
 from cadenza.llm.clusters import density_clusters, enrolled, linked_groups
+from cadenza.llm.leaks import leak_report, leaked_items
 from cadenza.llm.neighbours import nearest_vectors, neighbour_pairs
 from cadenza.llm.pieces import split_clips
 from cadenza.llm.runs import collapse_runs, repeated_runs
+from cadenza.llm.tokens import encode_texts
 from cadenza.session import table
 
 QUERIES = {
@@ -13,6 +15,9 @@ QUERIES = {
     "p4_found": lambda spark, d: linked_groups(enrolled(table(spark, d, "speaker_params"))),
     "p4_clusters": lambda spark, d: density_clusters(enrolled(table(spark, d, "speaker_params"))),
     "p5_found": lambda spark, d: neighbour_pairs(nearest_vectors(table(spark, d, "speaker_params"))),
+    "p6_ids": lambda spark, d: encode_texts(table(spark, d, "documents")),
+    "p7_found": lambda spark, d: leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")),
+    "p7_report": lambda spark, d: leak_report(table(spark, d, "documents"), table(spark, d, "eval_items")),
 }
 
 _RUNS = """

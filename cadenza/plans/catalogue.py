@@ -1,8 +1,8 @@
 """All queries of the core, with their SQL."""
 
-from cadenza.plans import coverage
+from cadenza.plans import coverage, intervals
 
-_MODULES = [coverage]
+_MODULES = [coverage, intervals]
 
 
 def queries() -> dict:

@@ -1,8 +1,8 @@
 """All queries of the core, with their SQL."""
 
-from cadenza.plans import coverage, intervals
+from cadenza.plans import coverage, evaluation, intervals
 
-_MODULES = [coverage, intervals]
+_MODULES = [coverage, intervals, evaluation]
 
 
 def queries() -> dict:

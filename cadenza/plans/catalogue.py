@@ -1,8 +1,8 @@
 """All queries of the core, with their SQL."""
 
-from cadenza.plans import coverage, evaluation, intervals
+from cadenza.plans import coverage, evaluation, intervals, signals
 
-_MODULES = [coverage, intervals, evaluation]
+_MODULES = [coverage, intervals, evaluation, signals]
 
 
 def queries() -> dict:

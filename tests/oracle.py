@@ -17,7 +17,7 @@ def database(directory: str):
 
 
 def canon(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)) or v is pd.NaT:
+    if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)) or v is pd.NaT:
         return None
     if isinstance(v, float):
         return float(f"{v:.9g}")

@@ -1,8 +1,8 @@
 """All queries of the core, with their SQL."""
 
-from cadenza.plans import coverage, evaluation, intervals, likeness, signals
+from cadenza.plans import alignment, coverage, evaluation, intervals, likeness, signals
 
-_MODULES = [coverage, intervals, evaluation, signals, likeness]
+_MODULES = [coverage, intervals, evaluation, signals, likeness, alignment]
 
 
 def queries() -> dict:

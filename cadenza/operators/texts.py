@@ -47,4 +47,4 @@ def filtered_top(df: DataFrame, keys: list[str], fits: Column, logit: str, token
     g = df.groupBy(*keys).agg(best, top)
     z = df.join(g.select(*keys, "_m"), keys).groupBy(*keys).agg(F.sum(F.exp(F.col(logit) - F.col("_m"))).alias("_z"))
     p = F.exp(F.col("_b.l") - F.col("_m")) / F.col("_z")
-    return g.join(z, keys).select(*keys, (-F.col("_b.t")).alias(token), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("probability"))
+    return g.join(z, keys).select(*keys, (-F.col("_b.t")).alias(token), F.when(p.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))).alias("probability"))

@@ -1,8 +1,8 @@
 """All queries of the core, with their SQL."""
 
-from cadenza.plans import alignment, coverage, evaluation, intervals, language, likeness, signals
+from cadenza.plans import alignment, coverage, decoding, evaluation, intervals, language, likeness, signals
 
-_MODULES = [coverage, intervals, evaluation, signals, likeness, alignment, language]
+_MODULES = [coverage, intervals, evaluation, signals, likeness, alignment, language, decoding]
 
 
 def queries() -> dict:

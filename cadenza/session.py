@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -48,16 +47,15 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"cadenza-{uuid.uuid4().hex}")
+    path = f"{shared_dir(spark)}/cadenza-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._cadenza_path = path
+    return back
 
 
-def drop_materialised(*frames: DataFrame) -> None:
-    """Free tables written by :func:`materialise` once nothing reads them any more."""
+def drop(*frames: DataFrame) -> None:
+    """Delete tables written by :func:`materialise` that nothing reads any more."""
     for df in frames:
-        spark = df.sparkSession
-        for file in {os.path.dirname(f) for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            if path.getName().startswith("cadenza-"):
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cadenza_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

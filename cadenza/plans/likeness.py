@@ -8,7 +8,7 @@ from cadenza.operators.intervals import collar_trim, merged, overlap_join, overl
 from cadenza.plans.evaluation import rounded
 from cadenza.plans.intervals import SEG, domain, hypothesis, merge_sql, segments
 from cadenza.plans.signals import TOK, tokens
-from cadenza.session import table
+from cadenza.session import materialise, table
 
 
 def vecs(s, d):
@@ -40,6 +40,12 @@ def mapping(s, d):
     return X.best_mapping(M.co_occurrence(segments(s, d), hypothesis(s, d), 10), "rec", "spk", "hyp", "frames")
 
 
+def frame_errors(s, d):
+    ref, hyp = materialise(merged(segments(s, d), ["rec", "spk"])), materialise(merged(hypothesis(s, d), ["rec", "hyp"]))
+    chosen = X.best_mapping(M.co_occurrence(ref, hyp, 10), "rec", "spk", "hyp", "frames")
+    return M.frame_errors(ref, hyp, chosen, 10)
+
+
 def jaccard(s, d):
     """Interval scoring: collars and overlaps left out, then miss, false alarm and the speakers' mean Jaccard error."""
     seg = segments(s, d)
@@ -49,8 +55,9 @@ def jaccard(s, d):
     def inside(df, who):
         return merged(overlap_join(df, scored, ["rec"]).select("rec", who, "s", "e"), ["rec", who])
 
-    a, b = inside(seg, "spk"), inside(hypothesis(s, d), "hyp")
-    both = overlap_length(a, b, ["rec"], ["rec", "spk", "hyp"])
+    # each is read several times below
+    a, b = materialise(inside(seg, "spk")), materialise(inside(hypothesis(s, d), "hyp"))
+    both = materialise(overlap_length(a, b, ["rec"], ["rec", "spk", "hyp"]))
     chosen = X.best_mapping(both, "rec", "spk", "hyp", "overlap")
     la = a.groupBy("rec", "spk").agg(F.sum(F.col("e") - F.col("s")).alias("x"))
     lb = b.groupBy("rec", "hyp").agg(F.sum(F.col("e") - F.col("s")).alias("y"))
@@ -87,8 +94,8 @@ QUERIES = {
     "lookup_chain": lambda s, d: X.lookup_chain(words(s, d), [
         terms(s, d).select(F.col("term").alias("word"), F.upper("term").alias("value")), words(s, d).select("word").distinct().filter("word LIKE '%s'").select("word", F.expr("substr(word, 1, length(word) - 1)").alias("value"))]).na.fill(-1, ["stage"]),
     "optimal_assignment": lambda s, d: mapping(s, d).groupBy("rec").agg(F.count(F.lit(1)).alias("pairs")),
-    "der_frames": lambda s, d: rounded(M.frame_errors(segments(s, d), hypothesis(s, d), mapping(s, d), 10)),
-    "der_miss_fa": lambda s, d: M.frame_errors(segments(s, d), hypothesis(s, d), mapping(s, d), 10).select("rec", "total", "missed", "false_alarm"),
+    "der_frames": lambda s, d: rounded(frame_errors(s, d)),
+    "der_miss_fa": lambda s, d: frame_errors(s, d).select("rec", "total", "missed", "false_alarm"),
     "jer": lambda s, d: rounded(jaccard(s, d), 4),
     "greedy_spans": lambda s, d: rounded(X.pick_apart(X.spans(words(s, d), ["item_id"], "at", 3).withColumn("score", (F.length("glued") % 7) / 7.0), "item_id", "at", "n", "score", "phrase")),
     "registry_upsert": lambda s, d: R.upsert(voices(s, d).filter("length(id) > 0 AND substr(id, -1, 1) < '7'"), voices(s, d).filter("substr(id, -1, 1) > '4'").withColumn("duration", F.col("duration") + 1), "id").select("id", "duration"),

@@ -11,16 +11,22 @@ from cadenza.operators.sessions import fold
 BLOCK = 8192  # query vectors that are broadcast at once
 
 
-def _matrix(column, dim: int) -> np.ndarray:
+def _matrix(column, dim: int, unit: bool = True) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
     n = np.sqrt((x * x).sum(1, keepdims=True))
-    return x / np.where(n > 0, n, 1)
+    return x / np.where(n > 0, n, 1) if unit else x
 
 
-def cosine_pairs(queries: DataFrame, rows: DataFrame, k: int | None = None, within: float | None = None, block: int = BLOCK) -> DataFrame:
-    """``q, id, distance`` of each query's ``k`` nearest rows and/or all rows at distance at most ``within``; itself left out.
+def _distances(a: np.ndarray, b: np.ndarray, cosine: bool) -> np.ndarray:
+    if cosine:
+        return 1 - np.clip(a @ b.T, -1, 1)
+    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T), 0))
+
+
+def cosine_pairs(queries: DataFrame, rows: DataFrame, k: int | None = None, within: float | None = None, block: int = BLOCK, cosine: bool = True) -> DataFrame:
+    """``q, id, distance`` (cosine or Euclidean) of each query's ``k`` nearest rows and/or all rows at distance at most ``within``; itself left out.
 
     Both sides have ``id long, v array<float>`` (null, empty, zero and non-finite vectors don't take part).  The queries
     are a stated set; they are broadcast in blocks of at most ``block`` vectors, and every block meets all rows as matrix
@@ -34,11 +40,11 @@ def cosine_pairs(queries: DataFrame, rows: DataFrame, k: int | None = None, with
     if not head:
         return rows.sparkSession.createDataFrame([], "q long, id long, distance double, rank int").drop(*([] if k else ["rank"]))
     dim, spark = len(head[0]["v"]), rows.sparkSession
-    n = max(1, -(-queries.count() // (block * 3 // 4)))
+    n = max(1, -(-queries.count() // max(1, block * 3 // 4)))
     parts = []
     for i in range(n):
         got = queries.filter((F.size("v") == dim) & (F.pmod(F.xxhash64("id"), F.lit(n)) == i)).toArrow()
-        parts.append(_block(spark, rows, got, dim, k, within))
+        parts.append(_block(spark, rows, got, dim, k, within, cosine))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -48,8 +54,8 @@ def cosine_pairs(queries: DataFrame, rows: DataFrame, k: int | None = None, with
     return out.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _block(spark, rows: DataFrame, got: pa.Table, dim: int, k: int | None, within: float | None) -> DataFrame:
-    shared = spark.sparkContext.broadcast((got.column("id").to_numpy(), _matrix(got.column("v"), dim) if got.num_rows else np.empty((0, dim))))
+def _block(spark, rows: DataFrame, got: pa.Table, dim: int, k: int | None, within: float | None, cosine: bool) -> DataFrame:
+    shared = spark.sparkContext.broadcast((got.column("id").to_numpy(), _matrix(got.column("v"), dim, cosine) if got.num_rows else np.empty((0, dim))))
     schema = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
 
     def run(batches):
@@ -58,7 +64,7 @@ def _block(spark, rows: DataFrame, got: pa.Table, dim: int, k: int | None, withi
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             if not len(q) or not len(ids):
                 continue
-            d = 1 - np.clip(_matrix(batch.column(1), dim) @ q.T, -1, 1)
+            d = _distances(_matrix(batch.column(1), dim, cosine), q, cosine)
             d[ids[:, None] == names[None, :]] = np.inf
             d = np.round(d, 12)
             keep = d < np.inf if within is None else d <= within

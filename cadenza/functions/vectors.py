@@ -11,6 +11,11 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluates ``value`` once for ``body``; inside another lambda it would be evaluated for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
 
@@ -30,8 +35,7 @@ def is_embedding(a: Column, least_norm: float = 0.1) -> Column:
 
 def l2(a: Column) -> Column:
     """Scaled to length one; a zero vector stays."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    return let(norm(a), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -52,19 +56,16 @@ def euclidean(a: Column, b: Column) -> Column:
 
 
 def log_sum_exp(a: Column) -> Column:
-    top = F.array_max(a).cast("double")
-    return top + F.log(_sum(F.transform(a, lambda x: F.exp(x - top))))
+    return let(F.array_max(a).cast("double"), lambda top: top + F.log(_sum(F.transform(a, lambda x: F.exp(x - top)))))
 
 
 def softmax(a: Column) -> Column:
-    z = log_sum_exp(a)
-    return F.transform(a, lambda x: F.exp(x - z))
+    return let(log_sum_exp(a), lambda z: F.transform(a, lambda x: F.exp(x - z)))
 
 
 def log_softmax(a: Column, temperature: float = 1.0) -> Column:
     scaled = F.transform(a, lambda x: x.cast("double") / temperature)
-    z = log_sum_exp(scaled)
-    return F.transform(scaled, lambda x: x - z)
+    return let(log_sum_exp(scaled), lambda z: F.transform(scaled, lambda x: x - z))
 
 
 def log_add(a: Column, b: Column) -> Column:
@@ -117,7 +118,7 @@ def sigmoid(x: Column) -> Column:
 def exclusive_scores(p: Column, floor: float) -> Column:
     """How much each speaker has a frame alone, in logs, from its probabilities."""
     rest = _sum(F.transform(p, lambda x: F.log1p(-F.least(x.cast("double"), F.lit(1 - floor)))))
-    return F.transform(p, lambda x: F.log(F.greatest(x.cast("double"), F.lit(floor))) - F.log1p(-F.least(x.cast("double"), F.lit(1 - floor))) + 0.6931471805599453 + rest)
+    return let(rest, lambda r: F.transform(p, lambda x: F.log(F.greatest(x.cast("double"), F.lit(floor))) - F.log1p(-F.least(x.cast("double"), F.lit(1 - floor))) + 0.6931471805599453 + r))
 
 
 def sanitized(x: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cadenza.llm.pivots import Cell, pivot_count, postings, sample_pivots
 
-POST, PREFIX, RERANK = 5, 8, 768
+POST, PREFIX, RERANK = 5, 8, 1536
 
 
 def nearest_vectors(vectors: DataFrame, k: int = 5, least: float = 0.6, dim: int = 256, least_norm: float = 0.1,

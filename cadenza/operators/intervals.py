@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cadenza.operators.coverage import finite, latest_by, periods_and_gaps
+from cadenza.operators.sharded import centred_sums, running_sum, with_neighbours
 
 BIN = 60_000
 
@@ -123,9 +124,10 @@ def bridge_same_speaker(df: DataFrame, gap: int) -> DataFrame:
 
     Returns ``rec, spk, s, e, parts``; rows tied on their start are ordered by end and speaker.
     """
-    w = W.partitionBy("rec").orderBy("s", "e", "spk")
-    x = df.withColumn("turn", F.when(F.lag("spk").over(w) == F.col("spk"), 0).otherwise(1))
-    x = x.withColumn("turn", F.sum("turn").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    order = ["s", "e", "spk", "_id"]
+    x = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_h", F.floor(F.col("s") / BIN))  # like rows are told apart
+    x = with_neighbours(x, ["rec"], "_h", order, before={"_last": "spk"})
+    x = running_sum(x, ["rec"], "_h", order, F.when(F.col("_last") == F.col("spk"), 0).otherwise(1), "turn")
     run = W.partitionBy("rec", "turn").orderBy("s", "e")
     seen = F.max("e").over(run.rowsBetween(W.unboundedPreceding, -1))
     x = x.withColumn("part", F.when(seen.isNull() | (F.col("s") - seen > gap), 1).otherwise(0))
@@ -168,6 +170,6 @@ def runs(df: DataFrame, keys: list[str], at: str, flag: Column) -> DataFrame:
 
 def majority(df: DataFrame, keys: list[str], at: str, flag: Column, half: int) -> DataFrame:
     """Centred majority filter, cut off at the ends: set if at least half the rows within ``half`` rows are set."""
-    w = W.partitionBy(*keys).orderBy(at).rowsBetween(-half, half)
-    on = F.when(flag, 1).otherwise(0)
-    return df.withColumn("on", 2 * F.sum(on).over(w) >= F.count(F.lit(1)).over(w))
+    x = df.withColumn("_h", F.floor(F.col(at) / 4096))
+    x = centred_sums(x, keys, "_h", [at], half, {"_on": F.when(flag, 1).otherwise(0), "_all": F.lit(1)})
+    return x.withColumn("on", 2 * F.col("_on") >= F.col("_all")).drop("_h", "_on", "_all")

@@ -7,7 +7,9 @@ values; they are computed by window ranks, so no group is held in memory.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from cadenza.operators.sharded import running_sum
 
 
 def ratio(top: Column, below: Column) -> Column:
@@ -20,15 +22,18 @@ def measured(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, object]) -> DataFrame:
+def at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, object], ranges: int = 32) -> DataFrame:
     """Values at given positions (functions of the group's size n, from 0) of the sorted values; nulls are left out.
 
-    Positions are exact.  Sorting by (value, number of its copies) pre-aggregates equal values, so a hot group
-    reaches its window with one row per distinct value.
+    Positions are exact.  Equal values are counted before the shuffle; a group is spread over ranges of values cut at
+    approximate quantiles of the whole column (at most ``ranges`` numbers reach the driver).
     """
-    v = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = W.partitionBy(*keys)
-    v = v.withColumn("_to", F.sum("_c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    real = df.filter(F.col(value).isNotNull())
+    cuts = sorted(set(real.approxQuantile(value, [i / ranges for i in range(1, ranges)], 0.001))) if ranges > 1 else []
+    v = real.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    v = v.withColumn("_h", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(value))) if cuts else F.lit(0))
+    total = v.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    v = running_sum(v, keys, "_h", [value], F.col("_c"), "_to").join(total, keys)
     picks = [F.min(F.when(F.col("_to") > rank(F.col("_n")), F.col(value))).alias(name) for name, rank in ranks.items()]
     return v.groupBy(*keys).agg(*picks)
 

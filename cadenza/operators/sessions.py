@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cadenza.operators.intervals import bridge_gaps, merged, runs
+from cadenza.operators.sharded import last_known, running_sum
 
 RATE, FRAME = 16_000, 4096
 
@@ -64,7 +65,8 @@ def hysteresis(df: DataFrame, keys: list[str], at: str, value: str, onset: float
     """Adds ``on``: set from a value above ``onset`` while values are at least ``offset``.  Null and NaN values change nothing."""
     v = F.col(value)
     mark = F.when(v.isNull() | F.isnan(v), None).when(v > onset, True).when(v < offset, False)
-    return df.withColumn("on", F.coalesce(F.last(mark, ignorenulls=True).over(W.partitionBy(*keys).orderBy(at).rowsBetween(W.unboundedPreceding, 0)), F.lit(False)))
+    x = last_known(df.withColumn("_h", F.floor(F.col(at) / 4096)), keys, "_h", [at], mark, "on").drop("_h")
+    return x.withColumn("on", F.coalesce("on", F.lit(False)))
 
 
 def hysteresis_segments(df: DataFrame, keys: list[str], at: str, value: str, onset: float, offset: float) -> DataFrame:
@@ -108,8 +110,7 @@ def top_per_frame(df: DataFrame, rec: str, frame: str, cluster: str, value: str,
     n = df.groupBy(rec, frame).agg(F.bround(F.avg(expected)).alias("n"))
     rank = F.row_number().over(W.partitionBy(rec, frame).orderBy(F.desc("sum"), cluster))
     kept = x.withColumn("r", rank).join(n, [rec, frame]).filter(F.col("r") <= F.col("n"))
-    w = W.partitionBy(rec, cluster).orderBy(frame)
-    kept = kept.withColumn("g", F.col(frame) - F.row_number().over(w))
+    kept = running_sum(kept.withColumn("_h", F.floor(F.col(frame) / 4096)), [rec, cluster], "_h", [frame], F.lit(1), "g").withColumn("g", F.col(frame) - F.col("g"))
     return kept.groupBy(rec, cluster, "g").agg(F.min(frame).alias("s"), (F.max(frame) + 1).alias("e"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg("mean"))).alias("quality")).drop("g")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cadenza.operators.sessions import fold, per_key
+from cadenza.operators.sharded import running_sum, with_neighbours
 
 TOKEN_FRAME = 0.08
 SAMPLES = 1280
+SHARD = 4096  # frames of a key in one task
 MARK = "▁"
 
 
@@ -36,17 +38,18 @@ def frame_seconds(frame: Column, start: float, step: float) -> Column:
 
 def token_times(df: DataFrame, keys: list[str], delay: int = 1) -> DataFrame:
     """``s, e`` seconds of tokens in order of time: the emission delay is taken off; the end is the token's own duration, else the next start, at least one frame on."""
-    w = W.partitionBy(*keys).orderBy("ts", "chunk", "pos")
+    order = ["ts", "chunk", "pos"]
+    x = with_neighbours(df.withColumn("_h", F.floor(F.col("ts") / SHARD)), keys, "_h", order, after={"_next": "ts"})
     at = F.greatest(F.lit(0), F.col("ts") - delay)
-    nxt = F.greatest(F.lit(0), F.lead("ts").over(w) - delay)
+    nxt = F.when(F.col("_next").isNotNull(), F.greatest(F.lit(0), F.col("_next") - delay))
     end = F.when(F.col("dur") > 0, at + F.col("dur")).otherwise(F.greatest(F.coalesce(nxt, at + 1), at + 1))
-    return df.select("*", (at * TOKEN_FRAME).alias("s"), (end * TOKEN_FRAME).alias("e"))
+    return x.select(*df.columns, (at * TOKEN_FRAME).alias("s"), (end * TOKEN_FRAME).alias("e"))
 
 
 def prefix_times(df: DataFrame, keys: list[str], order: list[str], frames: str, seconds: float) -> DataFrame:
-    """Start and end from a running sum of frame counts."""
-    upto = F.sum(frames).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return df.select("*", ((upto - F.col(frames)) * seconds).alias("s"), (upto * seconds).alias("e"))
+    """Start and end from a running sum of frame counts; the first of ``order`` is a whole number that spreads a key."""
+    x = running_sum(df.withColumn("_h", F.floor(F.col(order[0]) / 16)), keys, "_h", order, F.col(frames), "_upto")
+    return x.select(*df.columns, ((F.col("_upto") - F.col(frames)) * seconds).alias("s"), (F.col("_upto") * seconds).alias("e"))
 
 
 def starts_word(piece: Column) -> Column:
@@ -64,19 +67,18 @@ def words(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     A piece with a word mark opens a word, as does the first; null, empty, ``<blank>`` and ``<pad>`` pieces are left out.
     """
     x = df.filter(F.col("piece").isNotNull() & ~F.col("piece").isin("", "<blank>", "<pad>"))
-    w = W.partitionBy(*keys).orderBy(*order)
-    opens = F.when(starts_word(F.col("piece")) | (F.row_number().over(w) == 1), 1).otherwise(0)
-    x = x.withColumn("opens", opens).withColumn("n", F.row_number().over(w))
-    x = x.withColumn("word_no", F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    x = with_neighbours(x.withColumn("_h", F.floor(F.col(order[0]) / SHARD)), keys, "_h", order, before={"_last": "piece"})
+    x = running_sum(x, keys, "_h", order, F.when(starts_word(F.col("piece")) | F.col("_last").isNull(), 1).otherwise(0), "word_no")
+    x = x.withColumn("n", F.struct(*order))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", bare(F.col("piece")).alias("p")))), lambda r: r["p"]), "")
     g = x.groupBy(*keys, "word_no").agg(F.trim(text).alias("word"), F.min("s").alias("s"), F.max(F.struct("n", "e"))["e"].alias("e"), F.avg("conf").alias("mean_conf"), F.min("conf").alias("least_conf"))
     return g.filter("word <> ''")
 
 
-def collapse_repeats(df: DataFrame, keys: list[str], at: str, label: str, blank: int) -> DataFrame:
+def collapse_repeats(df: DataFrame, keys: list[str], at: list[str], label: str, blank: int) -> DataFrame:
     """Greedy collapse of frame labels: rows that aren't blank and differ from the frame before, blank or not."""
-    before = F.lag(label).over(W.partitionBy(*keys).orderBy(at))
-    return df.withColumn("_b", before).filter((F.col(label) != blank) & (F.col("_b").isNull() | (F.col("_b") != F.col(label)))).drop("_b")
+    x = with_neighbours(df.withColumn("_h", F.floor(F.col(at[0]) / SHARD)), keys, "_h", at, before={"_b": label})
+    return x.filter((F.col(label) != blank) & (F.col("_b").isNull() | (F.col("_b") != F.col(label)))).select(*df.columns)
 
 
 def silence_aligned_starts(clips: DataFrame, energy: DataFrame, stride: int, chunk: int) -> DataFrame:

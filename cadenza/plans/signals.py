@@ -1,10 +1,11 @@
 """Queries of segments, timings and chunk plans."""
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from cadenza.operators import sessions as S, timing as T
 from cadenza.operators.coverage import latest_by
-from cadenza.operators.intervals import merged, overlap_join
+from cadenza.operators.intervals import merged
+from cadenza.operators.sharded import running_sum
 from cadenza.plans.evaluation import rounded
 from cadenza.plans.intervals import FRAMES, SEG, frames, merge_sql, segments
 from cadenza.session import table
@@ -33,8 +34,8 @@ def activity(s, d):
 
 
 def numbered(s, d):
-    w = W.partitionBy("clip").orderBy("ts", "chunk", "pos")
-    return pieces(s, d).withColumn("n", F.row_number().over(w))
+    x = pieces(s, d).withColumn("h", F.floor(F.col("ts") / 4096))
+    return running_sum(x, ["clip"], "h", ["ts", "chunk", "pos"], F.lit(1), "n").withColumn("n", F.col("n").cast("int"))
 
 
 QUERIES = {
@@ -55,7 +56,7 @@ QUERIES = {
     "token_timings": lambda s, d: rounded(T.token_times(tokens(s, d), ["clip"]).select("clip", "chunk", "pos", "s", "e")),
     "prefix_sum_timing": lambda s, d: rounded(T.prefix_times(tokens(s, d), ["clip"], ["chunk", "pos"], "dur", 0.0125).select("clip", "chunk", "pos", "s", "e")),
     "word_assembly": lambda s, d: rounded(T.words(T.token_times(pieces(s, d), ["clip"]), ["clip"], ["ts", "chunk", "pos"])),
-    "ctc_collapse": lambda s, d: T.collapse_repeats(tokens(s, d).withColumn("label", F.col("token") % 8).withColumn("at", F.struct("ts", "chunk", "pos")), ["clip"], "at", "label", 0).select("clip", "chunk", "pos", "label"),
+    "ctc_collapse": lambda s, d: T.collapse_repeats(tokens(s, d).withColumn("label", F.col("token") % 8), ["clip"], ["ts", "chunk", "pos"], "label", 0).select("clip", "chunk", "pos", "label"),
     "seam_word_collapse": lambda s, d: T.drop_seam_words(numbered(s, d).select("clip", "n", "piece", "ts"), 25),
 }
 

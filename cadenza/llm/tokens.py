@@ -149,11 +149,12 @@ def encode_texts(docs: DataFrame, path: str = VOCABULARY, key: str = "doc_id", t
     they are; extra columns are ignored.  Texts are encoded whole, whatever their
     length.  The vocabulary (a fixed 50,256 entries) is read on the driver and broadcast.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
+    # built once; workers keep it over their tasks
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(load_ranks(path)))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        vocabulary, split, known = _vocabulary(ranks.value), regex.compile(WORDS).findall, {}
+        vocabulary, split, known = shared.value, regex.compile(WORDS).findall, {}
         for batch in batches:
             texts = [split(t) if t else [] for t in batch.column(1).to_pylist()]
             if len(known) > KEPT:
@@ -171,13 +172,3 @@ def encode_texts(docs: DataFrame, path: str = VOCABULARY, key: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
-
-
-_made: dict[int, Vocabulary] = {}
-
-
-def _vocabulary(ranks: dict[bytes, int]) -> Vocabulary:
-    if id(ranks) not in _made:
-        _made.clear()
-        _made[id(ranks)] = Vocabulary(ranks)
-    return _made[id(ranks)]

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cadenza.operators.sessions import fold
+from cadenza.operators.sharded import last_known
 
 BLOCK = 8192  # query vectors that are broadcast at once
 
@@ -161,9 +162,9 @@ def words_in_window(words: DataFrame, windows: DataFrame, key: str) -> DataFrame
     lone = windows.join(hit.select(key, "win").distinct(), [key, "win"], "left_anti").select(key, "win", ((F.col("s") + F.col("e")) / 2).alias("m"))
     points = words.select(key, F.lit(None).cast(windows.schema["win"].dataType).alias("win"), ((F.col("s") + F.col("e")) / 2).alias("m"), "n").unionByName(lone.withColumn("n", F.lit(None).cast(words.schema["n"].dataType)))
     point = F.when(F.col("n").isNotNull(), F.struct("m", "n"))
-    back = W.partitionBy(key).orderBy("m", F.col("n").isNull()).rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(key).orderBy("m", F.col("n").isNotNull()).rowsBetween(0, W.unboundedFollowing)
-    near = points.withColumn("b", F.last(point, ignorenulls=True).over(back)).withColumn("a", F.first(point, ignorenulls=True).over(ahead)).filter(F.col("n").isNull())
+    points = points.withColumns({"up": F.floor(F.col("m") / BIN), "back": -F.col("m"), "down": F.floor(-F.col("m") / BIN), "asks": F.col("n").isNull(), "tie": F.coalesce(F.col("n"), F.lit(0))})
+    near = last_known(points, [key], "up", ["m", "asks", "tie", F.coalesce(F.col("win").cast("string"), F.lit(""))], point, "b")
+    near = last_known(near, [key], "down", ["back", "asks", F.negative("tie"), F.coalesce(F.col("win").cast("string"), F.lit(""))], point, "a").filter("asks")
     pick = F.when(F.col("a.n").isNull() | (F.col("m") - F.col("b.m") <= F.col("a.m") - F.col("m")), F.col("b.n")).otherwise(F.col("a.n"))
     near = near.select(key, "win", pick.alias("first"), pick.alias("last")).filter("first IS NOT NULL")
     return stretch.unionByName(near)

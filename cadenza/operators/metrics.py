@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cadenza.operators.sharded import running_sum
+from cadenza.operators.sharded import running_sum, running_sums, with_neighbours
 
 
 def ratio(top: Column, below: Column) -> Column:
@@ -114,45 +114,49 @@ def clamped_confidence(df: DataFrame, key: str, confidence: str, tokens: str) ->
 
 # frame-wise diarization error
 
-def frame_range(s: Column, e: Column, step: int) -> Column:
-    """Frames whose midpoint lies inside: from ceil(s / step - 1/2) up to, not including, ceil(e / step - 1/2)."""
-    first, stop = F.ceil(s / step - 0.5), F.ceil(e / step - 0.5)
-    return F.when(stop > first, F.sequence(first, stop - 1)).otherwise(F.array().cast("array<bigint>"))
+def on_grid(df: DataFrame, who: str, step: int, disjoint: bool = False) -> DataFrame:
+    """Frames whose midpoint lies inside a segment, as intervals ``rec, who, s, e`` of frame numbers (e exclusive) that don't overlap.
 
-
-def active_frames(df: DataFrame, who: str, step: int) -> DataFrame:
-    """``rec, who, frame``, each once: the union of a speaker's segments is rasterised, so rows stay bounded by frames."""
+    ``disjoint``: a speaker's segments don't overlap as they are, so they needn't be merged.
+    """
     from cadenza.operators.intervals import merged
 
-    m = merged(df.select("rec", who, "s", "e"), ["rec", who])
-    return m.select("rec", who, F.explode(frame_range(F.col("s"), F.col("e"), step)).alias("frame")).distinct()
+    own = df.select("rec", who, "s", "e")
+    own = own if disjoint else merged(own, ["rec", who])
+    return own.select("rec", who, F.ceil(F.col("s") / step - 0.5).alias("s"), F.ceil(F.col("e") / step - 0.5).alias("e")).filter("e > s")
 
 
-def co_occurrence(ref: DataFrame, hyp: DataFrame, step: int) -> DataFrame:
+def co_occurrence(ref: DataFrame, hyp: DataFrame, step: int, disjoint: bool = False) -> DataFrame:
     """Frames in which a reference and a hypothesis speaker are both active: ``rec, spk, hyp, frames``.
 
-    Counted from overlaps of merged intervals on the frame grid, not by exploding frames: an equi-join of frames
-    would be as long as the recordings.
+    Counted from overlaps of intervals on the frame grid; no frame becomes a row.
     """
-    from cadenza.operators.intervals import merged, overlap_join
-
-    def grid(df, who):
-        g = df.select("rec", who, F.ceil(F.col("s") / step - 0.5).alias("s"), F.ceil(F.col("e") / step - 0.5).alias("e")).filter("e > s")
-        return merged(g, ["rec", who])
+    from cadenza.operators.intervals import overlap_join
 
-    both = overlap_join(grid(ref, "spk"), grid(hyp, "hyp"), ["rec"], 6000)
+    both = overlap_join(on_grid(ref, "spk", step, disjoint), on_grid(hyp, "hyp", step, disjoint), ["rec"], 6000)
     return both.groupBy("rec", "spk", "hyp").agg(F.sum(F.col("e") - F.col("s")).alias("frames"))
 
 
-def frame_errors(ref: DataFrame, hyp: DataFrame, mapping: DataFrame, step: int) -> DataFrame:
+def frame_errors(ref: DataFrame, hyp: DataFrame, mapping: DataFrame, step: int, shard: int = 6000, disjoint: bool = False) -> DataFrame:
     """Per recording: reference frames (``total``), missed, false alarm, confusion and the error rate (0 without reference speech).
 
     ``mapping(rec, spk, hyp)`` is the one-to-one assignment.  Per frame: missed max(0, ref - hyp), false alarm
-    max(0, hyp - ref), confusion min(ref, hyp) - correct.
+    max(0, hyp - ref), confusion min(ref, hyp) - correct.  A sweep over the ends of intervals on the frame grid counts
+    active reference, hypothesis and rightly mapped speakers; each stretch between ends weighs its length.
     """
-    r, h = active_frames(ref, "spk", step), active_frames(hyp, "hyp", step)
-    right = r.join(mapping, ["rec", "spk"]).join(h, ["rec", "frame", "hyp"]).groupBy("rec", "frame").agg(F.count(F.lit(1)).alias("ok"))
-    n = r.groupBy("rec", "frame").agg(F.count(F.lit(1)).alias("a")).join(h.groupBy("rec", "frame").agg(F.count(F.lit(1)).alias("b")), ["rec", "frame"], "full").join(right, ["rec", "frame"], "left").na.fill(0)
-    a, b, ok = F.col("a"), F.col("b"), F.col("ok")
-    out = n.groupBy("rec").agg(F.sum("a").alias("total"), F.sum(F.greatest(a - b, F.lit(0))).alias("missed"), F.sum(F.greatest(b - a, F.lit(0))).alias("false_alarm"), F.sum(F.least(a, b) - ok).alias("confusion"))
+    from cadenza.operators.intervals import overlap_join
+
+    r, h = on_grid(ref, "spk", step, disjoint), on_grid(hyp, "hyp", step, disjoint)
+    ok = overlap_join(r.join(mapping, ["rec", "spk"]), h, ["rec", "hyp"], 6000)
+
+    def ends(df, a, b, c):
+        one = [F.lit(x) for x in (a, b, c)]
+        return df.select("rec", F.explode(F.array(*[F.struct(F.col(t).alias("t"), *[(x * sign).alias(n) for n, x in zip("abc", one)]) for t, sign in (("s", 1), ("e", -1))])).alias("x")).select("rec", "x.*")
+
+    x = ends(r, 1, 0, 0).unionByName(ends(h, 0, 1, 0)).unionByName(ends(ok, 0, 0, 1))
+    x = x.groupBy("rec", "t").agg(*[F.sum(c).alias(c) for c in "abc"]).withColumn("_h", F.floor(F.col("t") / shard))
+    x = with_neighbours(x, ["rec"], "_h", ["t"], after={"_next": "t"})
+    x = running_sums(x, ["rec"], "_h", ["t"], {"ref": F.col("a"), "hyp": F.col("b"), "ok": F.col("c")})
+    n, a, b, k = F.coalesce(F.col("_next") - F.col("t"), F.lit(0)), F.col("ref"), F.col("hyp"), F.col("ok")
+    out = x.groupBy("rec").agg(F.sum(n * a).alias("total"), F.sum(n * F.greatest(a - b, F.lit(0))).alias("missed"), F.sum(n * F.greatest(b - a, F.lit(0))).alias("false_alarm"), F.sum(n * (F.least(a, b) - k)).alias("confusion"))
     return out.withColumn("error", ratio(F.col("missed") + F.col("false_alarm") + F.col("confusion"), F.col("total")))

@@ -36,14 +36,20 @@ def with_neighbours(df: DataFrame, keys: list[str], shard: str, order: list, bef
     return x.withColumns({**{a: p[c] for a, c in before.items()}, **{a: n[c] for a, c in after.items()}}).drop("_p", "_n", "_pl", "_nf")
 
 
-def running_sum(df: DataFrame, keys: list[str], shard: str, order: list, value: Column, name: str) -> DataFrame:
-    """Adds the sum of ``value`` from the key's first row to this one."""
+def running_sums(df: DataFrame, keys: list[str], shard: str, order: list, values: dict[str, Column]) -> DataFrame:
+    """Adds, by name, sums of values from the key's first row to this one."""
     w = W.partitionBy(*keys, shard).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    x = df.withColumn("_v", value)
-    x = x.withColumn("_r", F.sum("_v").over(w))
+    n = range(len(values))
+    x = df.withColumns({f"_v{i}": v for i, v in enumerate(values.values())})
+    x = x.withColumns({f"_r{i}": F.sum(f"_v{i}").over(w) for i in n})
     across = W.partitionBy(*keys).orderBy(shard).rowsBetween(W.unboundedPreceding, -1)
-    s = _summary(x, keys, shard, [F.sum("_v").alias("_t")], [F.coalesce(F.sum("_t").over(across), F.lit(0)).alias("_b")])
-    return x.join(s, [*keys, shard]).withColumn(name, F.col("_r") + F.col("_b")).drop("_v", "_r", "_b")
+    s = _summary(x, keys, shard, [F.sum(f"_v{i}").alias(f"_t{i}") for i in n], [F.coalesce(F.sum(f"_t{i}").over(across), F.lit(0)).alias(f"_b{i}") for i in n])
+    x = x.join(s, [*keys, shard]).withColumns({name: F.col(f"_r{i}") + F.col(f"_b{i}") for i, name in enumerate(values)})
+    return x.drop(*[f"_{c}{i}" for c in "vrb" for i in n])
+
+
+def running_sum(df: DataFrame, keys: list[str], shard: str, order: list, value: Column, name: str) -> DataFrame:
+    return running_sums(df, keys, shard, order, {name: value})
 
 
 def last_known(df: DataFrame, keys: list[str], shard: str, order: list, value: Column, name: str) -> DataFrame:

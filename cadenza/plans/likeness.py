@@ -41,9 +41,9 @@ def mapping(s, d):
 
 
 def frame_errors(s, d):
-    ref, hyp = materialise(merged(segments(s, d), ["rec", "spk"])), materialise(merged(hypothesis(s, d), ["rec", "hyp"]))
-    chosen = X.best_mapping(M.co_occurrence(ref, hyp, 10), "rec", "spk", "hyp", "frames")
-    return M.frame_errors(ref, hyp, chosen, 10)
+    ref, hyp = materialise(M.on_grid(segments(s, d), "spk", 10)), materialise(M.on_grid(hypothesis(s, d), "hyp", 10))
+    chosen = X.best_mapping(M.co_occurrence(ref, hyp, 1, disjoint=True), "rec", "spk", "hyp", "frames")
+    return M.frame_errors(ref, hyp, materialise(chosen), 1, disjoint=True)
 
 
 def jaccard(s, d):

@@ -86,16 +86,22 @@ def required_similarity(least: Column, words: Column, floor: float = 0.55) -> Co
     return F.when(words >= 2, F.greatest(least, F.lit(floor))).otherwise(least)
 
 
-# Words that are never replaced alone.
-STOPWORDS = "a an and are as at be but by for from had has have he her his i in is it its me my no not of on or our she so that the their them they this to us was we were will with you your".split()
+# Function words, which raise the floor of a span; with the common words they are never replaced alone.
+FUNCTION_WORDS = """a an the some any no every each all and or but so if then than as
+in on at to for of with by from up down out about into over after before between under
+is are was were be been being am have has had do does did will would can could
+i you he she it we they me him her us them my your his its our their this that these those
+who what which where when how why""".split()
+COMMON_WORDS = """go goes went come comes came get got take took make made say said see saw know knew think thought
+just also only even still now here there very well back way own new old good great first last""".split()
 
 
 def replacement_floor(word: Column, term: Column, words: Column, least: Column) -> Column:
-    """Similarity a replacement must reach; null where a stopword stands alone. Spans with stopwords need 0.85, words much shorter than the term 0.80."""
+    """Similarity a replacement must reach; null where a function or common word stands alone. Spans with function words need 0.85, words much shorter than the term 0.80."""
     floor = required_similarity(least, words)
-    floor = F.when(F.arrays_overlap(F.split(word, " "), F.array(*[F.lit(w) for w in STOPWORDS])) & (words >= 2), F.greatest(floor, F.lit(0.85))).otherwise(floor)
+    floor = F.when(F.arrays_overlap(F.split(word, " "), F.array(*[F.lit(w) for w in FUNCTION_WORDS])) & (words >= 2), F.greatest(floor, F.lit(0.85))).otherwise(floor)
     floor = F.when((F.length(word) / F.length(term) < 0.75) & (F.length(word) <= 4), F.greatest(floor, F.lit(0.80))).otherwise(floor)
-    return F.when((words == 1) & word.isin(*STOPWORDS), None).otherwise(floor)
+    return F.when((words == 1) & word.isin(*FUNCTION_WORDS, *COMMON_WORDS), None).otherwise(floor)
 
 
 def term_warnings(c: Column) -> Column:
@@ -111,9 +117,13 @@ def clean_term(c: Column) -> Column:
 
 
 def normalize_japanese(c: Column) -> Column:
-    """Full-width and kanji digits to ASCII, no punctuation or white space, lower case."""
-    c = F.translate(c, "０１２３４５６７８９〇一二三四五六七八九", "01234567890123456789")
-    return F.lower(F.regexp_replace(c, r"[\p{P}\p{S}\s　]", ""))
+    """Full-width and kanji numbers below a hundred as digits, larger units as their powers, no punctuation or white space, lower case."""
+    one, more = "一二三四五六七八九", "二三四五六七八九"
+    for pattern, to in ((f"([{more}])十([{one}])", "$1$2"), (f"十([{one}])", "一$1"), (f"([{more}])十", "$1〇"), ("百", "100"), ("千", "1000"), ("万", "10000"), ("十", "10")):
+        c = F.regexp_replace(c, pattern, to)
+    c = F.translate(c, "０１２３４５６７８９〇零一二三四五六七八九", "012345678900123456789")
+    # fixed values: Japanese and ASCII punctuation that is dropped
+    return F.lower(F.regexp_replace(c, r"[、。！？・…「」『』（）［］｛｝【】,.!?;:'\"()\[\]{}\-\s\x{3000}]", ""))
 
 
 def pieces_to_text(pieces: Column) -> Column:

@@ -11,13 +11,13 @@ from cadenza.operators.matching import edit_join, penalised, pick_apart, spans
 def vocabulary_replacements(words: DataFrame, terms: DataFrame, key: str, at: str, edits: int = 2, least: float = 0.5) -> DataFrame:
     """Spans of one to three neighbouring words that are taken for a term: ``key, at, n, phrase, term, score``.
 
-    Candidates within ``edits`` of the glued span come from the edit join; a span that is a term already, or another
-    term's spelling, is left alone; each must reach the floor for its length and stopwords.  Of overlapping spans the
+    Candidates within ``edits`` of the glued span come from the edit join; a span that is a term already is left
+    alone; each must reach the floor for its length and stopwords.  Of overlapping spans the
     best is kept.  The acoustic score of a decoder, where there is one, can be joined in before choosing.
     """
     s = spans(words, [key], at, 3)
     t = terms.select(F.lower("term").alias("term")).distinct()
-    s = s.join(t.withColumnRenamed("term", "glued"), "glued", "left_anti")
+    s = s.join(t.withColumnRenamed("term", "phrase"), "phrase", "left_anti")
     near = edit_join(s.select(F.col("glued").alias("word")), t, edits).select(F.col("word").alias("glued"), "term")
     c = s.join(near, "glued").withColumn("score", penalised(F.col("glued"), F.col("term")))
     c = c.filter(F.col("score") >= replacement_floor(F.col("phrase"), F.col("term"), F.col("n"), F.lit(least)))

@@ -154,6 +154,11 @@ def test_english_normalizer():
     assert K.normalize_english("the colour", {"colour": "color"}) == "the color"
 
 
+def test_speech_preprocessing():
+    assert K.clean_for_speech("Hi — “you”, e.g., a@b 😀") == '<en>Hi - "you", for example, a at b.</en>'
+    assert K.clean_for_speech("Done !", "de") == "<de>Done!</de>" and K.clean_for_speech(" ") == " " and K.clean_for_speech(None) is None
+
+
 def test_chunkers():
     text = "Dr. Smith came. He left, then, after a while, returned to the old house again.\n\nShort."
     assert K.sentences("Dr. Smith came. He left! Why? ") == ["Dr. Smith came.", "He left!", "Why?"]

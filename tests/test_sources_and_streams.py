@@ -53,8 +53,8 @@ def test_arpa_and_vocabularies(spark, tmp_path):
     assert {(w, round(a, 6), round(b, 6)) for w, a, b in rows(uni)} == {("has", round(-ln, 6), round(-0.2 * ln, 6)), ("pain", round(-2.1 * ln, 6), 0.0)}
     assert [(c, w, round(v, 6)) for c, w, v in rows(bi)] == [("has", "pain", round(-0.5 * ln, 6))]
     v = tmp_path / "v.txt"
-    v.write_text("# c\nNVIDIA: in video, n vidia\nplain\n")
-    assert sorted(rows(readers.vocabulary(spark, str(v)))) == [("NVIDIA", ["in video", "n vidia"], None), ("plain", [], None)]
+    v.write_text("# c\nOrelia: oh really, o relia\nplain\n")
+    assert sorted(rows(readers.vocabulary(spark, str(v)))) == [("Orelia", ["oh really", "o relia"], None), ("plain", [], None)]
     v.write_text(json.dumps({"terms": [{"text": "A", "aliases": ["b"], "minSimilarity": 0.7}, {"text": "C"}]}))
     assert sorted(rows(readers.vocabulary(spark, str(v)))) == [("A", ["b"], 0.7), ("C", [], None)]
     v.write_text(json.dumps({"0": "▁a", "7": "b"}))
@@ -97,6 +97,11 @@ def test_predicates_and_text(spark):
     assert rows(one.select(F.to_json(X.tags(F.col("m")))))[0][0] == '[{"name":"a","attributes":{"x":"1","y":"2"}},{"name":"br","attributes":{}}]'
 
 
+def test_japanese(spark):
+    t = spark.createDataFrame([("二十一と十五、二十。",), ("三百 十 ２０２四年",), ("一〇〇",)], "t string")
+    assert [r[0] for r in t.select(X.normalize_japanese(F.col("t"))).collect()] == ["21と1520", "3100102024年", "100"]
+
+
 def test_registry_modes(spark):
     schema = "id string, v int, permanent boolean"
     old, new = spark.createDataFrame([("a", 1, True), ("b", 1, False), ("c", 1, None)], schema), spark.createDataFrame([("a", 2, False), ("b", 2, False), ("d", 2, False), (None, 2, False)], schema)

@@ -4,7 +4,7 @@ from cadenza.llm.clusters import density_clusters, enrolled, linked_groups
 from cadenza.llm.leaks import leak_report, leaked_items
 from cadenza.llm.neighbours import nearest_vectors, neighbour_pairs
 from cadenza.llm.pieces import split_clips
-from cadenza.llm.residue import residue_documents, without_residue
+from cadenza.llm.residue import residue_documents, windowed_residue, without_residue
 from cadenza.llm.runs import collapse_runs, repeated_runs
 from cadenza.llm.tokens import encode_texts
 from cadenza.session import table
@@ -19,6 +19,7 @@ QUERIES = {
     "p6_ids": lambda spark, d: encode_texts(table(spark, d, "documents")),
     "p7_found": lambda spark, d: leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")),
     "p7_report": lambda spark, d: leak_report(table(spark, d, "documents"), table(spark, d, "eval_items")),
+    "p8_method": lambda spark, d: windowed_residue(table(spark, d, "documents")),
     "p8_found": lambda spark, d: residue_documents(table(spark, d, "documents")),
     "p8_kept": lambda spark, d: without_residue(table(spark, d, "documents")).select("doc_id"),
 }

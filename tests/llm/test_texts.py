@@ -5,7 +5,7 @@ import unicodedata
 import pytest
 
 from cadenza.llm.leaks import leak_report, leaked_items, leaked_passages
-from cadenza.llm.residue import residue, residue_documents, without_residue
+from cadenza.llm.residue import residue, residue_documents, windowed_residue, without_residue
 from cadenza.llm.tokens import VOCABULARY, Vocabulary, encode_texts, load_ranks
 
 DOCS = "doc_id long, text string, ids string, slot int, sign int"
@@ -111,6 +111,16 @@ def test_residue_is_found_and_prose_is_kept(spark):
     assert kept.count() == len(texts) - len(found) and kept.columns == DOCS.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
 
 
+def test_windows_alone_find_what_has_no_slots(spark):
+    texts = PROSE * 30 + RESIDUE + [None, ""]
+    start = len(PROSE) * 30
+    slotted = {i for i, t in enumerate(RESIDUE) if any(x in t for x in ("{{", "[[", "____", "<your", "XXXXX"))}
+    got = windowed_residue(docs(spark, texts)).collect()
+    assert {r["doc_id"] - start for r in got} == set(range(len(RESIDUE))) - slotted
+    assert all(r["evidence"] >= 12 and 0.35 <= r["covered"] <= 1 for r in got)
+    assert windowed_residue(docs(spark, texts).limit(0)).count() == 0
+
+
 def test_residue_of_long_repeated_and_no_texts(spark):
     long = "\n".join(PROSE[:2] * 20_000)
     table = docs(spark, [long, long + "\n503 Service Unavailable\nSomething went wrong. Please try again later.", RESIDUE[0]])

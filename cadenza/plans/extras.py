@@ -73,7 +73,7 @@ QUERIES = {
     "pairwise_euclidean": lambda s, d: X.cosine_pairs(asked(s, d), vecs(s, d), within=1e9, cosine=False).select("q", "id", F.round("distance", 4).alias("d")),
     "log_space_mean": lambda s, d: vecs(s, d).select("id", F.transform(V.log_mean(V.log_softmax(F.slice("v", 1, 4)), V.log_softmax(F.slice("v", 5, 4))), lambda x: F.round(x, 5)).alias("v")),
     "plda_score": lambda s, d: rounded(vecs(s, d).select("id", V.plda_score(F.slice("v", 1, 32), F.slice("v", 33, 32)).alias("score"))),
-    "noise_schedule": lambda s, d: table(s, d, "region").limit(1).select(F.posexplode(V.power_schedule(12, 0.0001, 3.0, 9.0)).alias("step", "sigma")).select("step", F.round("sigma", 8).alias("sigma")),
+    "noise_schedule": lambda s, d: s.range(1).select(F.posexplode(V.power_schedule(12, 0.0001, 3.0, 9.0)).alias("step", "sigma")).select("step", F.round("sigma", 8).alias("sigma")),
     "alignment_matrix": lambda s, d: tokens(s, d).select("clip", "chunk", "pos", F.explode(F.sequence(F.lit(0), F.greatest(F.col("dur"), F.lit(1)) - 1)).alias("k")).select("clip", "chunk", "pos", "k"),
     "mel_spectrogram": lambda s, d: fold(signal(s, d), ["clip"], "frames int, energy double", lambda r: [(len(m), round(float(m.mean()), 6) if len(m) else 0.0) for m in [A.mel_spectrogram(np.array(r["x"]), bands=32)]]),
     "rumble_filter": lambda s, d: fold(signal(s, d), ["clip"], "rms double", lambda r: [(round(float(np.sqrt((A.high_pass(np.array(r["x"])) ** 2).mean())), 6),)]),

@@ -163,9 +163,10 @@ def words_in_window(words: DataFrame, windows: DataFrame, key: str) -> DataFrame
     points = words.select(key, F.lit(None).cast(windows.schema["win"].dataType).alias("win"), ((F.col("s") + F.col("e")) / 2).alias("m"), "n").unionByName(lone.withColumn("n", F.lit(None).cast(words.schema["n"].dataType)))
     point = F.when(F.col("n").isNotNull(), F.struct("m", "n"))
     points = points.withColumns({"up": F.floor(F.col("m") / BIN), "back": -F.col("m"), "down": F.floor(-F.col("m") / BIN), "asks": F.col("n").isNull(), "tie": F.coalesce(F.col("n"), F.lit(0))})
-    near = last_known(points, [key], "up", ["m", "asks", "tie", F.coalesce(F.col("win").cast("string"), F.lit(""))], point, "b")
+    near = last_known(points, [key], "up", ["m", "asks", F.negative("tie"), F.coalesce(F.col("win").cast("string"), F.lit(""))], point, "b")
     near = last_known(near, [key], "down", ["back", "asks", F.negative("tie"), F.coalesce(F.col("win").cast("string"), F.lit(""))], point, "a").filter("asks")
-    pick = F.when(F.col("a.n").isNull() | (F.col("m") - F.col("b.m") <= F.col("a.m") - F.col("m")), F.col("b.n")).otherwise(F.col("a.n"))
+    db, da = F.col("m") - F.col("b.m"), F.col("a.m") - F.col("m")
+    pick = F.when(F.col("a.n").isNull() | (db < da), F.col("b.n")).when(F.col("b.n").isNull() | (da < db), F.col("a.n")).otherwise(F.least("a.n", "b.n"))
     near = near.select(key, "win", pick.alias("first"), pick.alias("last")).filter("first IS NOT NULL")
     return stretch.unionByName(near)
 

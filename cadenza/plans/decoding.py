@@ -8,7 +8,7 @@ from pyspark.sql import Window as W, functions as F
 from cadenza.operators import clustering as C, registry as R
 from cadenza.operators.sessions import fold, per_key
 from cadenza.plans.evaluation import rounded
-from cadenza.plans.intervals import frames, segments
+from cadenza.plans.intervals import SEG, frames, segments
 from cadenza.plans.likeness import vecs
 from cadenza.plans.signals import TOK, tokens
 from cadenza.sources import readers, sinks
@@ -85,6 +85,19 @@ def _cached(r):
 
 
 _F = "f AS (SELECT clip, frame, max(prob) AS prob FROM vad_frames WHERE clip IS NOT NULL AND frame IS NOT NULL AND prob IS NOT NULL AND NOT isnan(prob) GROUP BY clip, frame)"
+#: The state machine as a recursion over a clip's frames.
+VAD_EVENTS = f"""WITH RECURSIVE {_F}, r AS (SELECT clip, prob, row_number() OVER (PARTITION BY clip ORDER BY frame) AS i FROM f),
+s AS (
+  SELECT DISTINCT clip, CAST(0 AS BIGINT) AS i, false AS talks, CAST(NULL AS BIGINT) AS hush, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS BIGINT) AS sample FROM r
+  UNION ALL
+  SELECT r.clip, r.i,
+    CASE WHEN prob >= 0.85 THEN true WHEN talks AND prob < 0.7 AND r.i * 4096 - coalesce(hush, r.i * 4096) >= 12000 THEN false ELSE talks END,
+    CASE WHEN prob >= 0.85 THEN NULL WHEN talks AND prob < 0.7 THEN CASE WHEN r.i * 4096 - coalesce(hush, r.i * 4096) < 12000 THEN coalesce(hush, r.i * 4096) END ELSE hush END,
+    CASE WHEN prob >= 0.85 AND NOT talks THEN 'start' WHEN talks AND prob < 0.7 AND r.i * 4096 - coalesce(hush, r.i * 4096) >= 12000 THEN 'end' END,
+    CASE WHEN prob >= 0.85 AND NOT talks THEN greatest(0, r.i * 4096 - 5696) WHEN talks AND prob < 0.7 AND r.i * 4096 - coalesce(hush, r.i * 4096) >= 12000 THEN greatest(0, hush - 2496) END
+  FROM s JOIN r ON r.clip = s.clip AND r.i = s.i + 1)
+SELECT clip, kind, sample FROM s WHERE kind IS NOT NULL"""
+
 ORACLE = {
     "count_constraints": "SELECT g, CAST(least(greatest(1, least(n, 12)), greatest(1, least(n, g % 15))) AS INT) AS low, CAST(greatest(1, least(n, g % 15)) AS INT) AS high FROM (SELECT vec_id % 50 AS g, count(*) AS n FROM embeddings GROUP BY 1)",
     "arbitration": f"""WITH {TOK}, m AS (SELECT clip, count(*) FILTER (chunk % 3 = 0) AS a, count(*) FILTER (chunk % 3 = 2) AS c FROM tok GROUP BY clip)
@@ -95,4 +108,10 @@ SELECT doc_id, CAST(no AS INT) AS no, f[2] AS rec, f[8] AS spk, round(try_cast(f
     "silence_profile": f"WITH {_F} SELECT clip, round(avg(prob), 8) AS level, count(*) AS n FROM f WHERE prob < 0.2 GROUP BY clip",
     "stream_cache": f"WITH {_F}, k AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY prob DESC, frame) AS r FROM f) SELECT clip, frame FROM k WHERE r <= 16",
     "stream_hops": f"WITH {_F}, n AS (SELECT clip, count(*) * 4096 AS n FROM f GROUP BY clip) SELECT clip, i * 128000 AS first, i * 128000 + 160000 AS last FROM n, LATERAL (SELECT unnest(range(0, greatest(0, (n - 160000) // 128000 + 1))) AS i) WHERE n >= 160000",
+    "kaldi_lines": f"{SEG} SELECT rec || ' ' || count(DISTINCT spk) AS value FROM seg GROUP BY rec",
+    "stream_blocks": f"""WITH {_F}, p AS (SELECT clip, frame, coalesce(lag((frame + 1) * 4096) OVER (PARTITION BY clip ORDER BY frame), 0) AS held FROM f)
+SELECT clip, CASE WHEN frame * 4096 > held THEN 'gap' ELSE 'next' END AS kind, CAST(frame * 4096 - held AS BIGINT) AS n, CAST((frame + 1) * 4096 AS BIGINT) AS held FROM p""",
+    "stream_windows": f"""WITH {_F}, n AS (SELECT clip, count(*) * 4096 AS n FROM f GROUP BY clip HAVING count(*) * 4096 >= 48000)
+SELECT clip, greatest(0, i * 32000 - 160000) AS first, i * 32000 AS fresh, (i + 1) * 32000 AS last FROM (SELECT clip, unnest(range(0, (n - 48000) // 32000 + 1)) AS i FROM n)""",
+    "stream_vad_events": VAD_EVENTS,
 }

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from cadenza.functions import audio as A, sounds as P, spoken as K, vectors as V
 from cadenza.operators import matching as X, rescoring as Z, sequences as Q, texts as O
 from cadenza.operators.sessions import fold
+from cadenza.plans.decoding import VAD_EVENTS
 from cadenza.plans.evaluation import rounded
-from cadenza.plans.intervals import frames, segments
+from cadenza.plans.intervals import SEG, frames, segments
 from cadenza.plans.likeness import asked, terms, vecs, words
-from cadenza.plans.signals import clips, tokens
+from cadenza.plans.signals import TOK, clips, tokens
 from cadenza.session import shared_dir, table
 from cadenza.streaming import live, machines as S
 
@@ -110,6 +111,12 @@ SELECT vec_id AS id, list_transform([1, 2, 3, 4], lambda i: round(ln((a[i] / lis
     "noise_schedule": "SELECT CAST(i AS INT) AS step, round(CASE WHEN i = 12 THEN 0 ELSE pow(pow(3.0, 1.0 / 9) + i / 11 * (pow(0.0001, 1.0 / 9) - pow(3.0, 1.0 / 9)), 9) END, 8) AS sigma FROM range(13) r(i)",
     "custom_rules": r"SELECT item_id, regexp_replace(regexp_replace(text, '\bof the\b', 'OF_THE', 'gi'), '\bthe\b', 'THE', 'gi') AS text FROM eval_items",
     "normalised_vocabulary": "SELECT DISTINCT form FROM (SELECT regexp_replace(lower(piece), '[^a-z0-9]', '', 'g') AS form FROM token_pieces) WHERE form <> ''",
-    "live_vad": None,
+    "live_vad": VAD_EVENTS,
+    "alignment_matrix": f"WITH {TOK} SELECT clip, chunk, pos, CAST(unnest(range(0, greatest(dur, 1))) AS INT) AS k FROM tok",
+    "words_in_window": f"""{SEG}, w AS (SELECT rec, s, e, CAST(row_number() OVER (PARTITION BY rec ORDER BY s, e, spk) AS INT) AS n FROM seg),
+v AS (SELECT rec, unnest(generate_series(0, max(e), 1000)) AS win FROM w GROUP BY rec),
+h AS (SELECT v.rec, v.win, w.n, w.n - row_number() OVER (PARTITION BY v.rec, v.win ORDER BY w.n) AS g FROM v JOIN w ON v.rec = w.rec AND w.e >= v.win AND w.s <= v.win + 100),
+r AS (SELECT rec, win, min(n) AS first, max(n) AS last, row_number() OVER (PARTITION BY rec, win ORDER BY g) AS k FROM h GROUP BY rec, win, g),
+o AS (SELECT v.rec, v.win, w.n, row_number() OVER (PARTITION BY v.rec, v.win ORDER BY abs((w.s + w.e) / 2 - (v.win + 50)), w.n) AS k FROM v ANTI JOIN h USING (rec, win) JOIN w ON w.rec = v.rec)
+SELECT rec, win, first, last FROM r WHERE k = 1 UNION ALL SELECT rec, win, n, n FROM o WHERE k = 1""",
 }
-ORACLE = {k: v for k, v in ORACLE.items() if v}

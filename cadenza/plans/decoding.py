@@ -114,4 +114,16 @@ SELECT clip, CASE WHEN frame * 4096 > held THEN 'gap' ELSE 'next' END AS kind, C
     "stream_windows": f"""WITH {_F}, n AS (SELECT clip, count(*) * 4096 AS n FROM f GROUP BY clip HAVING count(*) * 4096 >= 48000)
 SELECT clip, greatest(0, i * 32000 - 160000) AS first, i * 32000 AS fresh, (i + 1) * 32000 AS last FROM (SELECT clip, unnest(range(0, (n - 48000) // 32000 + 1)) AS i FROM n)""",
     "stream_vad_events": VAD_EVENTS,
+    "integrate_and_fire": f"""WITH RECURSIVE {_F}, r AS (
+  SELECT clip, frame AS t, prob AS a, row_number() OVER (PARTITION BY clip ORDER BY frame) AS i FROM f
+  UNION ALL SELECT clip, max(frame) + 1, 0.45::DOUBLE, count(*) + 1 FROM f GROUP BY clip),
+s AS (
+  SELECT DISTINCT clip, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS total, CAST(-1 AS INT) AS no, false AS fires, CAST(0 AS INT) AS t, CAST(0 AS DOUBLE) AS part FROM r
+  UNION ALL
+  SELECT r.clip, r.i, CASE WHEN total + a >= 1 THEN total + a - 1 ELSE total + a END, CASE WHEN total + a >= 1 THEN no + 1 ELSE no END, total + a >= 1, r.t, a - (total + a - 1)
+  FROM s JOIN r ON r.clip = s.clip AND r.i = s.i + 1)
+SELECT clip, no, CAST(t AS BIGINT) AS at, round(part, 6) AS part FROM s WHERE fires""",
+    "stream_utterance_end": f"""WITH {_F}, r AS (SELECT clip, prob < 0.3 AS quiet, row_number() OVER (PARTITION BY clip ORDER BY frame) AS i FROM f),
+g AS (SELECT clip, count(*) AS n FROM (SELECT clip, i - row_number() OVER (PARTITION BY clip ORDER BY i) AS g FROM r WHERE quiet) GROUP BY clip, g HAVING count(*) >= 5)
+SELECT clip, CAST(coalesce(n, 0) AS INT) AS ends FROM (SELECT DISTINCT clip FROM f) LEFT JOIN (SELECT clip, count(*) AS n FROM g GROUP BY clip) USING (clip)""",
 }

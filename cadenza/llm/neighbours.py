@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from cadenza.llm.pivots import Cell, pivot_count, postings, sample_pivots
+from cadenza.llm.pivots import Cell, class_key, pivot_count, postings, sample_pivots, unit_rows
 
 POST, PREFIX, RERANK = 5, 8, 1536
 
@@ -22,7 +22,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, least: float = 0.6, dim: int
 
     * an id counts once; ids that are null, and embeddings that are null, of another length,
       with a null, NaN or infinite number or a norm of ``least_norm`` or less, don't count;
-    * bit-identical vectors are handled as one class of copies: its members are each other's
+    * vectors that are bit-identical once scaled to length one are handled as one class of copies: its members are each other's
       nearest, smallest ids first, and the smallest ``k + 1`` stand for it towards others;
     * an empty table gives an empty result; extra columns are ignored.
     """
@@ -65,24 +65,22 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, least: float = 0.6, dim: int
 def copies(vectors: DataFrame, k: int, dim: int, least_norm: float) -> DataFrame:
     """For members of classes of copies larger than k: the class's k + 1 smallest ids but their own.
 
-    Works on hashes and ids alone.  The smallest ids of a class come from a
-    ranking whose limit Catalyst applies before the shuffle as well, so no task
-    gathers a class; members then meet one row of their class.
+    Classes are those of ``postings``, so that all it leaves out is linked here.  Works on hashes
+    and ids alone.  The smallest ids of a class come from a ranking whose limit Catalyst applies
+    before the shuffle as well, so no task gathers a class; members then meet one row of their class.
     """
-    e = F.col("embedding")
-    light = vectors.filter(F.col("id").isNotNull() & valid_vector(e, dim, least_norm)).select("id", F.xxhash64(e).alias("h"), F.hash(e, F.lit(7)).alias("g"))
-    rank = F.dense_rank().over(W.partitionBy("h", "g").orderBy("id"))
-    small = light.withColumn("r", rank).filter(F.col("r") <= k + 1)
-    small = small.groupBy("h", "g").agg(F.collect_set("id").alias("ids")).filter(F.size("ids") > k)
-    return light.join(small, ["h", "g"]).select("id", F.explode("ids").alias("neighbour")).filter("id != neighbour")
+    schema = pa.schema([("id", pa.string()), ("h", pa.binary())])
 
+    def keys(batches):
+        for batch in batches:
+            at, x = unit_rows(batch.column("embedding"), dim, least_norm)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)).cast(pa.string()), pa.array([class_key(row) for row in x], pa.binary())], schema=schema)
 
-def valid_vector(e, dim: int, least_norm: float):
-    """``dim`` finite numbers and a norm above ``least_norm``; the norm is summed only where no single number settles it."""
-    top, low = F.array_max(e), F.array_min(e)
-    norm2 = F.aggregate(e, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return ((F.size(e) == dim) & (F.size(F.array_compact(e)) == dim) & ~F.isnan(top) & (top < float("inf")) & (low > float("-inf"))
-            & ((top > least_norm) | (low < -least_norm) | (norm2 > least_norm * least_norm)))
+    light = vectors.select("id", "embedding").filter(F.col("id").isNotNull()).mapInArrow(keys, "id string, h binary")
+    rank = F.dense_rank().over(W.partitionBy("h").orderBy("id"))
+    small = light.withColumn("r", rank).filter(F.col("r") <= k + 1)
+    small = small.groupBy("h").agg(F.collect_set("id").alias("ids")).filter(F.size("ids") > k)
+    return light.join(small, "h").select("id", F.explode("ids").alias("neighbour")).filter("id != neighbour")
 
 
 def neighbour_pairs(found: DataFrame) -> DataFrame:

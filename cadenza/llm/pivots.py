@@ -42,6 +42,11 @@ def unit_rows(column: pa.Array, dim: int, least_norm: float) -> tuple[np.ndarray
     return at[ok], (x[ok] / norm[ok, None]).astype(np.float32)
 
 
+def class_key(row: np.ndarray) -> bytes:
+    """The class of copies of a unit vector: vectors of one bit pattern once scaled to length one."""
+    return hashlib.blake2b(row.tobytes(), digest_size=12).digest()
+
+
 def encode(x: np.ndarray) -> np.ndarray:
     """12-bit codes with one scale a row: uint8 array of 4 + 1.5 * dim columns."""
     scale = np.abs(x).max(1, keepdims=True).astype(np.float32) / LEVELS
@@ -85,7 +90,7 @@ def pivot_count(rows: int) -> int:
 def postings(vectors: DataFrame, pivots: np.ndarray, post: int, prefix: int, dim: int, least_norm: float, copies: int) -> DataFrame:
     """Rows (pivot, id, code): the permutation prefix (int16 each) followed by the 12-bit code.
 
-    Of bit-identical vectors a task posts only ids that are among the ``copies``
+    Of vectors of one ``class_key`` a task posts only ids that are among the ``copies``
     smallest it has met; so a vector that a third of all rows share can't fill an inverted file.
     """
     post, prefix = min(post, len(pivots)), min(prefix, len(pivots))
@@ -101,7 +106,7 @@ def postings(vectors: DataFrame, pivots: np.ndarray, post: int, prefix: int, dim
             ids = batch.column("id").take(pa.array(at)).to_pylist()
             keep = np.ones(len(x), bool)
             for i, (row, name) in enumerate(zip(x, ids)):
-                held = kept.setdefault(hashlib.blake2b(row.tobytes(), digest_size=12).digest(), [])
+                held = kept.setdefault(class_key(row), [])
                 if name in held:
                     keep[i] = False
                 elif len(held) < copies:

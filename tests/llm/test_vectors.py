@@ -77,6 +77,23 @@ def test_copies_are_complete_and_bounded(spark):
     assert {r["id"] for r in groups if r["cluster_id"] == "K00000"} == {r[0] for r in rows} | {"S00000", "S00001", "S00002"}
 
 
+def test_one_direction_at_many_scales_is_one_class(spark):
+    x = voices(5, (3, 1, 1))
+    flat = [(f"K{i:05d}", [i + 1.0] * 256, 5.0, 0, "", 0) for i in range(600)]
+    scaled = [(f"L{i:05d}", (x[3] * np.float32(2.0 ** (i % 8))).tolist(), 5.0, 0, "", 0) for i in range(600)]
+    table = frame(spark, x, flat + scaled).repartition(3)
+    by = {}
+    for r in nearest_vectors(table).collect():
+        by.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
+    for name in "KL":
+        for i in range(600):
+            smallest = [f"{name}{j:05d}" for j in range(6) if j != i][:5]
+            assert sorted(by[f"{name}{i:05d}"]) == list(enumerate(smallest, 1))
+    groups = {r["id"]: r["cluster_id"] for r in linked_groups(table).collect()}
+    assert {i for i, c in groups.items() if c == "K00000"} == {r[0] for r in flat}
+    assert {i for i, c in groups.items() if c == "L00000"} == {r[0] for r in scaled} | {"S00003"}
+
+
 def test_empty_and_invalid_tables(spark):
     for t in (frame(spark, np.empty((0, 256))), spark.createDataFrame(DIRTY, SCHEMA)):
         assert nearest_vectors(t).count() == 0

@@ -40,15 +40,16 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, least: float = 0.6, dim: int
         for q, cols, sims in cell.blocks(rerank):
             if not len(cols):
                 continue
-            width = min(len(cols), k + 8)
-            best = np.argpartition(-sims, width - 1, axis=1)[:, :width] if width < len(cols) else np.tile(np.arange(len(cols)), (len(q), 1))
-            s = np.round(np.take_along_axis(sims, best, 1), 6)
-            order = np.lexsort((cols[best], -s), axis=1)[:, :k]
-            best, s = np.take_along_axis(best, order, 1), np.take_along_axis(s, order, 1)
-            i, j = np.nonzero(s >= least)
-            left.append(q[i])
-            right.append(cols[best[i, j]])
-            value.append(s[i, j])
+            kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1] if k < len(cols) else np.full(len(q), -1, np.float32)
+            # all that round to the k-th similarity stay until they are ordered by id: a file may hold many copies
+            i, j = np.nonzero(sims >= np.maximum(np.round(kth, 6), least)[:, None] - np.float32(1e-6))
+            s = np.round(sims[i, j], 6)
+            order = np.lexsort((j, -s, i))  # cols are in the order of ids
+            i, j, s = i[order], j[order], s[order]
+            keep = (np.arange(len(i)) - np.searchsorted(i, i) < k) & (s >= least)
+            left.append(q[i[keep]])
+            right.append(cols[j[keep]])
+            value.append(s[keep])
         if not left:
             return out.empty_table()
         a, b = np.concatenate(left), np.concatenate(right)

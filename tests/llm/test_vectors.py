@@ -77,6 +77,18 @@ def test_copies_are_complete_and_bounded(spark):
     assert {r["id"] for r in groups if r["cluster_id"] == "K00000"} == {r[0] for r in rows} | {"S00000", "S00001", "S00002"}
 
 
+def test_outsiders_meet_the_smallest_of_many_copies(spark):
+    rng = np.random.default_rng(8)
+    x = unit(rng.normal(size=256)).astype(np.float32)
+    rows = [(f"K{i:05d}", x.tolist(), 5.0, 0, "", 0) for i in range(600)]
+    rows += [(f"T{i}", unit(x + rng.normal(size=256) * 0.5 / 16).tolist(), 5.0, 0, "", 0) for i in range(3)]
+    by = {}
+    for r in nearest_vectors(spark.createDataFrame(rows, SCHEMA).repartition(40)).collect():
+        by.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
+    for i in range(3):
+        assert sorted(by[f"T{i}"]) == [(j + 1, f"K{j:05d}") for j in range(5)]
+
+
 def test_one_direction_at_many_scales_is_one_class(spark):
     x = voices(5, (3, 1, 1))
     flat = [(f"K{i:05d}", [i + 1.0] * 256, 5.0, 0, "", 0) for i in range(600)]

@@ -68,6 +68,8 @@ QUERIES = {
     "stream_vad_events": lambda s, d: fold(streamed(s, d), ["clip"], "kind string, sample long", lambda r: S.replay(S.vad_step, r["prob"])),
     "stream_hops": lambda s, d: fold(streamed(s, d), ["clip"], "first long, last long", lambda r: S.replay(lambda a, b: S.hop_step(a, b, 160_000, 128_000), [4096] * len(r["prob"]))),
     "stream_windows": lambda s, d: fold(streamed(s, d), ["clip"], "first long, fresh long, last long", lambda r: S.replay(lambda a, b: S.window_step(a, b, 32_000, 160_000, 16_000), [4096] * len(r["prob"]))),
+    "stream_windows_whole": lambda s, d: fold(streamed(s, d), ["clip"], "first long, fresh long, last long", lambda r: S.replay(
+        lambda a, b: S.window_step(a, b[0], 32_000, 160_000, 16_000, final=b[1]), [(4096, False)] * len(r["prob"]) + [(0, True)])),
     "stream_blocks": lambda s, d: fold(streamed(s, d), ["clip"], "kind string, n long, held long", lambda r: S.replay(S.placed_step, [((f + 1) * 0.256, 4096) for f in r["frame"]])),
     "stream_commit": lambda s, d: fold(partials(s, d), ["item_id"], "done string, ghost string, reason string", lambda r: S.replay(S.commit_step, [("text", t, float(i)) for i, t in enumerate(r["x"])] + [("end", None, 1e9)])[-1:]),
     "stream_confirm": lambda s, d: fold(partials(s, d), ["item_id"], "final string, tentative string", lambda r: S.replay(S.confirm_step, [(t, 0.9, 11.0 + i) for i, t in enumerate(r["x"])])[-1:]),
@@ -113,6 +115,8 @@ SELECT doc_id, CAST(no AS INT) AS no, f[2] AS rec, f[8] AS spk, round(try_cast(f
 SELECT clip, CASE WHEN frame * 4096 > held THEN 'gap' ELSE 'next' END AS kind, CAST(frame * 4096 - held AS BIGINT) AS n, CAST((frame + 1) * 4096 AS BIGINT) AS held FROM p""",
     "stream_windows": f"""WITH {_F}, n AS (SELECT clip, count(*) * 4096 AS n FROM f GROUP BY clip HAVING count(*) * 4096 >= 48000)
 SELECT clip, greatest(0, i * 32000 - 160000) AS first, i * 32000 AS fresh, (i + 1) * 32000 AS last FROM (SELECT clip, unnest(range(0, (n - 48000) // 32000 + 1)) AS i FROM n)""",
+    "stream_windows_whole": f"""WITH {_F}, c AS (SELECT clip, count(*) * 4096 AS n FROM f GROUP BY clip), n AS (SELECT *, greatest(0, (n - 16000) // 32000) AS k FROM c)
+SELECT clip, greatest(0, i * 32000 - 160000) AS first, i * 32000 AS fresh, CASE WHEN i = k THEN n ELSE (i + 1) * 32000 END AS last FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM n)""",
     "stream_vad_events": VAD_EVENTS,
     "integrate_and_fire": f"""WITH RECURSIVE {_F}, r AS (
   SELECT clip, frame AS t, prob AS a, row_number() OVER (PARTITION BY clip ORDER BY frame) AS i FROM f

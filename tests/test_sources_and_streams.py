@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import text as X
 from cadenza.operators import registry as R, sessions as O
+from cadenza.plans.intervals import frames
 from cadenza.sources import readers, sinks
 from cadenza.streaming import live, machines
 
@@ -145,3 +146,17 @@ def test_windows_and_callbacks(spark, events, tmp_path):
     assert got.count() > 0 and got.filter("n > 4").count() == 0
     live.run_to_table(live.sessions(live.files(spark, events, schema, 10), "ts", "2 seconds", "0 seconds", "clip"), str(tmp_path / "s"), str(tmp_path / "cp3"))
     assert spark.read.parquet(str(tmp_path / "s")).count() >= 0
+
+
+def test_every_sample_of_a_clip_is_new_in_one_window(spark):
+    import __spark_entry__ as entry
+
+    directory = "/root/testdata/sf0.001"
+    length = {r["clip"]: r["n"] * 4096 for r in frames(spark, directory).groupBy("clip").count().withColumnRenamed("count", "n").collect()}
+    spans = {}
+    for r in entry.queries()["stream_windows_whole"](spark, directory).collect():
+        spans.setdefault(r["clip"], []).append((r["fresh"], r["last"]))
+    assert spans.keys() == length.keys()
+    for clip, found in spans.items():
+        edges = sorted(found)
+        assert [a for a, _ in edges] == [0, *(b for _, b in edges[:-1])] and edges[-1][1] == length[clip]

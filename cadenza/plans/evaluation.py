@@ -39,6 +39,9 @@ QUERIES = {
     "speaker_activity_sum": lambda s, d: segments(s, d).groupBy("rec", "spk").agg(F.sum(F.col("e") - F.col("s")).alias("activity")),
     "segments_by_speaker": lambda s, d: segments(s, d).groupBy("rec", "spk").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("first"), F.max("e").alias("last")),
     "assignment_histogram": lambda s, d: table(s, d, "token_windows").groupBy("chunk").pivot("dur", [1, 2, 3, 4]).agg(F.count(F.lit(1))).na.fill(0).select("chunk", *[F.col(str(i)).alias(f"d{i}") for i in (1, 2, 3, 4)]),
+    "assignment_histogram_whole": lambda s, d: table(s, d, "token_windows").groupBy("chunk").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("dur") == i).alias(f"d{i}") for i in range(5)],
+        F.count_if(F.col("dur").isNull()).alias("missing"), F.count_if(~F.col("dur").between(0, 4)).alias("other")),
     "co_occurrence": lambda s, d: M.co_occurrence(segments(s, d), hypothesis(s, d), 10),
     "worst_cases": lambda s, d: R.worst_cases(table(s, d, "orders"), "o_totalprice", 400_000, "o_orderkey").select("o_orderkey", "o_totalprice"),
     "topk_global": lambda s, d: table(s, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey", "o_totalprice"),
@@ -91,6 +94,7 @@ SELECT name, round(der, 6) AS der, round(jer, 6) AS jer FROM g UNION ALL SELECT
     "speaker_activity_sum": f"{SEG} SELECT rec, spk, CAST(sum(e - s) AS BIGINT) AS activity FROM seg GROUP BY rec, spk",
     "segments_by_speaker": f"{SEG} SELECT rec, spk, count(*) AS n, min(s) AS first, max(e) AS last FROM seg GROUP BY rec, spk",
     "assignment_histogram": f"SELECT chunk, {', '.join(f'count(*) FILTER (dur = {i}) AS d{i}' for i in (1, 2, 3, 4))} FROM token_windows GROUP BY chunk",
+    "assignment_histogram_whole": f"SELECT chunk, count(*) AS n, {', '.join(f'count(*) FILTER (dur = {i}) AS d{i}' for i in range(5))}, count(*) FILTER (dur IS NULL) AS missing, count(*) FILTER (dur < 0 OR dur > 4) AS other FROM token_windows GROUP BY chunk",
     "co_occurrence": f"""{SEG}, {merge_sql('a', 'seg', ['rec', 'spk'])}, {merge_sql('b', 'hyp', ['rec', 'hyp'])},
 fa AS (SELECT DISTINCT rec, spk, unnest(range(CAST(ceil(s / 10 - 0.5) AS BIGINT), CAST(ceil(e / 10 - 0.5) AS BIGINT))) AS f FROM a), fb AS (SELECT DISTINCT rec, hyp, unnest(range(CAST(ceil(s / 10 - 0.5) AS BIGINT), CAST(ceil(e / 10 - 0.5) AS BIGINT))) AS f FROM b)
 SELECT rec, spk, hyp, count(*) AS frames FROM fa JOIN fb USING (rec, f) GROUP BY rec, spk, hyp""",

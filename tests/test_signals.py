@@ -134,3 +134,14 @@ def test_seam_words_and_plans(spark):
     clips = spark.createDataFrame([("c", 500_000), ("d", 1000)], "clip string, total long")
     quiet = spark.createDataFrame([("c", f, 0.001 if f == 150 else 1.0) for f in range(390)], "clip string, frame int, value double")
     assert rows(T.silence_aligned_starts(clips, quiet, 208_000, 240_000)) == [("c", 0, 0), ("c", 1, 192_000), ("c", 2, 416_000 // 1280 * 1280), ("d", 0, 0)]
+
+
+def test_histogram_counts_every_row(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(0, None), (0, 0), (0, 1), (0, 4), (0, 9), (None, -1), (1, 0)]
+    spark.createDataFrame(rows, "chunk int, dur int").write.parquet(str(tmp_path / "token_windows.parquet"))
+    got = {r["chunk"]: r.asDict() for r in entry.queries()["assignment_histogram_whole"](spark, str(tmp_path)).collect()}
+    assert {c: r["n"] for c, r in got.items()} == {0: 5, 1: 1, None: 1}
+    assert all(r["n"] == sum(v for k, v in r.items() if k not in ("chunk", "n")) for r in got.values())
+    assert (got[0]["missing"], got[0]["d0"], got[0]["other"], got[None]["other"]) == (1, 1, 1, 1)

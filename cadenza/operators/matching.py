@@ -171,13 +171,13 @@ def words_in_window(words: DataFrame, windows: DataFrame, key: str) -> DataFrame
     return stretch.unionByName(near)
 
 
-def keyword_hits(texts: DataFrame, keywords: DataFrame, key: str) -> DataFrame:
+def keyword_hits(texts: DataFrame, keywords: DataFrame, key: str, word: str = "[a-z0-9_]+") -> DataFrame:
     """Keywords (single words, lower case) in the reference and hypothesis of each text: ``key, tp, fp, fn``; texts without any are left out.
 
     Texts are cut into words and joined by equality, not matched against every keyword.
     """
     def found(col):
-        w = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(col), F.lit("([a-z0-9_]+)")))).alias("word"))
+        w = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(col), F.lit(f"({word})")))).alias("word"))
         return w.join(keywords.select("word").distinct(), "word", "left_semi").withColumn(col, F.lit(1))
 
     both = found("reference").join(found("hypothesis"), [key, "word"], "full")

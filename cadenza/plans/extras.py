@@ -11,7 +11,7 @@ from cadenza.operators.sessions import fold
 from cadenza.plans.decoding import VAD_EVENTS
 from cadenza.plans.evaluation import rounded
 from cadenza.plans.intervals import SEG, frames, segments
-from cadenza.plans.likeness import asked, terms, vecs, words
+from cadenza.plans.likeness import asked, terms, vecs, whole_terms, whole_words, words
 from cadenza.plans.signals import TOK, clips, tokens
 from cadenza.session import shared_dir, table
 from cadenza.streaming import live, machines as S
@@ -62,7 +62,15 @@ def nearest_words(s, d):
 
 PINYIN = {"昨天": ["zuó", "tiān"], "不": ["bù"], "一": ["yī"], "你好": ["nǐ", "hǎo"], "已经": ["yǐ", "jīng"], "测量": ["cè", "liáng"], "保存": ["bǎo", "cún"], "检查": ["jiǎn", "chá"]}
 
-QUERIES = {
+def lexical(words, terms):
+    return {
+        "inline_diff": lambda s, d: Q.pairwise(words(s, d).groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("a")).withColumn("b", F.transform("a", lambda w: F.regexp_replace(w, "er$", "ar"))), ["item_id"], "a", "b", lambda a, b: [" ".join(Q.diff(a, b)[0])], "marked", "array<string>"),
+        "vocabulary_replacements": lambda s, d: rounded(Z.vocabulary_replacements(words(s, d), terms(s, d), "item_id", "at", 1, 0.7)),
+        "stress_marks": lambda s, d: words(s, d).select("word").distinct().select("word", O.apply_text(F.col("word"), lambda w: P.stressed(w, 1.5)).alias("stressed")),
+    }
+
+
+QUERIES = lexical(words, terms) | {f"{n}_whole": q for n, q in lexical(whole_words, whole_terms).items()} | {
     "sample_slice": lambda s, d: signal(s, d).select("clip", F.aggregate(F.slice("x", 33, 64), F.lit(0.0), lambda a, x: a + x).alias("sum")).select("clip", F.round("sum", 6).alias("sum")),
     "duration_between": lambda s, d: clips(s, d).filter((F.col("total") / 16000).between(5.0, 30.0)),
     "audio_issues": lambda s, d: signal(s, d).select("clip", F.array_join(V.audio_issues(F.col("x"), 16, 100.0, 0.5), ",").alias("issues")),
@@ -79,12 +87,9 @@ QUERIES = {
     "mel_spectrogram": lambda s, d: fold(signal(s, d), ["clip"], "frames int, energy double", lambda r: [(len(m), round(float(m.mean()), 6) if len(m) else 0.0) for m in [A.mel_spectrogram(np.array(r["x"]), bands=32)]]),
     "rumble_filter": lambda s, d: fold(signal(s, d), ["clip"], "rms double", lambda r: [(round(float(np.sqrt((A.high_pass(np.array(r["x"])) ** 2).mean())), 6),)]),
     "resample_linear": lambda s, d: fold(signal(s, d), ["clip"], "n int, mean double", lambda r: [(len(y), round(float(y.mean()), 6) if len(y) else 0.0) for y in [A.resample(np.array(r["x"]), 24, 16)]]),
-    "inline_diff": lambda s, d: Q.pairwise(words(s, d).groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("a")).withColumn("b", F.transform("a", lambda w: F.regexp_replace(w, "er$", "ar"))), ["item_id"], "a", "b", lambda a, b: [" ".join(Q.diff(a, b)[0])], "marked", "array<string>"),
-    "vocabulary_replacements": lambda s, d: rounded(Z.vocabulary_replacements(words(s, d), terms(s, d), "item_id", "at", 1, 0.7)),
     "custom_rules": lambda s, d: Z.custom_rules(table(s, d, "eval_items").select("item_id", "text"), "text", [("the", "THE"), ("of the", "OF_THE")]),
     "normalised_vocabulary": lambda s, d: table(s, d, "token_pieces").select(F.regexp_replace(F.lower("piece"), "[^a-z0-9]", "").alias("form")).filter("form <> ''").distinct(),
     "words_in_window": nearest_words,
-    "stress_marks": lambda s, d: words(s, d).select("word").distinct().select("word", O.apply_text(F.col("word"), lambda w: P.stressed(w, 1.5)).alias("stressed")),
     "pinyin_tones": lambda s, d: table(s, d, "documents").filter("lang = 'zh' AND text IS NOT NULL").select("doc_id", O.apply_text(F.col("text"), lambda t: " ".join(f"{b}{n}" for b, n in P.read_aloud(t, PINYIN, {}))).alias("sounds")),
     "lexicon_matches": lambda s, d: fold(table(s, d, "documents").filter("lang = 'zh' AND text IS NOT NULL").select("doc_id", "text"), ["doc_id"], "known int", lambda r: [(sum(h is not None for _, h in K.longest_matches(r["text"], {k: k for k in PINYIN})),)]),
     "live_vad": live_vad,

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cadenza.functions import vectors as V
+from cadenza.functions import text as N, vectors as V
 from cadenza.operators import matching as X, metrics as M, registry as R
 from cadenza.operators.intervals import collar_trim, merged, overlap_join, overlap_length, subtract
 from cadenza.plans.evaluation import rounded
@@ -36,6 +36,20 @@ def terms(s, d):
     return table(s, d, "token_pieces").select(F.regexp_replace(F.lower("piece"), "[^a-z]", "").alias("term")).filter("length(term) >= 4").distinct()
 
 
+WORD = r"\p{L}[\p{L}\p{M}]*"
+
+
+def whole_words(s, d):
+    """Words of any script and length, in NFKC: neighbours here are neighbours in the text."""
+    w = table(s, d, "eval_items").filter("item_id IS NOT NULL").select("item_id", N.nfkc("text").alias("text"))
+    return w.select("item_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"))).alias("at", "word"))
+
+
+def whole_terms(s, d):
+    t = table(s, d, "token_pieces").select(N.nfkc("piece").alias("piece"))
+    return t.select(F.regexp_replace(F.lower("piece"), r"[^\p{L}\p{M}]", "").alias("term")).filter("length(term) > 0").distinct()
+
+
 def mapping(s, d):
     return X.best_mapping(M.co_occurrence(segments(s, d), hypothesis(s, d), 10), "rec", "spk", "hyp", "frames")
 
@@ -68,7 +82,22 @@ def jaccard(s, d):
     return j.select("rec", value.alias("j")).unionByName(lone).groupBy("rec").agg(((1 - F.avg("j")) * 100).alias("jer"))
 
 
-QUERIES = {
+def lexical(words, terms):
+    return {
+        "edit_distance_join": lambda s, d: X.edit_join(words(s, d), terms(s, d), 1),
+        "string_similarity": lambda s, d: rounded(X.edit_join(words(s, d), terms(s, d), 1).select("word", "term", X.similarity(F.col("word"), F.col("term")).alias("sim"), X.penalised(F.col("word"), F.col("term")).alias("penalised"))),
+        "word_spans": lambda s, d: X.spans(words(s, d), ["item_id"], "at"),
+        "span_candidates": lambda s, d: X.edit_join(X.spans(words(s, d), ["item_id"], "at", 2).select(F.col("glued").alias("word")), terms(s, d), 1),
+        "lookup_chain": lambda s, d: X.lookup_chain(words(s, d), [
+            terms(s, d).select(F.col("term").alias("word"), F.upper("term").alias("value")), words(s, d).select("word").distinct().filter("word LIKE '%s'").select("word", F.expr("substr(word, 1, length(word) - 1)").alias("value"))]).na.fill(-1, ["stage"]),
+        "greedy_spans": lambda s, d: rounded(X.pick_apart(X.spans(words(s, d), ["item_id"], "at", 3).withColumn("score", (F.length("glued") % 7) / 7.0), "item_id", "at", "n", "score", "phrase")),
+    }
+
+
+QUERIES = lexical(words, terms) | {f"{n}_whole": q for n, q in lexical(whole_words, whole_terms).items()} | {
+    "keyword_presence_whole": lambda s, d: X.keyword_hits(
+        table(s, d, "eval_items").select("item_id", N.nfkc("text").alias("reference")).withColumn("hypothesis", F.regexp_replace("reference", "er", "ar")),
+        whole_words(s, d).filter("length(word) > 6").select("word"), "item_id", WORD),
     "embedding_valid": lambda s, d: table(s, d, "speaker_params").select("id", "updated_at", V.is_embedding(F.col("embedding")).alias("ok")).distinct(),
     "embedding_quality": lambda s, d: rounded(vecs(s, d).select("id", V.quality(F.col("v")).alias("quality"), V.rms(F.col("v")).alias("rms"))),
     "l2_normalise": lambda s, d: vecs(s, d).select("id", F.transform(V.l2(F.col("v")), lambda x: F.round(x, 5)).alias("v")),
@@ -82,22 +111,15 @@ QUERIES = {
     "mean_vector": lambda s, d: centroids(s, d).select("id", F.transform("v", lambda x: F.round(x, 5)).alias("v")),
     "weighted_centroid": lambda s, d: R.mean_vectors(vecs(s, d).withColumn("w", F.col("id") % 4 + 1), ["label"], "v", "w", unit=True).select("label", F.transform("v", lambda x: F.round(x, 5)).alias("v")),
     "centroid_assign": lambda s, d: X.cosine_pairs(centroids(s, d).withColumn("id", -1 - F.col("id")), vecs(s, d), within=2.0).groupBy("id").agg(F.min(F.struct("distance", (-1 - F.col("q")).alias("c"))).alias("m")).select("id", F.col("m.c").alias("centroid")),
-    "edit_distance_join": lambda s, d: X.edit_join(words(s, d), terms(s, d), 1),
-    "string_similarity": lambda s, d: rounded(X.edit_join(words(s, d), terms(s, d), 1).select("word", "term", X.similarity(F.col("word"), F.col("term")).alias("sim"), X.penalised(F.col("word"), F.col("term")).alias("penalised"))),
-    "word_spans": lambda s, d: X.spans(words(s, d), ["item_id"], "at"),
-    "span_candidates": lambda s, d: X.edit_join(X.spans(words(s, d), ["item_id"], "at", 2).select(F.col("glued").alias("word")), terms(s, d), 1),
     "time_tolerant_match": lambda s, d: X.time_matches(
         tokens(s, d).filter("chunk % 2 = 0").select("clip", F.col("token").alias("label"), F.col("ts").alias("t"), F.struct("chunk", "pos").alias("n")),
         tokens(s, d).filter("chunk % 2 = 1").select("clip", F.col("token").alias("label"), F.col("ts").alias("t"), F.struct("chunk", "pos").alias("n")), ["clip"], 13).groupBy("clip").agg(F.count(F.lit(1)).alias("pairs")),
     "keyword_presence": lambda s, d: X.keyword_hits(
         table(s, d, "eval_items").select("item_id", F.col("text").alias("reference"), F.regexp_replace("text", "er", "ar").alias("hypothesis")), words(s, d).filter("length(word) > 6").select("word"), "item_id"),
-    "lookup_chain": lambda s, d: X.lookup_chain(words(s, d), [
-        terms(s, d).select(F.col("term").alias("word"), F.upper("term").alias("value")), words(s, d).select("word").distinct().filter("word LIKE '%s'").select("word", F.expr("substr(word, 1, length(word) - 1)").alias("value"))]).na.fill(-1, ["stage"]),
     "optimal_assignment": lambda s, d: mapping(s, d).groupBy("rec").agg(F.count(F.lit(1)).alias("pairs")),
     "der_frames": lambda s, d: rounded(frame_errors(s, d)),
     "der_miss_fa": lambda s, d: frame_errors(s, d).select("rec", "total", "missed", "false_alarm"),
     "jer": lambda s, d: rounded(jaccard(s, d), 4),
-    "greedy_spans": lambda s, d: rounded(X.pick_apart(X.spans(words(s, d), ["item_id"], "at", 3).withColumn("score", (F.length("glued") % 7) / 7.0), "item_id", "at", "n", "score", "phrase")),
     "registry_upsert": lambda s, d: R.upsert(voices(s, d).filter("length(id) > 0 AND substr(id, -1, 1) < '7'"), voices(s, d).filter("substr(id, -1, 1) > '4'").withColumn("duration", F.col("duration") + 1), "id").select("id", "duration"),
     "registry_skip": lambda s, d: R.initialise(voices(s, d).filter("substr(id, -1, 1) < '7'"), voices(s, d).filter("substr(id, -1, 1) > '4'").withColumn("duration", F.col("duration") + 1), "id", "skip").select("id", "duration"),
     "registry_reset": lambda s, d: R.initialise(voices(s, d).filter("substr(id, -1, 1) < '7'"), voices(s, d).filter("substr(id, -1, 1) > '4'").withColumn("duration", F.col("duration") + 1), "id", "reset").select("id", "duration"),

@@ -219,3 +219,38 @@ def test_decoders_match_brute_force():
 def test_language_model_in_beam():
     frames = [[math.log(x) for x in row] for row in ([0.1, 0.45, 0.45], [0.8, 0.1, 0.1])]
     assert C.beam_search(frames, {1: "▁a", 2: "▁b"}, 0, score=lambda w, before: 0.0 if w == "b" else -9.0, weight=1.0) == [2]
+
+
+def test_whole_words_and_terms_of_every_script_meet(spark):
+    import re
+    import unicodedata
+
+    import __spark_entry__ as entry
+    from cadenza.plans.likeness import whole_terms, whole_words
+
+    directory = "/root/testdata/sf0.001"
+
+    def column(table, name):
+        return [unicodedata.normalize("NFKC", r[0]).lower() for r in spark.read.parquet(f"{directory}/{table}.parquet").select(name).collect() if r[0]]
+
+    def letters(t):
+        return "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in t)
+
+    words = {w for t in column("eval_items", "text") for w in letters(t).split()}
+    terms = {letters(t).replace(" ", "") for t in column("token_pieces", "piece")} - {""}
+    assert {r["word"] for r in whole_words(spark, directory).collect()} == words
+    assert {r["term"] for r in whole_terms(spark, directory).collect()} == terms
+
+    def close(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(b) - len(a) > 1:
+            return False
+        i = next((i for i in range(len(a)) if a[i] != b[i]), len(a))
+        return a[i + 1:] == b[i + 1:] if len(a) == len(b) else a[i:] == b[i + 1:]
+
+    want = {(w, t) for w in words for t in terms if close(w, t)}
+    assert {(r["word"], r["term"]) for r in entry.queries()["edit_distance_join_whole"](spark, directory).collect()} == want
+    assert any(len(w) < 4 for w, _ in want) and any(re.search("[^a-z]", t) for _, t in want)
+    for name in ("string_similarity", "word_spans", "span_candidates", "keyword_presence", "lookup_chain", "greedy_spans", "vocabulary_replacements", "inline_diff", "stress_marks"):
+        assert entry.queries()[f"{name}_whole"](spark, directory).count() > 0

@@ -27,9 +27,9 @@ def stream_of(s, d, name, schema):
     return s.readStream.schema(schema).parquet(f"{d}/{name}.parquet*")
 
 
-def _run(s, out):
+def _run(s, out, how=live.run_to_table):
     base = f"{shared_dir(s)}/cadenza-{uuid.uuid4().hex}"
-    live.run_to_table(out, base + "-out", base + "-state")
+    how(out, base + "-out", base + "-state")
     return s.read.parquet(base + "-out")
 
 
@@ -41,7 +41,7 @@ def live_vad(s, d):
 
 def live_windows(s, d):
     t = stream_of(s, d, "events", "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp"))
-    return _run(s, live.sliding(t, "ts", "6 hours", "3 hours", "1 hour", "event_type")).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+    return _run(s, live.sliding(t, "ts", "6 hours", "3 hours", "1 hour", "event_type"), live.run_whole).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
 
 
 def matrix_product(s, d):

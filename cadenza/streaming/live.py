@@ -56,6 +56,13 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     return q
 
 
+def run_whole(stream: DataFrame, path: str, checkpoint: str):
+    """Writes the aggregates over all that is there now, with those the watermark hasn't closed, and ends."""
+    q = stream.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
 def each_batch(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str):
     """Binds a callback to every micro-batch."""
     q = stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -160,3 +160,12 @@ def test_every_sample_of_a_clip_is_new_in_one_window(spark):
     for clip, found in spans.items():
         edges = sorted(found)
         assert [a for a, _ in edges] == [0, *(b for _, b in edges[:-1])] and edges[-1][1] == length[clip]
+
+
+def test_live_windows_equal_the_batch(spark):
+    import __spark_entry__ as entry
+
+    directory = "/root/testdata/sf0.01"
+    e = spark.read.parquet(f"{directory}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    want = e.groupBy(F.window("ts", "6 hours", "3 hours").alias("w"), "event_type").count().select(F.date_format("w.start", "yyyy-MM-dd HH:mm"), "event_type", "count")
+    assert sorted(rows(entry.queries()["live_windows"](spark, directory))) == sorted(rows(want))

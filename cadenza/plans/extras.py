@@ -80,7 +80,7 @@ QUERIES = lexical(words, terms) | {f"{n}_whole": q for n, q in lexical(whole_wor
     "padding_mask": lambda s, d: clips(s, d).select("clip", F.aggregate(V.masked(F.lit(50), (F.col("total") / 16000).cast("int")), F.lit(0), lambda a, x: a + x).alias("valid")),
     "matrix_product": matrix_product,
     "pairwise_euclidean": lambda s, d: X.cosine_pairs(asked(s, d), vecs(s, d), within=1e9, cosine=False).select("q", "id", F.round("distance", 4).alias("d")),
-    "log_space_mean": lambda s, d: vecs(s, d).select("id", F.transform(V.log_mean(V.log_softmax(F.slice("v", 1, 4)), V.log_softmax(F.slice("v", 5, 4))), lambda x: F.round(x, 5)).alias("v")),
+    "log_space_mean": lambda s, d: vecs(s, d).select("id", F.transform(V.log_mean(V.log_softmax(F.slice("v", 1, 32)), V.log_softmax(F.slice("v", 33, 32))), lambda x: F.round(x, 5)).alias("v")),
     "plda_score": lambda s, d: rounded(vecs(s, d).select("id", V.plda_score(F.slice("v", 1, 32), F.slice("v", 33, 32)).alias("score"))),
     "noise_schedule": lambda s, d: s.range(1).select(F.posexplode(V.power_schedule(12, 0.0001, 3.0, 9.0)).alias("step", "sigma")).select("step", F.round("sigma", 8).alias("sigma")),
     "alignment_matrix": lambda s, d: tokens(s, d).select("clip", "chunk", "pos", F.explode(F.sequence(F.lit(0), F.greatest(F.col("dur"), F.lit(1)) - 1)).alias("k")).select("clip", "chunk", "pos", "k"),
@@ -110,8 +110,8 @@ ORACLE = {
     "matrix_product": """WITH l AS (SELECT label, i, sum(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 65) r(i) GROUP BY label, i)
 SELECT a.label, b.label AS other, round(sum(a.x * b.x), 4) AS z FROM l a JOIN l b USING (i) GROUP BY ALL""",
     "pairwise_euclidean": "SELECT q.vec_id AS q, r.vec_id AS id, round(list_distance(list_transform(q.embedding, lambda x: x::DOUBLE), r.embedding::DOUBLE[]), 4) AS d FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id",
-    "log_space_mean": """WITH p AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: exp(x::DOUBLE)) AS a, list_transform(embedding[5:8], lambda x: exp(x::DOUBLE)) AS b FROM embeddings)
-SELECT vec_id AS id, list_transform([1, 2, 3, 4], lambda i: round(ln((a[i] / list_sum(a) + b[i] / list_sum(b)) / 2), 5)) AS v FROM p""",
+    "log_space_mean": """WITH p AS (SELECT vec_id, list_transform(embedding[1:32], lambda x: exp(x::DOUBLE)) AS a, list_transform(embedding[33:64], lambda x: exp(x::DOUBLE)) AS b FROM embeddings)
+SELECT vec_id AS id, list_transform(range(1, 33), lambda i: round(ln((a[i] / list_sum(a) + b[i] / list_sum(b)) / 2), 5)) AS v FROM p""",
     "plda_score": "SELECT vec_id AS id, round(list_cosine_similarity(embedding[1:32]::DOUBLE[], embedding[33:64]::DOUBLE[]), 6) AS score FROM embeddings",
     "noise_schedule": "SELECT CAST(i AS INT) AS step, round(CASE WHEN i = 12 THEN 0 ELSE pow(pow(3.0, 1.0 / 9) + i / 11 * (pow(0.0001, 1.0 / 9) - pow(3.0, 1.0 / 9)), 9) END, 8) AS sigma FROM range(13) r(i)",
     "custom_rules": r"SELECT item_id, regexp_replace(regexp_replace(text, '\bof the\b', 'OF_THE', 'gi'), '\bthe\b', 'THE', 'gi') AS text FROM eval_items",

@@ -20,7 +20,7 @@ def asked(s, d):
 
 
 def voices(s, d):
-    return R.last_wins(table(s, d, "speaker_params").select("id", "name", F.col("duration").cast("double").alias("duration"), "updated_at", "update_count", "permanent").filter("id IS NOT NULL"), ["id"], "updated_at")
+    return R.last_wins(table(s, d, "speaker_params").select("id", "name", F.nanvl(F.col("duration").cast("double"), F.lit(None)).alias("duration"), "updated_at", "update_count", "permanent").filter("id IS NOT NULL"), ["id"], "updated_at")
 
 
 def centroids(s, d):
@@ -103,8 +103,8 @@ QUERIES = lexical(words, terms) | {f"{n}_whole": q for n, q in lexical(whole_wor
     "l2_normalise": lambda s, d: vecs(s, d).select("id", F.transform(V.l2(F.col("v")), lambda x: F.round(x, 5)).alias("v")),
     "softmax": lambda s, d: rounded(vecs(s, d).select("id", F.round(V.log_sum_exp(F.col("v")), 6).alias("lse"), F.array_max(V.softmax(F.col("v"))).alias("top"))),
     "log_softmax": lambda s, d: rounded(vecs(s, d).select("id", F.array_max(V.log_softmax(F.col("v"), 0.5)).alias("top"))),
-    "interpolate": lambda s, d: vecs(s, d).select("id", F.transform(V.resample(F.slice("v", 1, 8), F.lit(12)), lambda x: F.round(x, 5)).alias("v")),
-    "exclusive_scores": lambda s, d: rounded(vecs(s, d).select("id", F.element_at(V.exclusive_scores(F.transform(F.slice("v", 1, 4), lambda x: V.sigmoid(x.cast("double"))), 0.25), 1).alias("score"))),
+    "interpolate": lambda s, d: vecs(s, d).select("id", F.transform(V.resample(F.col("v"), F.lit(96)), lambda x: F.round(x, 5) + 0.0).alias("v")),
+    "exclusive_scores": lambda s, d: vecs(s, d).select("id", F.transform(V.exclusive_scores(F.transform("v", lambda x: V.sigmoid(x.cast("double"))), 0.25), lambda x: F.round(x, 6) + 0.0).alias("scores")),
     "nn_join": lambda s, d: rounded(X.cosine_pairs(asked(s, d), vecs(s, d), k=5), 5),
     "threshold_join": lambda s, d: X.cosine_pairs(asked(s, d), vecs(s, d), within=0.7).select("q", "id"),
     "mergeable_pairs": lambda s, d: X.mergeable(X.cosine_pairs(vecs(s, d), vecs(s, d), within=0.6), vecs(s, d).select("id", (F.col("id") % 3 == 0).alias("permanent"))).select("source", "target"),
@@ -132,7 +132,7 @@ QUERIES = lexical(words, terms) | {f"{n}_whole": q for n, q in lexical(whole_wor
 _W = "w AS (SELECT item_id, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]{4,}') AS l FROM eval_items WHERE item_id IS NOT NULL))"
 _T = "t AS (SELECT DISTINCT term FROM (SELECT regexp_replace(lower(piece), '[^a-z]', '', 'g') AS term FROM token_pieces) WHERE length(term) >= 4)"
 _NEAR = f"{_W}, {_T}, dw AS (SELECT DISTINCT word FROM w), near AS (SELECT word, term, CAST(levenshtein(word, term) AS INT) AS distance FROM dw, t WHERE abs(length(word) - length(term)) <= 1 AND levenshtein(word, term) <= 1)"
-_V = "vc AS (SELECT id, arg_max(CAST(duration AS DOUBLE), {u}) AS duration, max(updated_at) AS updated_at, arg_max(coalesce(update_count, -1), {u}) AS update_count, arg_max(coalesce(permanent, false), {u}) AS permanent FROM speaker_params WHERE id IS NOT NULL GROUP BY id)".replace("{u}", "updated_at")
+_V = "vc AS (SELECT id, CASE WHEN NOT isnan(arg_max(CAST(duration AS DOUBLE), {u})) THEN arg_max(CAST(duration AS DOUBLE), {u}) END AS duration, max(updated_at) AS updated_at, arg_max(coalesce(update_count, -1), {u}) AS update_count, arg_max(coalesce(permanent, false), {u}) AS permanent FROM speaker_params WHERE id IS NOT NULL GROUP BY id)".replace("{u}", "updated_at")
 _VALID = "len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) > 0.1"
 _HITS = """{n} AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower({c}), '[a-z0-9_]+')) AS word FROM eval_items), {n}k AS (SELECT * FROM {n} WHERE word IN (SELECT word FROM w WHERE length(word) > 6))"""
 
@@ -142,10 +142,11 @@ ORACLE = {
     "l2_normalise": "SELECT vec_id AS id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y))), 5)) AS v FROM embeddings",
     "softmax": "SELECT vec_id AS id, round(ln(z), 6) AS lse, round(exp(list_max(embedding)::DOUBLE) / z, 6) AS top FROM (SELECT *, list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE)))) AS z FROM embeddings)",
     "log_softmax": "SELECT vec_id AS id, round(list_max(embedding)::DOUBLE * 2 - ln(list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE) * 2)))), 6) AS top FROM embeddings",
-    "interpolate": """WITH p AS (SELECT vec_id, embedding, i, greatest(0.0, least(7.0, (i + 0.5) / 1.5 - 0.5)) AS pos FROM embeddings, range(12) r(i))
-SELECT vec_id AS id, list(round(embedding[1 + floor(pos)::INT]::DOUBLE * (1 - (pos - floor(pos))) + embedding[1 + least(floor(pos)::INT + 1, 7)]::DOUBLE * (pos - floor(pos)), 5) ORDER BY i) AS v FROM p GROUP BY vec_id""",
-    "exclusive_scores": """WITH p AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: 1 / (1 + exp(-CAST(x AS DOUBLE)))) AS p FROM embeddings)
-SELECT vec_id AS id, round(ln(greatest(p[1], 0.25)) - ln(1 - least(p[1], 0.75)) + ln(2) + list_sum(list_transform(p, lambda x: ln(1 - least(x, 0.75)))), 6) AS score FROM p""",
+    "interpolate": """WITH p AS (SELECT vec_id, embedding, i, greatest(0.0, least(63.0, (i + 0.5) / 1.5 - 0.5)) AS pos FROM embeddings, range(96) r(i))
+SELECT vec_id AS id, list(round(embedding[1 + floor(pos)::INT]::DOUBLE * (1 - (pos - floor(pos))) + embedding[1 + least(floor(pos)::INT + 1, 63)]::DOUBLE * (pos - floor(pos)), 5) + 0.0 ORDER BY i) AS v FROM p GROUP BY vec_id""",
+    "exclusive_scores": """WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: 1 / (1 + exp(-CAST(x AS DOUBLE)))) AS p FROM embeddings),
+r AS (SELECT *, list_sum(list_transform(p, lambda x: ln(1 - least(x, 0.75)))) AS r FROM p)
+SELECT vec_id AS id, list_transform(p, lambda x: round(ln(greatest(x, 0.25)) - ln(1 - least(x, 0.75)) + ln(2) + r, 6) + 0.0) AS scores FROM r""",
     "nn_join": """WITH c AS (SELECT q.vec_id AS q, r.vec_id AS id, 1 - list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS distance FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY distance, id) AS INT) AS rank FROM c) SELECT q, id, round(distance, 5) AS distance, rank FROM k WHERE rank <= 5""",
     "threshold_join": "SELECT q.vec_id AS q, r.vec_id AS id FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id AND 1 - list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) <= 0.7",

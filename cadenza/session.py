@@ -30,13 +30,15 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor reaches.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is made and set.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and
+    the master is local (tests on one machine) a temporary folder is made and set.
     """
     directory = spark.conf.get("spark.checkpoint.dir", None)
     if not directory:
         directory = getattr(spark, "_cadenza_shared", None)
         if not directory:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             directory = "file://" + tempfile.mkdtemp(prefix="cadenza-")
             spark._cadenza_shared = directory
     if spark.sparkContext.getCheckpointDir() is None:

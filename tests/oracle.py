@@ -4,7 +4,7 @@ import math
 from pathlib import Path
 
 import duckdb
-import pandas as pd
+import pyarrow as pa
 
 DATA = "/root/testdata"
 
@@ -17,10 +17,9 @@ def database(directory: str):
 
 
 def canon(v):
-    if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)) or v is pd.NaT:
-        return None
+    """A value as text and tuples: NaN isn't null, and 0.0 isn't -0.0."""
     if isinstance(v, float):
-        return float(f"{v:.9g}")
+        return "NaN" if math.isnan(v) else f"{v:.9g}"
     if hasattr(v, "tolist") and not isinstance(v, (str, bytes)):
         return canon(v.tolist())
     if isinstance(v, (list, tuple)):
@@ -30,15 +29,16 @@ def canon(v):
     return v
 
 
-def rows(pdf: pd.DataFrame):
-    cols = sorted(pdf.columns)
-    return cols, sorted((tuple(canon(x) for x in r) for r in pdf[cols].itertuples(index=False, name=None)), key=repr)
+def rows(table: pa.Table):
+    """Rows of an Arrow table, which keeps nulls and NaN apart."""
+    cols = sorted(table.column_names)
+    return cols, sorted((tuple(canon(x) for x in r) for r in zip(*(table.column(c).to_pylist() for c in cols))), key=repr)
 
 
 def compare(spark, name: str, size: str = "sf0.01"):
     import __spark_entry__ as e
 
     d = f"{DATA}/{size}"
-    ours = rows(e.queries()[name](spark, d).toPandas())
-    theirs = rows(database(d).execute(e.oracle_sql()[name]).df())
+    ours = rows(e.queries()[name](spark, d).toArrow())
+    theirs = rows(database(d).execute(e.oracle_sql()[name]).to_arrow_table())
     return ours, theirs

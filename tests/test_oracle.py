@@ -4,8 +4,9 @@ import pytest
 from oracle import compare
 
 import __spark_entry__ as entry
+from cadenza.plans import catalogue
 
-CORE = sorted(k for k in entry.oracle_sql())
+CORE = sorted(catalogue.oracle_sql())
 
 
 @pytest.mark.parametrize("name", CORE)

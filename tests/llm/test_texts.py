@@ -2,10 +2,11 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 
 from cadenza.llm.leaks import leak_report, leaked_items, leaked_passages
-from cadenza.llm.residue import residue, residue_documents, windowed_residue, without_residue
+from cadenza.llm.residue import BUCKETS, Grams, Laid, best_ends, known_phrases, residue, residue_documents, windowed_residue, without_residue
 from cadenza.llm.tokens import VOCABULARY, Vocabulary, encode_texts, load_ranks
 
 DOCS = "doc_id long, text string, ids string, slot int, sign int"
@@ -42,8 +43,6 @@ def test_pairs_are_judged_as_exact_merging_does():
     v, rng = Vocabulary(load_ranks()), random.Random(3)
     back = {r: t for t, r in v.usable.items()}
     a, b = ([rng.choice([rng.randrange(256), rng.randrange(256, 2000), rng.randrange(50_000)]) for _ in range(3000)] for _ in "ab")
-    import numpy as np
-
     good = v.compatible(np.array(a), np.array(b))
     assert [v.merge(back[x] + back[y]) == [x, y] for x, y in zip(a, b)] == good.tolist()
     assert 0 < good.sum() < 3000
@@ -111,19 +110,54 @@ def test_residue_is_found_and_prose_is_kept(spark):
     assert kept.count() == len(texts) - len(found) and kept.columns == DOCS.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
 
 
-def test_windows_alone_find_what_has_no_slots(spark):
+def test_windows_alone_find_residue_and_slots(spark):
     texts = PROSE * 30 + RESIDUE + [None, ""]
     start = len(PROSE) * 30
     slotted = {i for i, t in enumerate(RESIDUE) if any(x in t for x in ("{{", "[[", "____", "<your", "XXXXX"))}
     got = windowed_residue(docs(spark, texts)).collect()
-    assert {r["doc_id"] - start for r in got} == set(range(len(RESIDUE))) - slotted
-    assert all(r["evidence"] >= 12 and 0.35 <= r["covered"] <= 1 for r in got)
+    assert {r["doc_id"] - start for r in got if r["in_place"]} == set(range(len(RESIDUE))) - slotted
+    assert {r["doc_id"] - start for r in got if r["window"]} >= slotted
+    assert all(r["evidence"] >= 12 and 0.35 <= r["covered"] <= 1 for r in got if r["in_place"])
     assert windowed_residue(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_residue_of_phrases_that_the_models_have_not_seen(spark):
+    known = known_phrases()
+    seen, unseen = ({k: [kind[r::2] for kind in kinds] for k, kinds in known.items()} for r in (0, 1))
+    rng = random.Random(2)
+    pages = [p for k in ("filler", "notice") for kind in unseen[k] for p in rng.sample(kind, min(20, len(kind)))]
+    pages = [p for p in pages if len(p) > 60]
+    slots = [f"Title: {s}\n{rng.choice(PROSE[:2])}" for s in rng.sample([s for s in unseen["slot"][0] if s.startswith(("{{", "[[", "<<", "@@", "${", "<your"))], 30)]
+    texts = PROSE * 400 + pages + slots
+    start = len(PROSE) * 400
+    found = {r["doc_id"] - start for r in residue_documents(docs(spark, texts), phrases=seen).collect()}
+    assert min(found) >= 0
+    assert len([i for i in found if i < len(pages)]) >= 0.8 * len(pages)
+    assert len([i for i in found if i >= len(pages)]) >= 0.9 * len(slots)
+
+
+def test_models_fitted_on_a_sample_judge_every_document(spark):
+    texts = PROSE * 60 + RESIDUE
+    found = {r["doc_id"] for r in residue_documents(docs(spark, texts), fit_rows=300).collect()}
+    start = len(PROSE) * 60
+    assert min(found) >= start and len(found) >= len(RESIDUE) - 1
+
+
+def test_laid_documents_score_as_each_alone():
+    rng = np.random.default_rng(3)
+    texts = ["Short.", "x", *PROSE, *RESIDUE, "日本。 次の文\n終わり"]
+    filler, notice = (rng.normal(size=BUCKETS).astype(np.float32) for _ in "ab")
+    laid = Laid.of(texts)
+    together = best_ends(laid, Grams.of(laid, BUCKETS), filler, notice)
+    for i, t in enumerate(texts):
+        one = Laid.of([t])
+        alone = best_ends(one, Grams.of(one, BUCKETS), filler, notice)
+        assert all(abs(float(a[0]) - float(b[i])) < 1e-6 for a, b in zip(alone, together))
+
+
 def test_residue_of_long_repeated_and_no_texts(spark):
     long = "\n".join(PROSE[:2] * 20_000)
     table = docs(spark, [long, long + "\n503 Service Unavailable\nSomething went wrong. Please try again later.", RESIDUE[0]])
     table = table.unionByName(table.filter("doc_id = 2"))
-    assert sorted(r["doc_id"] for r in residue(table).collect()) == [1, 2, 2]
+    assert sorted(r["doc_id"] for r in residue_documents(table).collect()) == [1, 2, 2]
     assert residue(table.limit(0)).count() == 0

@@ -26,10 +26,10 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cadenza.llm.forest import spanning_forest
-from cadenza.llm.pivots import Cell, pivot_count, postings, sample_pivots
+from cadenza.llm.pivots import Cell, postings, sample_pivots
 from cadenza.session import drop, materialise
 
-POST, PREFIX, RERANK = 6, 8, 4096
+POST, PREFIX, RERANK = 6, 24, 512
 
 
 def parts(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -71,13 +71,13 @@ def interleave(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def neighbour_graph(vectors: DataFrame, k: int, least: float, dim: int, least_norm: float, post: int, prefix: int, rerank: int, forest: bool) -> DataFrame:
+def neighbour_graph(vectors: DataFrame, k: int, least: float, dim: int, least_norm: float, post: int, prefix: int, rerank: int, largest: int, forest: bool) -> DataFrame:
     """Edges ``a, b, w`` with a < b, each pair once, of similarity at least ``least``.
 
     ``forest``: of a file only its own spanning forest is sent on; an edge outside it is in no forest of the whole.
     """
     spark = vectors.sparkSession
-    pivots = sample_pivots(vectors, pivot_count(vectors.count()), dim, least_norm)
+    pivots = sample_pivots(vectors, post, dim, least_norm, largest)
     if not len(pivots):
         return spark.createDataFrame([], "a string, b string, w double")
     length = min(prefix, len(pivots))
@@ -102,32 +102,36 @@ def neighbour_graph(vectors: DataFrame, k: int, least: float, dim: int, least_no
         a, b, w = map(np.concatenate, (a, b, w))
         while True:  # bridge parts of this file, strongest link of each first, until none reaches the floor
             label = parts(len(cell), a, b)
-            alive = np.unique(np.concatenate([a, b]))
-            if len(np.unique(label[alive])) < 2:
+            alive = np.zeros(len(cell), bool)
+            alive[a] = alive[b] = True
+            size = np.bincount(label[alive], minlength=len(cell))
+            if (size > 0).sum() < 2:
                 break
-            top = {}
-            for q, cols, sims in cell.blocks(rerank):
-                rows = np.isin(q, alive)
-                if not rows.any():
+            alive &= label != size.argmax()  # a link between parts has an end outside the largest
+            x, y, v = [], [], []
+            for q, cols, sims in cell.blocks(rerank, only=alive):
+                if not len(cols):
                     continue
-                q, sims = q[rows], sims[rows]
                 sims[label[q][:, None] == label[cols][None, :]] = -2
                 best = sims.argmax(1)
                 s = sims[np.arange(len(q)), best]
-                for x, y, v in zip(q[s >= least], cols[best[s >= least]], s[s >= least]):
-                    if v > top.get(label[x], (0,))[0]:
-                        top[label[x]] = (v, x, y)
-            if not top:
+                x.append(q[s >= least])
+                y.append(cols[best[s >= least]])
+                v.append(s[s >= least])
+            if not x or not sum(map(len, x)):
                 break
-            a, b = np.append(a, [t[1] for t in top.values()]), np.append(b, [t[2] for t in top.values()])
-            w = np.append(w, [t[0] for t in top.values()]).astype(np.float32)
+            x, y, v = map(np.concatenate, (x, y, v))
+            order = np.lexsort((y, x, -v))
+            _, first = np.unique(label[x[order]], return_index=True)
+            top = order[first]
+            a, b, w = np.append(a, x[top]), np.append(b, y[top]), np.append(w, v[top]).astype(np.float32)
         low, high = np.minimum(a, b), np.maximum(a, b)  # positions are in the order of ids
         _, first = np.unique(low.astype(np.int64) * len(cell) + high, return_index=True)
         if forest:
             first = first[local_forest(len(cell), low[first], high[first], np.round(w[first], 6))]
         return pa.table([pa.array(cell.ids[low[first]], pa.string()), pa.array(cell.ids[high[first]], pa.string()), pa.array(w[first], pa.float32())], schema=schema)
 
-    edges = posted.groupBy("pivot").applyInArrow(link, "a string, b string, w float")
+    edges = posted.groupBy("file").applyInArrow(link, "a string, b string, w float")
     stand_in = copy_links(vectors, k, dim, least_norm)
     return edges.unionByName(stand_in).groupBy("a", "b").agg(F.max(F.round(F.col("w").cast("double"), 6)).alias("w"))
 
@@ -156,8 +160,8 @@ def reachability(edges: DataFrame, min_samples: int) -> DataFrame:
 
 
 def density_forest(vectors: DataFrame, min_samples: int = 1, k: int = 5, least: float = 0.6, dim: int = 256, least_norm: float = 0.1,
-                   post: int = POST, prefix: int = PREFIX, rerank: int = RERANK) -> tuple[DataFrame, DataFrame]:
-    graph = materialise(neighbour_graph(vectors, max(k, min_samples), least, dim, least_norm, post, prefix, rerank, min_samples <= 1))
+                   post: int = POST, prefix: int = PREFIX, rerank: int = RERANK, largest: int = 32_768) -> tuple[DataFrame, DataFrame]:
+    graph = materialise(neighbour_graph(vectors, max(k, min_samples), least, dim, least_norm, post, prefix, rerank, largest, min_samples <= 1))
     found = spanning_forest(reachability(graph, min_samples))
     drop(graph)
     return found
@@ -300,80 +304,158 @@ def density_clusters(vectors: DataFrame, min_samples: int = 3, min_size: int = 5
     ``cluster_id`` is the smallest member id, ``tree_id`` that of the whole tree at the floor; exemplars are
     the members that persist to the greatest density, smaller id first.
 
-    Trees are condensed from the densest edges on: a tree of more than ``bound`` edges is cut into bands of weight of
-    at most that many (16 bands at most); the components of a band are condensed apart, each to one row, and are the
-    vertices of the next band.  Trees smaller than ``min_size`` have no clusters.  Invalid rows as in :func:`linked_groups`.
+    A tree of at most ``bound`` edges is condensed in one task; a larger one by :func:`contract`.
+    Trees smaller than ``min_size`` have no clusters.  Invalid rows as in :func:`linked_groups`.
     """
     forest, members = density_forest(vectors, min_samples=min_samples, least=least, **params)
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_size)
-    edges = materialise(forest.join(members.withColumnRenamed("id", "a"), "a").join(sizes, "root").select("root", "a", "b", "w", "n"))
-    largest = edges.agg(F.max("n")).collect()[0][0] or 0
-    bands = max(1, min(16, -(-largest // bound)))
-    cuts = F.percentile_approx("w", [1 - (i + 1) / bands for i in range(bands - 1)] or [0.0], 10_000).alias("cuts")
-    low = edges.groupBy("root").agg(cuts, F.max("n").alias("n"))
-    # small trees are of the last band as a whole
-    band = F.when(F.col("n") <= bound, F.lit(bands - 1)).otherwise(F.size(F.filter("cuts", lambda c: c > F.col("w")))) if bands > 1 else F.lit(0)
-    left = edges.join(low.drop("n"), "root").select("root", "a", "b", "w", band.alias("band"))
-    parts = None
-    for i in range(bands):
-        now = left.filter(F.col("band") == i).select("root", "a", "b", "w")
-        last = i == bands - 1
-        if last:
-            return _condensed(now.withColumn("part", F.col("root")), parts, min_size, least)
-        now, left = materialise(now), left.filter(F.col("band") > i)
-        pairs = now.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w")
-        _, label = spanning_forest(pairs)
-        label = materialise(label.groupBy("root").agg(F.min("id").alias("part")).join(label, "root").select("id", "part"))
-        made = _condensed(now.join(label.withColumnRenamed("id", "a"), "a"), parts, min_size, None)
-        old = parts.join(label, parts["part"] == label["id"], "left_anti") if parts is not None else None
-        parts = materialise(made if old is None else made.unionByName(old))
-        for end in ("a", "b"):
-            to = label.select(F.col("id").alias(end), "part")
-            left = left.join(to, end, "left").withColumn(end, F.coalesce("part", end)).drop("part")
-        left = materialise(left)
+    edges = materialise(forest.join(members.withColumnRenamed("id", "a"), "a").join(sizes, "root").select(F.col("root").alias("part"), "a", "b", "w", "n"))
+    large = edges.filter(F.col("n") > bound).drop("n")
+    done = _condensed(edges.filter(F.col("n") <= bound).drop("n"), None, min_size, least)
+    if large.isEmpty():
+        return done
+    return done.unionByName(_chosen(contract(large, None, min_size, bound), least))
 
 
 _PART = ("size long, fallen double, best double, top array<struct<d:double,id:string>>, ids array<string>, "
          "inside array<struct<size:long,stability:double,top:array<struct<d:double,id:string>>,id:string>>")
+_CLUSTER = "cluster_id string, tree_id string, size long, stability double, exemplars array<string>"
+
+
+def contract(edges: DataFrame, parts: DataFrame | None, min_size: int, bound: int) -> DataFrame:
+    """Each tree ``part`` of ``edges(part, a, b, w)`` as one row (``part`` and its columns); ends may be ``parts`` already.
+
+    A tree of at most ``bound`` edges is condensed in one task.  Of a larger one the denser half of its edges goes first:
+    the components of that half are trees of their own, contracted in the same way, and become the ends of the other half.
+    If all of a tree's edges weigh the same, it comes apart at one level, which is an aggregation (:func:`_one_level`).
+    So no task condenses more than ``bound`` edges, however large a tree is; a row holds the clusters chosen inside it.
+    """
+    stat = edges.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("lo"), F.max("w").alias("hi"), F.percentile_approx("w", 0.5, 10_000).alias("mid"))
+    kind = F.when(F.col("n") <= bound, F.lit("small")).when(F.col("lo") == F.col("hi"), F.lit("level")).otherwise(F.lit("big"))
+    marked = materialise(edges.join(stat.withColumn("kind", kind), "part").select("part", "a", "b", "w", "kind", "mid", "hi"))
+    kinds = {r[0] for r in marked.select("kind").distinct().collect()}  # at most three
+    out = _condensed(marked.filter("kind = 'small'").select("part", "a", "b", "w"), parts, min_size, None)
+    if "level" in kinds:
+        out = out.unionByName(_one_level(marked.filter("kind = 'level'").select("part", "a", "b", "w"), parts, min_size))
+    if "big" not in kinds:
+        return materialise(out)
+    big = marked.filter("kind = 'big'")
+    dense = F.when(F.col("mid") == F.col("hi"), F.col("w") == F.col("hi")).otherwise(F.col("w") > F.col("mid"))
+    top, rest = materialise(big.filter(dense).select("a", "b", "w")), big.filter(~dense).select("part", "a", "b", "w")
+    forest, label = spanning_forest(top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w"))
+    named = materialise(label.groupBy("root").agg(F.min("id").alias("part")).join(label, "root").select("id", "part"))
+    drop(forest, label)
+    made = contract(top.join(named.withColumnRenamed("id", "a"), "a").select("part", "a", "b", "w"), parts, min_size, bound)
+    if parts is not None:
+        made = made.unionByName(parts.join(named, parts["part"] == named["id"], "left_anti"))
+    for end in ("a", "b"):
+        to = named.select(F.col("id").alias(end), F.col("part").alias("to"))
+        rest = rest.join(to, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    deeper = contract(materialise(rest.select("part", "a", "b", "w")), materialise(made), min_size, bound)
+    return materialise(out.unionByName(deeper))
+
+
+def _ends(edges: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """The distinct ends of each tree, with the rows of those that are parts."""
+    ends = edges.select("part", F.explode(F.array("a", "b")).alias("a")).distinct()
+    if parts is None:
+        return ends.join(edges.sparkSession.createDataFrame([], f"a string, {_PART}"), "a", "left")
+    return ends.join(parts.withColumnRenamed("part", "a"), "a", "left")
+
+
+def _one_level(edges: DataFrame, parts: DataFrame | None, min_size: int) -> DataFrame:
+    """Trees whose edges all weigh the same, as rows: all ends come apart at once.
+
+    Smaller ends than ``min_size`` fall out.  One larger end alone goes on in it; several are clusters born here.
+    Salted, so that no task gathers a tree.
+    """
+    level = edges.groupBy("part").agg((1.0 / F.greatest(1.0 - F.first("w"), F.lit(1e-3))).alias("level"))
+    v = _ends(edges, parts).join(level, "part")
+    v = v.withColumns({"size": F.coalesce("size", F.lit(1)), "fallen": F.coalesce("fallen", F.lit(0.0)), "ids": F.coalesce("ids", F.array("a")),
+                       "top": F.coalesce("top", F.from_json(F.lit("[]"), "array<struct<d:double,id:string>>"))})
+    large = F.col("size") >= min_size
+    gain = F.col("fallen") - F.col("size") * F.col("level")
+    itself = F.array(F.struct(F.col("size").alias("size"), gain.alias("stability"), F.col("top").alias("top"), F.array_min("ids").alias("id")))
+    v = v.withColumns({"large": large.cast("long"), "gain": F.greatest(gain, F.coalesce("best", gain)), "born": F.when(F.coalesce(gain >= F.col("best"), F.lit(True)), itself).otherwise(F.col("inside")),
+                       "out": F.when(~large, F.transform("ids", lambda i: F.struct((-F.col("level")).alias("d"), i.alias("id")))).otherwise(F.col("top")), "salt": F.pmod(F.xxhash64("a"), F.lit(1024))})
+
+    def least(column: str):
+        return F.slice(F.array_sort(F.flatten(F.collect_list(column))), 1, KEEP).alias(column)
+
+    def summed(keys):
+        only = [F.max(F.when(F.col("large") > 0, F.col(c))).alias(c) for c in ("level", "best")]
+        return [least("out"), least("ids"), F.sum("size").alias("size"), F.sum("large").alias("large"), F.sum("kept").alias("kept"), F.sum("dropped").alias("dropped"), F.sum("gain").alias("gain"),
+                F.flatten(F.collect_list("born")).alias("born"), F.flatten(F.collect_list("inside")).alias("inside"), F.sum("fallen").alias("fallen"), only[1], F.max("level").alias("level")]
+
+    none = F.from_json(F.lit("[]"), "array<struct<size:long,stability:double,top:array<struct<d:double,id:string>>,id:string>>")
+    v = v.withColumns({"kept": F.when(large, F.col("size")).otherwise(0), "dropped": F.when(large, 0).otherwise(F.col("size")), "gain": F.when(large, F.col("gain")).otherwise(0.0), "fallen": F.when(large, F.col("fallen")).otherwise(0.0),
+                       "born": F.when(large, F.col("born")).otherwise(none), "inside": F.when(large, F.coalesce("inside", none)).otherwise(none)})
+    g = v.groupBy("part", "salt").agg(*summed(["part", "salt"])).groupBy("part").agg(*summed(["part"]))
+    lone = F.col("large") == 1
+    return g.select("part", "size", (F.col("dropped") * F.col("level") + F.when(lone, F.col("fallen")).otherwise(F.col("kept") * F.col("level"))).alias("fallen"),
+                    F.when(lone, F.col("best")).when(F.col("large") > 1, F.col("gain")).alias("best"), F.col("out").alias("top"), "ids",
+                    F.when(lone, F.col("inside")).when(F.col("large") > 1, F.col("born")).otherwise(none).alias("inside"))
+
+
+def _part(row: dict) -> Part:
+    def top(of):
+        return [(t["d"], t["id"]) for t in of]
+
+    return Part(row["size"], row["fallen"], row["best"], top(row["top"]), row["ids"], [(c["size"], c["stability"], top(c["top"]), c["id"]) for c in row["inside"]])
+
+
+def _row(name: str, p: Part) -> dict:
+    def top(of):
+        return [{"d": d, "id": m} for d, m in of]
+
+    return {"part": name, "size": p.size, "fallen": p.fallen, "best": p.best, "top": top(p.top), "ids": p.ids, "inside": [{"size": n, "stability": g, "top": top(t), "id": c} for n, g, t, c in p.inside]}
+
+
+def _clusters(root: Part, least: float) -> list[dict]:
+    return [{"cluster_id": c, "tree_id": root.ids[0], "size": n, "stability": round(g, 4), "exemplars": [m for _, m in top]} for n, g, top, c in chosen_clusters(root, least)]
+
+
+def _arrow(spark, schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(spark.createDataFrame([], schema).schema)
+
+
+def _chosen(roots: DataFrame, least: float) -> DataFrame:
+    """The chosen clusters of whole trees."""
+    arrow = _arrow(roots.sparkSession, _CLUSTER)
+
+    def run(batches):
+        for batch in batches:
+            yield from pa.Table.from_pylist([c for r in batch.to_pylist() for c in _clusters(_part(r), least)], schema=arrow).to_batches()
+
+    return roots.mapInArrow(run, _CLUSTER)
 
 
 def _condensed(edges: DataFrame, parts: DataFrame | None, min_size: int, least: float | None) -> DataFrame:
-    """Condenses each group ``part`` of edges ``root, a, b, w``: to a row of ``part`` and its columns, or, with ``least``, to its chosen clusters.
+    """Condenses each tree ``part`` of edges ``part, a, b, w``: to a row of ``part`` and its columns, or, with ``least``, to its chosen clusters.
 
-    A group reaches one task as edges and, for ends that are parts, their rows; small groups share a task.
+    A tree reaches one task as edges and, for ends that are parts, their rows; small trees share a task.
     """
-    spark = edges.sparkSession
-    kinds = f"part string, root string, a string, b string, w double, {_PART}"
-    own = edges.select("part", "root", "a", "b", "w")
+    kinds = f"part string, a string, b string, w double, {_PART}"
+    own = edges.select("part", "a", "b", "w")
     if parts is not None:
-        ends = edges.select("part", "root", F.explode(F.array("a", "b")).alias("a")).distinct()
-        lent = ends.join(parts.withColumnRenamed("part", "a"), "a")
-        own = own.unionByName(lent, allowMissingColumns=True)
+        own = own.unionByName(_ends(edges, parts).filter(F.col("size").isNotNull()), allowMissingColumns=True)
     else:
-        own = own.unionByName(spark.createDataFrame([], kinds), allowMissingColumns=True)
+        own = own.unionByName(edges.sparkSession.createDataFrame([], kinds), allowMissingColumns=True)
     final = least is not None
-    schema = "cluster_id string, tree_id string, size long, stability double, exemplars array<string>" if final else f"part string, {_PART}"
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    schema = _CLUSTER if final else f"part string, {_PART}"
+    arrow = _arrow(edges.sparkSession, schema)
 
     def run(table: pa.Table) -> pa.Table:
-        rows, groups = [], {}
-        lent = table.filter(pa.compute.is_null(table.column("b"))).to_pylist()
-        known = {r["a"]: Part(r["size"], r["fallen"], r["best"], [(t["d"], t["id"]) for t in r["top"]], r["ids"],
-                              [(c["size"], c["stability"], [(t["d"], t["id"]) for t in c["top"]], c["id"]) for c in r["inside"]]) for r in lent}
+        rows = []
+        known = {(r["part"], r["a"]): _part(r) for r in table.filter(pa.compute.is_null(table.column("b"))).to_pylist()}
         frame = table.select(["part", "a", "b", "w"]).filter(pa.compute.is_valid(table.column("b"))).to_pandas()
         for name, t in frame.groupby("part", sort=True):
             ids, code = np.unique(np.concatenate([t["a"].to_numpy(object), t["b"].to_numpy(object)]).astype(str), return_inverse=True)
             half = len(t)
-            root = condense(code[:half], code[half:], t["w"].to_numpy(float), [known.get(i) or vertex(i) for i in ids.tolist()], min_size)
-            if final:
-                rows += [{"cluster_id": c, "tree_id": root.ids[0], "size": n, "stability": round(g, 4), "exemplars": [m for _, m in top]} for n, g, top, c in chosen_clusters(root, least)]
-            else:
-                groups[name] = root
-        for name, p in groups.items():
-            rows.append({"part": name, "size": p.size, "fallen": p.fallen, "best": p.best, "top": [{"d": d, "id": m} for d, m in p.top], "ids": p.ids,
-                         "inside": [{"size": n, "stability": g, "top": [{"d": d, "id": m} for d, m in top], "id": c} for n, g, top, c in p.inside]})
+            root = condense(code[:half], code[half:], t["w"].to_numpy(float), [known.get((name, i)) or vertex(i) for i in ids.tolist()], min_size)
+            rows += _clusters(root, least) if final else [_row(name, root)]
         return pa.Table.from_pylist(rows, schema=arrow)
 
-    return own.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(256))).groupBy("bucket").applyInArrow(lambda t: run(t), schema)
+    return own.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(4096))).groupBy("bucket").applyInArrow(lambda t: run(t), schema)

@@ -6,19 +6,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from cadenza.llm.pivots import Cell, class_key, pivot_count, postings, sample_pivots, unit_rows
+from cadenza.llm.pivots import Cell, class_key, postings, sample_pivots, unit_rows
 
-POST, PREFIX, RERANK = 5, 8, 1536
+POST, PREFIX, RERANK = 5, 24, 384
 
 
 def nearest_vectors(vectors: DataFrame, k: int = 5, least: float = 0.6, dim: int = 256, least_norm: float = 0.1,
-                    post: int = POST, prefix: int = PREFIX, rerank: int = RERANK) -> DataFrame:
+                    post: int = POST, prefix: int = PREFIX, rerank: int = RERANK, largest: int = 32_768) -> DataFrame:
     """``id, neighbour, similarity, rank``: at most ``k`` others of cosine at least ``least``, smaller id first on equal values.
 
     Vectors meet in the inverted files of their first ``post`` pivots; there the
     ``rerank`` nearest by footrule distance are compared by their vectors, and
-    each vector's best from all its files are merged.  Measured recall against
-    brute force: see the tests and the README.
+    each vector's best from all its files are merged.  A file that would hold more than ``largest``
+    vectors is split by a second pivot.  Measured recall against brute force: see the tests and the README.
 
     * an id counts once; ids that are null, and embeddings that are null, of another length,
       with a null, NaN or infinite number or a norm of ``least_norm`` or less, don't count;
@@ -27,7 +27,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, least: float = 0.6, dim: int
     * an empty table gives an empty result; extra columns are ignored.
     """
     spark = vectors.sparkSession
-    pivots = sample_pivots(vectors, pivot_count(vectors.count()), dim, least_norm)
+    pivots = sample_pivots(vectors, post, dim, least_norm, largest)
     if not len(pivots):
         return spark.createDataFrame([], "id string, neighbour string, similarity double, rank int")
     length = min(prefix, len(pivots))
@@ -55,7 +55,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, least: float = 0.6, dim: int
         a, b = np.concatenate(left), np.concatenate(right)
         return pa.table([pa.array(cell.ids[a], pa.string()), pa.array(cell.ids[b], pa.string()), pa.array(np.concatenate(value), pa.float32())], schema=out)
 
-    found = posted.groupBy("pivot").applyInArrow(search, "id string, neighbour string, similarity float")
+    found = posted.groupBy("file").applyInArrow(search, "id string, neighbour string, similarity float")
     found = found.unionByName(copies(vectors, k, dim, least_norm).withColumn("similarity", F.lit(1.0).cast("float")))
     # one exchange for both steps: a vector has at most (post + 1) * k rows here
     found = found.repartition("id").groupBy("id", "neighbour").agg(F.max("similarity").cast("double").alias("similarity"))

@@ -6,6 +6,11 @@ them.  Pivots are a sample of the data, so dense regions own many pivots and
 inverted files stay of like size: about ``rows * post / pivots`` entries.  The
 number of pivots grows with the square root of the rows.
 
+A pivot that is near to a large share of all vectors gets no file of its own: its
+postings are split by a second pivot of the prefix, one file a pair, and every
+vector is posted under several pairs.  How large files would be is told from the
+sample the pivots come from.
+
 A posting carries the vector as 12-bit codes (1.5 bytes a number).  Similarities
 of codes differ from exact ones by about 4e-5.
 """
@@ -14,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -67,39 +73,93 @@ def decode(raw: np.ndarray) -> np.ndarray:
     return out / np.sqrt((out * out).sum(1, keepdims=True))
 
 
-def sample_pivots(vectors: DataFrame, count: int, dim: int, least_norm: float) -> np.ndarray:
-    """At most ``count`` distinct unit vectors, those of smallest id hash: bounded, and the same in every run.
+@dataclass
+class Pivots:
+    """Pivots, the number of vectors they index, and which of them are too popular for a file of their own."""
+
+    x: np.ndarray
+    rows: int
+    popular: np.ndarray
+
+    def __len__(self):
+        return len(self.x)
+
+    def partitions(self, post: int, prefix: int, dim: int, size: int = 8 << 20) -> int:
+        """Partitions of about ``size`` bytes for all postings."""
+        return max(1, -(-self.rows * min(post, len(self)) * (2 * prefix + dim * 3 // 2 + 40) // size))
+
 
-    Twice as many rows are fetched, so that invalid rows and copies leave enough; at most 2 * count vectors reach the driver.
+def sample_pivots(vectors: DataFrame, post: int, dim: int, least_norm: float, most: int = 32_768, count: int | None = None) -> Pivots:
+    """Distinct unit vectors of smallest id hash, by default ``pivot_count``: bounded, and the same in every run.
+
+    Twice as many rows are fetched, so that invalid rows and copies leave enough and files can be sized; so at most
+    2 * 16,384 vectors reach the driver.  A pivot is popular if its file would hold more than ``most`` vectors.
     """
-    rows = vectors.filter(F.size("embedding") == dim).select("embedding", F.xxhash64("id", "embedding").alias("h"))
-    got = rows.orderBy("h").limit(2 * count).select("embedding").toArrow()
+    rows = vectors.count()
+    count = count or pivot_count(rows)
+    picked = vectors.filter(F.size("embedding") == dim).select("embedding", F.xxhash64("id", "embedding").alias("h"))
+    got = picked.orderBy("h").limit(2 * count).select("embedding").toArrow()
     _, x = unit_rows(got.column("embedding"), dim, least_norm)
-    return np.unique(x, axis=0)[:count] if len(x) <= count else _distinct(x, count)
+    if not len(x):
+        return Pivots(x, rows, np.zeros(0, bool))
+    _, first = np.unique(x, axis=0, return_index=True)
+    distinct = x[np.sort(first)]
+    pivots = np.ascontiguousarray(distinct[:count])
+    near = nearest(distinct, pivots, min(post, len(pivots)))
+    share = np.bincount(near.ravel(), minlength=len(pivots)) / len(distinct)
+    return Pivots(pivots, rows, share * rows > most)
 
 
-def _distinct(x: np.ndarray, count: int) -> np.ndarray:
-    _, first = np.unique(x, axis=0, return_index=True)
-    return x[np.sort(first)[:count]]
+def nearest(x: np.ndarray, pivots: np.ndarray, prefix: int, block: int = 512) -> np.ndarray:
+    """Permutation prefixes: each row's ``prefix`` most similar pivots in order; products are taken ``block`` rows at a time."""
+    out = np.empty((len(x), prefix), np.int16)
+    for a in range(0, len(x), block):
+        sims = x[a : a + block] @ pivots.T
+        near = np.argpartition(sims, len(pivots) - prefix, axis=1)[:, len(pivots) - prefix :]
+        order = (-np.take_along_axis(sims, near, 1)).argsort(1, kind="stable")
+        out[a : a + block] = np.take_along_axis(near, order, 1)
+    return out
 
 
 def pivot_count(rows: int) -> int:
     return min(16_384, 1 << max(4, math.ceil(math.log2(max(1.0, math.sqrt(rows / 2))))))
 
 
-def postings(vectors: DataFrame, pivots: np.ndarray, post: int, prefix: int, dim: int, least_norm: float, copies: int) -> DataFrame:
-    """Rows (pivot, id, code): the permutation prefix (int16 each) followed by the 12-bit code.
+def files(near: np.ndarray, post: int, popular: np.ndarray):
+    """Yields (rows, file of each): a file is a pivot, or a pivot and a second one if the first is popular."""
+    post = min(post, near.shape[1])
+    wide = near.astype(np.int64)
+    for j in range(post):
+        lone = ~popular[wide[:, j]]
+        yield np.flatnonzero(lone), wide[lone, j] << 16
+        rows = np.flatnonzero(~lone)
+        if not len(rows):
+            continue
+        own = wide[rows, j]
+        for i in range(min(post + 1, near.shape[1])):
+            if i == j:
+                continue
+            other = wide[rows, i]
+            # two popular pivots share one file
+            twice = (i < post) & popular[other] & (i < j)
+            low = np.where(popular[other], np.minimum(own, other), own)
+            high = np.where(popular[other], np.maximum(own, other), other)
+            yield rows[~twice], ((low << 16) + high + 1)[~twice]
+
+
+def postings(vectors: DataFrame, pivots: Pivots, post: int, prefix: int, dim: int, least_norm: float, copies: int) -> DataFrame:
+    """Rows (file, id, code): the permutation prefix (int16 each) followed by the 12-bit code, laid out by file.
 
     Of vectors of one ``class_key`` a task posts only ids that are among the ``copies``
     smallest it has met; so a vector that a third of all rows share can't fill an inverted file.
     """
-    post, prefix = min(post, len(pivots)), min(prefix, len(pivots))
-    shared = vectors.sparkSession.sparkContext.broadcast(pivots)  # at most 16,384 vectors, by pivot_count
+    prefix = min(prefix, len(pivots))
+    shared = vectors.sparkSession.sparkContext.broadcast((pivots.x, pivots.popular))  # at most 16,384 vectors, by pivot_count
     width = 2 * prefix + 4 + dim * 3 // 2
-    schema = pa.schema([("pivot", pa.int32()), ("id", pa.string()), ("code", pa.binary())])
+    schema = pa.schema([("file", pa.int64()), ("id", pa.string()), ("code", pa.binary())])
 
     def run(batches):
-        table = np.ascontiguousarray(shared.value.T)
+        table, popular = shared.value
         kept: dict[bytes, list[str]] = {}
         for batch in batches:
             at, x = unit_rows(batch.column("embedding"), dim, least_norm)
@@ -118,18 +178,18 @@ def postings(vectors: DataFrame, pivots: np.ndarray, post: int, prefix: int, dim
             x, ids = x[keep], np.array(ids, object)[keep]
             if not len(x):
                 continue
-            sims = x @ table
-            near = np.argpartition(-sims, prefix - 1, axis=1)[:, :prefix]
-            order = np.take_along_axis(-sims, near, 1).argsort(1, kind="stable")
-            near = np.take_along_axis(near, order, 1).astype(np.int16)
-            raw = np.hstack([np.ascontiguousarray(near).view(np.uint8).reshape(len(x), -1), encode(x)])
+            near = nearest(x, table, prefix)
+            raw = np.hstack([near.view(np.uint8).reshape(len(x), -1), encode(x)])
             names = pa.array(ids, pa.string())
             offsets = pa.py_buffer((np.arange(len(x) + 1, dtype=np.int32) * width).tobytes())
             code = pa.Array.from_buffers(pa.binary(), len(x), [None, offsets, pa.py_buffer(np.ascontiguousarray(raw).tobytes())])
-            for j in range(post):
-                yield pa.RecordBatch.from_arrays([pa.array(near[:, j].astype(np.int32)), names, code], schema=schema)
+            for rows, file in files(near, post, popular):
+                if len(rows):
+                    at = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(file), names.take(at), code.take(at)], schema=schema)
 
-    return vectors.select("id", "embedding").filter(F.col("id").isNotNull()).mapInArrow(run, "pivot int, id string, code binary")
+    posted = vectors.select("id", "embedding").filter(F.col("id").isNotNull()).mapInArrow(run, "file long, id string, code binary")
+    return posted.repartition(pivots.partitions(post, prefix, dim), "file")
 
 
 class Cell:
@@ -154,17 +214,19 @@ class Cell:
     def __len__(self):
         return len(self.ids)
 
-    def blocks(self, rerank: int, rows: int = 256):
+    def blocks(self, rerank: int, rows: int = 256, only: np.ndarray | None = None):
         """Yields (queries, candidates, similarities); -2 marks pairs that aren't to be reranked, and self.
 
-        Up to ``rerank`` candidates a query are ranked by footrule distance over
-        the prefixes (ties at the end stay in); queries with like permutations
+        The ``rerank`` candidates of least footrule distance over the prefixes are taken (ties at the end stay in),
+        or the whole file if it holds no more.  Queries (``only`` these, if given) with like permutations
         share a block, whose products are taken with the union of its candidates.
         """
         n = len(self)
         order = np.lexsort(self.perm.T[::-1]) if n > rerank else np.arange(n)
         lists = self.inverted() if n > rerank else None
-        for a in range(0, n, rows):
+        if only is not None:
+            order = order[only[order]]
+        for a in range(0, len(order), rows):
             q = order[a : a + rows]
             if lists is None:
                 cols, mask = np.arange(n), None

@@ -1,10 +1,10 @@
 import numpy as np
 import pytest
 
-from cadenza.llm.clusters import chosen_clusters, condense, density_clusters, enrolled, linked_groups, local_forest, vertex
+from cadenza.llm.clusters import chosen_clusters, condense, contract, density_clusters, enrolled, linked_groups, local_forest, vertex
 from cadenza.llm.forest import spanning_forest
 from cadenza.llm.neighbours import nearest_vectors, neighbour_pairs
-from cadenza.llm.pivots import decode, encode
+from cadenza.llm.pivots import decode, encode, files, sample_pivots, unit_rows
 
 SCHEMA = "id string, embedding array<float>, duration float, pivot int, code string, h long"
 
@@ -55,11 +55,40 @@ def test_neighbours_reach_recall(spark):
     assert len(want & got) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
 
 
-def test_neighbours_rank_by_footrule_when_files_are_long(spark):
-    x = voices(3, (150, 150, 100))
+def recall(spark, x, **params):
     want = brute_pairs([f"S{i:05d}" for i in range(len(x))], x)
-    got = {tuple(r) for r in neighbour_pairs(nearest_vectors(frame(spark, x), rerank=64)).collect()}
-    assert len(want & got) >= 0.6 * len(want)
+    got = {tuple(r) for r in neighbour_pairs(nearest_vectors(frame(spark, x), **params)).collect()}
+    return len(want & got) / len(want)
+
+
+def test_neighbours_ranked_by_footrule_reach_recall(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/speaker_params.parquet").select("id", "embedding").dropDuplicates(["id"])
+    got = table.filter("id IS NOT NULL AND size(embedding) = 256").toArrow()
+    at, x = unit_rows(got.column("embedding"), 256, 0.1)
+    want = brute_pairs(got.column("id").take(at).to_pylist(), x)
+    pivots = sample_pivots(table, 5, 256, 0.1)
+    assert len(x) * 5 / len(pivots) > 2 * 64  # so files are ranked
+    found = {tuple(r) for r in neighbour_pairs(nearest_vectors(table, rerank=64)).collect()}
+    assert len(want & found) >= 0.9 * len(want) and len(found - want) <= 0.1 * len(want)
+
+
+def test_files_of_popular_pivots_are_split_and_keep_recall(spark):
+    x = voices(3, (150, 150, 100, *[4] * 60))
+    assert recall(spark, x, largest=80) >= 0.9
+    groups = linked_groups(frame(spark, x), largest=80).collect()
+    assert len({r["cluster_id"] for r in groups}) == 63 and len(groups) == len(x)
+
+
+def test_files_of_pairs_are_the_same_from_either_pivot():
+    near = np.array([[0, 1, 2, 3], [1, 0, 3, 2], [2, 0, 1, 3]], np.int16)
+    popular = np.array([True, True, False, False])
+    held = {}
+    for rows, file in files(near, 2, popular):
+        for r, f in zip(rows.tolist(), file.tolist()):
+            assert r not in held.setdefault(f, [])
+            held[f].append(r)
+    assert held[(0 << 16) + 1 + 1] == [0, 1, 2] or sorted(held[(0 << 16) + 1 + 1]) == [0, 1, 2]
+    assert held[2 << 16] == [2]
 
 
 def test_copies_are_complete_and_bounded(spark):
@@ -214,4 +243,21 @@ def test_clusters_do_not_depend_on_bands(spark):
     def found(bound):
         return sorted((r["cluster_id"], r["tree_id"], r["size"], round(r["stability"], 3), tuple(r["exemplars"])) for r in density_clusters(frame(spark, x), bound=bound).collect())
     whole = found(1000)
-    assert whole and found(30) == whole and found(7) == whole
+    assert whole and found(20) == whole
+
+
+def test_trees_of_one_level_contract_as_they_condense(spark):
+    rng = np.random.default_rng(11)
+    for _ in range(2):
+        n = int(rng.integers(12, 40))
+        b = np.arange(1, n)
+        a = np.array([rng.integers(max(0, i - 9), i) for i in b])
+        w = rng.choice([1.0, 0.9, 0.7], n - 1, p=[0.5, 0.3, 0.2])
+        names = [f"v{i:03d}" for i in range(n)]
+        root = condense(a, b, w, [vertex(x) for x in names], 3)
+        table = spark.createDataFrame([("t", names[i], names[j], float(v)) for i, j, v in zip(a, b, w)], "part string, a string, b string, w double")
+        row, = contract(table, None, 3, 2).collect()
+        assert (row["size"], row["ids"]) == (root.size, root.ids) and row["fallen"] == pytest.approx(root.fallen)
+        assert (row["best"] is None) == (root.best is None) and (row["best"] or 0) == pytest.approx(root.best or 0)
+        assert [(t["d"], t["id"]) for t in row["top"]] == [(pytest.approx(d), i) for d, i in root.top]
+        assert sorted((c["size"], c["id"], round(c["stability"], 6)) for c in row["inside"]) == sorted((n, i, round(g, 6)) for n, g, _, i in root.inside)

@@ -29,7 +29,7 @@ from cadenza.llm.forest import spanning_forest
 from cadenza.llm.pivots import Cell, postings, sample_pivots
 from cadenza.session import drop, materialise
 
-POST, PREFIX, RERANK = 6, 24, 512
+POST, PREFIX, RERANK = 6, 12, 1024
 
 
 def parts(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cadenza.llm.pivots import Cell, class_key, postings, sample_pivots, unit_rows
 
-POST, PREFIX, RERANK = 5, 24, 384
+POST, PREFIX, RERANK = 5, 16, 512
 
 
 def nearest_vectors(vectors: DataFrame, k: int = 5, least: float = 0.6, dim: int = 256, least_norm: float = 0.1,

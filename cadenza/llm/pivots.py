@@ -84,7 +84,7 @@ class Pivots:
     def __len__(self):
         return len(self.x)
 
-    def partitions(self, post: int, prefix: int, dim: int, size: int = 8 << 20) -> int:
+    def partitions(self, post: int, prefix: int, dim: int, size: int = 4 << 20) -> int:
         """Partitions of about ``size`` bytes for all postings."""
         return max(1, -(-self.rows * min(post, len(self)) * (2 * prefix + dim * 3 // 2 + 40) // size))
 
@@ -122,26 +122,33 @@ def nearest(x: np.ndarray, pivots: np.ndarray, prefix: int, block: int = 512) ->
 
 
 def pivot_count(rows: int) -> int:
-    return min(16_384, 1 << max(4, math.ceil(math.log2(max(1.0, math.sqrt(rows / 2))))))
+    """Grows with the square root of the rows, so that finding pivots and comparing within files cost alike."""
+    return min(16_384, max(16, math.ceil(math.sqrt(rows))))
+
+
+PAIRED = 4  # pivots of a prefix whose pairs stand for popular ones
 
 
 def files(near: np.ndarray, post: int, popular: np.ndarray):
-    """Yields (rows, file of each): a file is a pivot, or a pivot and a second one if the first is popular."""
-    post = min(post, near.shape[1])
+    """Yields (rows, file of each).
+
+    A file is one of a row's first ``post`` pivots.  For a popular one among its first ``PAIRED`` it is that pivot with
+    another of these, so that a row all of whose pivots are popular has no more postings than others.
+    """
     wide = near.astype(np.int64)
-    for j in range(post):
+    for j in range(min(post, near.shape[1])):
         lone = ~popular[wide[:, j]]
         yield np.flatnonzero(lone), wide[lone, j] << 16
         rows = np.flatnonzero(~lone)
-        if not len(rows):
+        if j >= PAIRED or not len(rows):
             continue
         own = wide[rows, j]
-        for i in range(min(post + 1, near.shape[1])):
+        for i in range(min(PAIRED, near.shape[1])):
             if i == j:
                 continue
             other = wide[rows, i]
             # two popular pivots share one file
-            twice = (i < post) & popular[other] & (i < j)
+            twice = popular[other] & (i < j)
             low = np.where(popular[other], np.minimum(own, other), own)
             high = np.where(popular[other], np.maximum(own, other), other)
             yield rows[~twice], ((low << 16) + high + 1)[~twice]
@@ -232,7 +239,7 @@ class Cell:
                 cols, mask = np.arange(n), None
             else:
                 score = self.footrule(q, lists)
-                score[np.arange(len(q)), q] = -1
+                score[np.arange(len(q)), q] = 0
                 least = np.partition(score, n - rerank, axis=1)[:, n - rerank]
                 mask = score >= np.maximum(least, 1)[:, None]
                 cols = np.flatnonzero(mask.any(0))
@@ -246,20 +253,29 @@ class Cell:
             yield q, cols, sims
 
     def inverted(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By pivot: the vectors that have it in their prefix, and what its rank is worth (the first most)."""
         n, length = self.perm.shape
         flat = self.perm.ravel()
         order = flat.argsort(kind="stable")
         pivots, start = np.unique(flat[order], return_index=True)
-        weight = (length - (order % length)).astype(np.int16)
-        return {p: (r, w) for p, r, w in zip(pivots.tolist(), np.split(order // length, start[1:]), np.split(weight, start[1:]))}
+        worth = (length - (order % length)).astype(self.kind)
+        return {p: (r, w) for p, r, w in zip(pivots.tolist(), np.split(order // length, start[1:]), np.split(worth, start[1:]))}
+
+    @property
+    def kind(self):
+        length = self.perm.shape[1]
+        return np.uint8 if length * (length + 1) // 2 < 256 else np.uint16
 
     def footrule(self, q: np.ndarray, lists: dict) -> np.ndarray:
         """prefix * (prefix + 1) minus the footrule distance, halved: the sum over shared pivots of prefix - max(rank, rank)."""
         length = self.perm.shape[1]
-        score = np.zeros((len(q), len(self)), np.int16)
-        own = self.perm[q]
-        for p in np.unique(own).tolist():
-            members, weight = lists[p]
-            i, j = np.nonzero(own == p)
-            score[i[:, None], members] += np.minimum((length - j).astype(np.int16)[:, None], weight)
+        met, at = np.unique(self.perm[q], return_inverse=True)
+        at = at.reshape(len(q), length)
+        table = np.zeros((len(met), len(self)), self.kind)  # worth of each pivot that the queries have, by vector
+        for row, p in zip(table, met.tolist()):
+            rows, worth = lists[p]
+            row[rows] = worth
+        score = np.zeros((len(q), len(self)), self.kind)
+        for j in range(length):
+            score += np.minimum(table[at[:, j]], self.kind(length - j))
         return score

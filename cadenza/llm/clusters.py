@@ -160,7 +160,7 @@ def reachability(edges: DataFrame, min_samples: int) -> DataFrame:
 
 
 def density_forest(vectors: DataFrame, min_samples: int = 1, k: int = 5, least: float = 0.6, dim: int = 256, least_norm: float = 0.1,
-                   post: int = POST, prefix: int = PREFIX, rerank: int = RERANK, largest: int = 32_768) -> tuple[DataFrame, DataFrame]:
+                   post: int = POST, prefix: int = PREFIX, rerank: int = RERANK, largest: int = 65_536) -> tuple[DataFrame, DataFrame]:
     graph = materialise(neighbour_graph(vectors, max(k, min_samples), least, dim, least_norm, post, prefix, rerank, largest, min_samples <= 1))
     found = spanning_forest(reachability(graph, min_samples))
     drop(graph)

@@ -12,7 +12,7 @@ POST, PREFIX, RERANK = 5, 16, 512
 
 
 def nearest_vectors(vectors: DataFrame, k: int = 5, least: float = 0.6, dim: int = 256, least_norm: float = 0.1,
-                    post: int = POST, prefix: int = PREFIX, rerank: int = RERANK, largest: int = 32_768) -> DataFrame:
+                    post: int = POST, prefix: int = PREFIX, rerank: int = RERANK, largest: int = 65_536) -> DataFrame:
     """``id, neighbour, similarity, rank``: at most ``k`` others of cosine at least ``least``, smaller id first on equal values.
 
     Vectors meet in the inverted files of their first ``post`` pivots; there the

@@ -89,7 +89,7 @@ class Pivots:
         return max(1, -(-self.rows * min(post, len(self)) * (2 * prefix + dim * 3 // 2 + 40) // size))
 
 
-def sample_pivots(vectors: DataFrame, post: int, dim: int, least_norm: float, most: int = 32_768, count: int | None = None) -> Pivots:
+def sample_pivots(vectors: DataFrame, post: int, dim: int, least_norm: float, most: int = 65_536, count: int | None = None) -> Pivots:
     """Distinct unit vectors of smallest id hash, by default ``pivot_count``: bounded, and the same in every run.
 
     Twice as many rows are fetched, so that invalid rows and copies leave enough and files can be sized; so at most
@@ -126,14 +126,14 @@ def pivot_count(rows: int) -> int:
     return min(16_384, max(16, math.ceil(math.sqrt(rows))))
 
 
-PAIRED = 4  # pivots of a prefix whose pairs stand for popular ones
+PAIRED = 5  # pivots of a prefix whose pairs stand for popular ones
 
 
 def files(near: np.ndarray, post: int, popular: np.ndarray):
     """Yields (rows, file of each).
 
     A file is one of a row's first ``post`` pivots.  For a popular one among its first ``PAIRED`` it is that pivot with
-    another of these, so that a row all of whose pivots are popular has no more postings than others.
+    another of these, so that a row all of whose pivots are popular has at most ten postings.
     """
     wide = near.astype(np.int64)
     for j in range(min(post, near.shape[1])):
@@ -229,6 +229,7 @@ class Cell:
         share a block, whose products are taken with the union of its candidates.
         """
         n = len(self)
+        rows = max(32, min(rows, (1 << 23) // max(1, n)))
         order = np.lexsort(self.perm.T[::-1]) if n > rerank else np.arange(n)
         lists = self.inverted() if n > rerank else None
         if only is not None:

@@ -2,9 +2,10 @@ import random
 import unicodedata
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 
-from cadenza.llm.pieces import split_clips
+from cadenza.llm.pieces import Tree, pack, split_clips
 from cadenza.llm.runs import collapse_runs, repeated_runs
 
 T0 = datetime(2025, 1, 1)
@@ -98,3 +99,18 @@ def test_pieces_match_brute_force(spark, block):
     got = sorted(tuple(r) for r in split_clips(c, f, block=block).collect())
     assert got == sorted(want)
     assert split_clips(c.limit(0), f.limit(0)).count() == 0
+
+
+def test_whole_subtrees_are_merged_and_only_large_ones_descended():
+    rng = random.Random(4)
+    for share in (0.01, 0.1, 0.5, 1.0):
+        words = np.array([sum((rng.random() < share) << b for b in range(16)) for _ in range(200)])
+        tree = Tree(words)
+        pauses = [p for n in range(200) for p in tree.pauses(n) if p]
+        assert tree.level[-1][0] == max(pauses)
+        total = 200 * 16 * 4096 + 300_000
+        pieces, merged = pack(total, 32_000, tree, 240_000)
+        assert pieces == pieces_by_hand(total, 2.0, [(p // 4096, 0.1) for p in pauses])
+        # fewer steps than pauses: most go in with whole subtrees
+        assert merged > len(pieces) if share >= 0.1 else merged > 0
+    assert pack(500_000, 0, Tree(np.zeros(0, np.int64)), 240_000) == ([(0, 240_000), (240_000, 480_000), (480_000, 500_000)], 0)

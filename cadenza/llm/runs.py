@@ -14,6 +14,8 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
+from cadenza.session import materialise
+
 MARKS = "▁ "
 
 
@@ -28,7 +30,17 @@ def canonical_piece(pieces: pd.Series) -> pd.Series:
     return pieces.map(one)
 
 
-def collapse_runs(tokens: DataFrame, pieces: DataFrame, max_gap: int = 25, shard: int = 4096) -> DataFrame:
+def piece_classes(pieces: DataFrame) -> DataFrame:
+    """``token, class``: the smallest id of those whose pieces are alike; of an id with several pieces the smallest counts.
+
+    Written once: the tokens' rows are used twice, and Spark shuffles them once only if nothing below is a Python function.
+    """
+    p = pieces.filter(F.col("token").isNotNull() & F.col("piece").isNotNull()).groupBy("token").agg(F.min("piece").alias("piece"))
+    p = p.select("token", canonical_piece("piece").alias("piece"))
+    return materialise(p.select("token", F.min("token").over(W.partitionBy("piece")).alias("class")))
+
+
+def collapse_runs(tokens: DataFrame, pieces: DataFrame, max_gap: int = 25, shard: int = 4096, with_token: bool = True) -> DataFrame:
     """Every run of alike tokens as one event: ``clip, chunk, pos, token, ts, n_events, span_frames``.
 
     Tokens of a clip are ordered by ``ts, chunk, pos``.  A token goes on with the
@@ -40,15 +52,16 @@ def collapse_runs(tokens: DataFrame, pieces: DataFrame, max_gap: int = 25, shard
     * rows with null token, ts, clip, chunk or pos don't count;
     * ids without a piece are alike only to themselves; a piece of word marks only stays as it is;
     * empty tables give an empty result; extra columns are ignored.
+
+    ``with_token``: whether ``token`` is wanted; rows are narrower without.
     """
+    kept = ["chunk", "pos", *["token"] * with_token]
     t = tokens.select("clip", "chunk", "pos", "token", "ts", "decoded_at").na.drop(subset=["clip", "chunk", "pos", "token", "ts"])
     t = t.groupBy("clip", "chunk", "pos").agg(F.max(F.struct("decoded_at", "token", "ts")).alias("b"))
     t = t.select("clip", "chunk", "pos", F.col("b.token").alias("token"), F.col("b.ts").alias("ts"))
-    p = pieces.filter(F.col("token").isNotNull() & F.col("piece").isNotNull()).groupBy("token").agg(F.min("piece").alias("piece"))
-    p = p.select("token", canonical_piece("piece").alias("piece"))
     # no hint: Catalyst broadcasts the vocabulary only if it is small
-    t = t.join(p, "token", "left")
-    t = t.select("clip", "chunk", "pos", "token", "ts", F.coalesce(F.concat(F.lit("p"), "piece"), F.concat(F.lit("#"), F.col("token").cast("string"))).alias("key"), F.floor(F.col("ts") / shard).alias("h"))
+    t = t.join(piece_classes(pieces), "token", "left")
+    t = t.select("clip", *kept, "ts", F.coalesce("class", "token").alias("key"), F.floor(F.col("ts") / shard).cast("int").alias("h"))
 
     inside = W.partitionBy("clip", "h").orderBy("ts", "chunk", "pos")
     t = t.withColumn("n", F.row_number().over(inside)).withColumn("pk", F.lag("key").over(inside)).withColumn("pt", F.lag("ts").over(inside))
@@ -58,10 +71,10 @@ def collapse_runs(tokens: DataFrame, pieces: DataFrame, max_gap: int = 25, shard
     sure = F.col("opens") & (F.col("n") > 1)
     s = t.groupBy("clip", "h").agg(
         F.count(F.lit(1)).alias("size"),
-        F.min(F.when(F.col("n") == 1, F.struct("ts", "key", "chunk", "pos", "token"))).alias("first"),
+        F.min(F.when(F.col("n") == 1, F.struct("ts", "key", *kept))).alias("first"),
         F.max(F.struct("n", "ts", "key")).alias("last"),
         F.min(F.when(sure, F.struct("n", "pt"))).alias("o1"),
-        F.max(F.when(sure, F.struct("n", "ts", "chunk", "pos", "token"))).alias("o2"))
+        F.max(F.when(sure, F.struct("n", "ts", *kept))).alias("o2"))
     across = W.partitionBy("clip").orderBy("h")
     s = s.withColumn("base", F.sum("size").over(across) - F.col("size"))
     s = s.withColumn("before", F.lag("last").over(across))
@@ -76,7 +89,7 @@ def collapse_runs(tokens: DataFrame, pieces: DataFrame, max_gap: int = 25, shard
     s = s.withColumn("stop", F.coalesce("next", F.struct((end["n"] + 1).alias("at"), end["ts"].alias("pt"))))
 
     def event(n, o, stop_at, stop_t):
-        return F.struct(o["chunk"].alias("chunk"), o["pos"].alias("pos"), o["token"].alias("token"), o["ts"].alias("ts"),
+        return F.struct(*[o[c].alias(c) for c in kept], o["ts"].alias("ts"),
                         (stop_at - n).cast("int").alias("n_events"), (stop_t - o["ts"]).cast("int").alias("span_frames"))
 
     base = F.col("base")
@@ -90,10 +103,10 @@ def collapse_runs(tokens: DataFrame, pieces: DataFrame, max_gap: int = 25, shard
     # all others lie between two sure openings of one shard
     b = t.filter(sure).withColumn("at", F.lead("n").over(inside)).withColumn("end", F.lead("pt").over(inside))
     inner = b.filter(F.col("at").isNotNull()).select(
-        "clip", "chunk", "pos", "token", "ts", (F.col("at") - F.col("n")).cast("int").alias("n_events"), (F.col("end") - F.col("ts")).cast("int").alias("span_frames"))
+        "clip", *kept, "ts", (F.col("at") - F.col("n")).cast("int").alias("n_events"), (F.col("end") - F.col("ts")).cast("int").alias("span_frames"))
     return inner.unionByName(edge)
 
 
 def repeated_runs(tokens: DataFrame, pieces: DataFrame) -> DataFrame:
     """Runs of at least two tokens."""
-    return collapse_runs(tokens, pieces).filter("n_events > 1").select("clip", "chunk", "pos", "n_events", "span_frames")
+    return collapse_runs(tokens, pieces, with_token=False).filter("n_events > 1").select("clip", "chunk", "pos", "n_events", "span_frames")

@@ -45,11 +45,11 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, shard
         clean = clean.filter(F.col(k).isNotNull())
     clean = clean.filter(s.isNotNull() & e.isNotNull() & (e > s))
 
-    # level one: clip, pre-aggregate (map side too), merge inside a shard
+    # level one: clip, merge inside a shard; one exchange serves all that follows up to the summaries
     first, last = F.floor(s / shard), F.floor((e - 1) / shard)
     cut = clean.select(*ks, "_s", "_e", F.explode(F.sequence(first, last)).alias("_h"))
     cut = cut.select(*ks, "_h", F.greatest(s, F.col("_h") * shard).alias("_s"), F.least(e, (F.col("_h") + 1) * shard).alias("_e"))
-    cut = cut.groupBy(*ks, "_h", "_s").agg(F.max("_e").alias("_e"))
+    cut = cut.repartition(*ks, "_h").groupBy(*ks, "_h", "_s").agg(F.max("_e").alias("_e"))
     local = W.partitionBy(*ks, "_h").orderBy("_s")
     seen = F.max("_e").over(local.rowsBetween(W.unboundedPreceding, -1))
     cut = cut.withColumn("_new", F.when(seen.isNull() | (s > seen), 1).otherwise(0))

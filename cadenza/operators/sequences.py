@@ -8,6 +8,8 @@ JVM).  Sequences are whole; none is cut before it is compared.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
+from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -183,88 +185,101 @@ def stitch(prefix: list, suffix: list, window: int = 32, least: int = 4) -> list
     return list(prefix) + list(suffix[end:] if best >= least else suffix)
 
 
-def merge_chunks(left: list[tuple], right: list[tuple], overlap: float = 2.0, frame: float = 0.08, opens: Callable[[object], bool] | None = None) -> list[tuple]:
-    """Two overlapping decodes of one stream as one; items are (label, frame, ...).
+def word_edges(opens: list[bool]) -> tuple[list[int], list[int]]:
+    """By position: the last one up to it that opens a word (-1 without any), and the first one from it on (the length without any)."""
+    before = list(accumulate((i if o else -1 for i, o in enumerate(opens)), max))
+    after = list(accumulate((i if opens[i] else len(opens) for i in reversed(range(len(opens)))), min, initial=len(opens)))
+    return before, after[::-1]
 
-    Anchors are the longest contiguous match, if it has at least half as many pairs as the left overlap, else a
-    longest common subsequence; between anchors the side with more items wins, the left on ties.  Without anchors the
-    streams meet in the middle of the overlap.  ``opens`` tells labels that begin a word: seams then fall on words.
+
+def anchors(left: list[tuple], right: list[tuple], la: range, ra: range, within: float, key: Callable[[tuple], object]) -> list[tuple[int, int]]:
+    """Index pairs that two streams share in ``la`` and ``ra``: one stretch if it has half of ``la``, else a longest common subsequence."""
+    def same(i, j):
+        return key(left[i]) == key(right[j]) and abs(left[i][1] - right[j][1]) < within
+
+    if min(len(la), len(ra)) < 2:
+        return []
+    pairs = longest_stretch(la, ra, same)
+    if len(pairs) < max(len(la) // 2, 1):
+        pairs = common_subsequence(la, ra, same)
+    return [(la[i], ra[j]) for i, j in pairs]
+
+
+def merge_chunks(left: list[tuple], right: list[tuple], overlap: float = 2.0, frame: float = 0.08,
+                 opens: Callable[[tuple], bool] | None = None, key: Callable[[tuple], object] = itemgetter(0), longest_word: int = 12) -> list[tuple]:
+    """Two overlapping decodes of one stream as one; items are (label, frame, ...), in order of frames.
+
+    The result is put down as a table of rows (side, position) first.  Anchors are shared items (of one ``key``, so that
+    variants in case can meet, and less than half the overlap apart); between anchors the side with more items gives the rows,
+    the left on ties.  Without anchors the sides meet in the middle of the overlap.  ``opens`` tells items that begin a word:
+    then seams are moved to where a word begins, and a seam word comes whole from one side.
     """
-    if not left or not right:
-        return left or right
-    stop, begin = (left[-1][1] + 1) * frame, right[0][1] * frame
-    if stop <= begin:
+    if not left or not right or (left[-1][1] + 1) * frame <= right[0][1] * frame:
         return left + right
-    la = [i for i, t in enumerate(left) if (t[1] + 1) * frame > begin - overlap]
-    ra = [j for j, t in enumerate(right) if t[1] * frame < stop + overlap]
-    pairs: list[tuple[int, int]] = []
-    if len(la) >= 2 and len(ra) >= 2:
-        def same(x, y):
-            return x[0] == y[0] and abs(x[1] - y[1]) * frame < overlap / 2
-
-        a, b = [left[i] for i in la], [right[j] for j in ra]
-        pairs = longest_stretch(a, b, same)
-        if len(pairs) < max(len(la) // 2, 1):
-            pairs = common_subsequence(a, b, same)
-        pairs = [(la[i], ra[j]) for i, j in pairs]
+    stop, begin = (left[-1][1] + 1) * frame, right[0][1] * frame
+    la = range(next(i for i, t in enumerate(left) if (t[1] + 1) * frame > begin - overlap), len(left))
+    ra = range(sum(t[1] * frame < stop + overlap for t in right))
+    sides = (left, right)
+    marks = [[opens(t) for t in side] if opens else [True] * len(side) for side in sides]
+    edges = [word_edges(m) for m in marks]
+
+    def rows(side: int, a: int, z: int) -> list[tuple[int, int]]:
+        return [(side, k) for k in range(a, z)]
+
+    pairs = anchors(left, right, la, ra, overlap / 2 / frame, key)
     if not pairs:
-        middle = (stop + begin) / 2
-        cut = next((i for i, t in enumerate(left) if t[1] * frame >= middle), len(left))
-        go = next((j for j, t in enumerate(right) if t[1] * frame >= middle), len(right))
-        if opens:
-            while 0 < cut < len(left) and not opens(left[cut][0]):
-                cut += 1
-            while go < len(right) and not opens(right[go][0]):
-                go += 1
-        return left[:cut] + right[go:]
-    out = left[: pairs[0][0]]
-    for (i, j), (ni, nj) in zip(pairs, pairs[1:] + [(None, None)]):
-        out = out + [left[i]]
-        if ni is not None:
-            a, b = left[i + 1 : ni], right[j + 1 : nj]
-            out += b if len(b) > len(a) else a
-    i, j = pairs[-1]
-    tail = right[j + 1 :]
-    if opens and tail and not opens(tail[0][0]):
-        word = next((k for k in range(j, -1, -1) if opens(right[k][0])), None)
-        seam = next((k for k in range(len(out) - 1, max(-1, len(out) - 13), -1) if opens(out[k][0])), None)
-        if word is not None and seam is not None:  # the right side heard the seam word whole
-            return out[:seam] + right[word:]
-        k = i + 1
-        while k < len(left) and not opens(left[k][0]):
-            out.append(left[k])
-            k += 1
-        tail = tail[next((k for k, t in enumerate(tail) if opens(t[0])), len(tail)) :]
-    return out + tail
+        cut, go = (next((k for k, t in enumerate(side) if t[1] * frame >= (stop + begin) / 2), len(side)) for side in sides)
+        plan = rows(0, 0, edges[0][1][cut] if cut else 0) + rows(1, edges[1][1][go], len(right))
+    else:
+        plan = rows(0, 0, pairs[0][0])
+        for (i, j), (ni, nj) in zip(pairs, pairs[1:]):
+            plan += rows(0, i, i + 1) + (rows(1, j + 1, nj) if nj - j > ni - i else rows(0, i + 1, ni))
+        i, j = pairs[-1]
+        plan += rows(0, i, i + 1)
+        rest = j + 1
+        if rest < len(right) and not marks[1][rest]:  # the seam lies inside a word
+            opening = word_edges([marks[side][k] for side, k in plan])[0][-1]
+            if edges[1][0][j] >= 0 and opening >= max(0, len(plan) - longest_word):  # the right side has the word whole
+                plan, rest = plan[:opening], edges[1][0][j]
+            else:
+                plan += rows(0, i + 1, edges[0][1][i + 1])
+                rest = edges[1][1][rest]
+        plan += rows(1, rest, len(right))
+    return [sides[side][k] for side, k in plan]
 
 
 # DataFrame operators
 
-def merged_stream(tokens: DataFrame, opening: DataFrame | None = None) -> DataFrame:
+def merged_stream(tokens: DataFrame, opening: DataFrame | None = None, variants: DataFrame | None = None) -> DataFrame:
     """Chunks of a clip, in order, folded into one token stream: ``clip, n, token, ts``.
 
-    ``tokens(clip, chunk, pos, token, ts)``.  A clip's tokens (two numbers each) are held by one task; ``opening(token)``
-    lists tokens that begin a word (a vocabulary, read on the driver: bounded by the model, not by the data).
+    ``tokens(clip, chunk, pos, token, ts)``; ``opening(token)`` lists tokens that begin a word, ``variants(token, class)``
+    those that differ in case only.  A clip's tokens (a few numbers each) are held by one task: what the chunks so far
+    make up decides how the next one joins.
     """
-    words = frozenset(r[0] for r in opening.select("token").distinct().collect()) if opening is not None else None
-    rows = per_key(tokens.withColumn("at", F.col("chunk").cast("long") * 1_000_000 + F.col("pos")), ["clip"], "at", ["chunk", "token", "ts"])
+    x = tokens.withColumn("at", F.col("chunk").cast("long") * 1_000_000 + F.col("pos")).withColumns({"opens": F.lit(opening is None), "same": F.col("token")})
+    if opening is not None:
+        x = x.drop("opens").join(opening.select("token", F.lit(True).alias("opens")).distinct(), "token", "left").withColumn("opens", F.coalesce("opens", F.lit(False)))
+    if variants is not None:
+        x = x.join(variants.groupBy("token").agg(F.min("class").alias("_c")), "token", "left").withColumn("same", F.coalesce("_c", "token"))
+    fields = ["chunk", "token", "ts", "opens", "same"]
 
     def run(row):
         chunks: dict[int, list] = {}
-        for c, t, ts in zip(row["chunk"], row["token"], row["ts"]):
-            chunks.setdefault(c, []).append((t, ts))
+        for c, *item in zip(*(row[f] for f in fields)):
+            chunks.setdefault(c, []).append(tuple(item))
         out: list = []
         for c in sorted(chunks):
             # only the end of what is joined can meet the next chunk
-            begin = min(ts for _, ts in chunks[c])
+            begin = min(item[1] for item in chunks[c])
             k = len(out)
             while k and (out[k - 1][1] + 1) * 0.08 > begin * 0.08 - 4.0:
                 k -= 1
             k = max(0, k - 14)
-            out = out[:k] + merge_chunks(out[k:], chunks[c], opens=words.__contains__ if words is not None else None)
-        return [(i, t, ts) for i, (t, ts) in enumerate(out)]
+            out = out[:k] + merge_chunks(out[k:], chunks[c], opens=itemgetter(2), key=itemgetter(3))
+        return [(i, item[0], item[1]) for i, item in enumerate(out)]
 
-    return fold(rows, ["clip"], "n int, token int, ts int", run)
+    return fold(per_key(x, ["clip"], "at", fields), ["clip"], "n int, token int, ts int", run)
 
 
 def error_counts(df: DataFrame, key: str, hyp: str, ref: str) -> DataFrame:

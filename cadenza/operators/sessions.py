@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -135,71 +136,72 @@ class VadConfig:
         return self.threshold, max(self.threshold - self.offset, 0.01)
 
 
-def speech_ranges(probs: list[float], total: int, c: VadConfig = VadConfig()) -> list[tuple[int, int]]:
+def speech_ranges(probs, total: int, c: VadConfig = VadConfig()) -> list[tuple[int, int]]:
     """Sample ranges of speech in one clip.
 
     Speech opens at the positive threshold and closes where a silence (below the negative one) has lasted long
     enough, at that silence's begin.  Overlong speech is cut at the best silence met: the longest of those quiet
     enough, else the longest (or last) of all, else at once.
+
+    Works on the frames above and below the thresholds only, and goes from one silence or cut to the next.
     """
     up, down = c.thresholds()
-    least, quiet, pad = int(c.min_speech * RATE), int(c.min_silence * RATE), int(c.pad * RATE)
+    p = np.nan_to_num(np.array([0.0 if x is None else x for x in probs], float), nan=0.0) if isinstance(probs, list) else np.nan_to_num(probs, nan=0.0)
+    loud, soft, n = np.flatnonzero(p >= up), np.flatnonzero(p < down), len(p)
+    hold, pad = -(-int(c.min_silence * RATE) // FRAME), int(c.pad * RATE)
     brief = int(c.min_silence_at_max * RATE)
-    most = max(0, int(c.max_speech * RATE) - FRAME - 2 * pad) if c.max_speech != float("inf") else 1 << 62
-    found: list[tuple[int, int]] = []
-    start: int | None = None  # begin of open speech
-    hush: int | None = None  # begin of the silence under way
-    low, cuts = 1.0, []  # its least probability; silences (length, begin, least) so far
-
-    def close(at: int) -> None:
-        end = min(at, total)
-        if end - start >= least and end > start:
-            found.append((start, end))
-
-    for i, p in enumerate(probs):
-        p, now = (0.0 if p is None or p != p else p), i * FRAME
-        if p >= up:
-            if hush is not None:
-                if now - hush > brief:
-                    cuts.append((now - hush, hush, low))
-                hush, low = None, 1.0
-            if start is None:
-                start = now
-                continue
-        if start is not None and now - start > most:
-            calm = [x for x in cuts if x[2] <= c.split_below] or cuts
-            if calm:
-                length, begin, _ = max(calm, key=lambda x: (x[0], -x[1])) if c.longest_at_max or calm is not cuts else calm[-1]
-                close(begin)
-                start = begin + length if begin + length < now else None
-            else:
-                close(now)
-                start = None
-            hush, low, cuts = None, 1.0, []
-            if start is None:
-                continue
-        if p < down and start is not None:
-            if hush is None:
-                hush, low = now, p
-            low = min(low, p)
-            if now - hush >= quiet:
-                close(hush)
-                start, hush, low, cuts = None, None, 1.0, []
-    if start is not None:
-        close(total)
+    most = max(0, int(c.max_speech * RATE) - FRAME - 2 * pad) // FRAME + 1 if c.max_speech != float("inf") else n + 1
+
+    def following(frames, i: int) -> int:
+        """The first of ``frames`` after i; n if there is none."""
+        k = np.searchsorted(frames, i, "right")
+        return int(frames[k]) if k < len(frames) else n
+
+    ranges: list[tuple[int, int]] = []
+    begin = following(loud, -1)
+    while begin < n:
+        seen = checked = begin  # frames of this stretch that are dealt with; the last one held against the longest allowed
+        pauses: list[tuple[int, int]] = []  # (first frame, first loud frame after it)
+        while True:
+            over = max(begin + most, checked + 1)
+            hush = following(soft, seen)
+            back, ended = following(loud, hush), following(soft, hush + hold - 1)
+            if hush < n and ended < min(back, over, n):  # a silence has lasted
+                ranges.append((begin, hush))
+                begin = back
+                break
+            if hush < n and back <= min(over, n - 1):  # a pause within speech
+                if (back - hush) * FRAME > brief:
+                    pauses.append((hush, back))
+                seen = back
+                if back < over:
+                    continue
+            if over >= n:  # speech goes on to the end
+                ranges.append((begin, -1))
+                begin = n
+                break
+            calm = [x for x in pauses if p[x[0] : x[1]][p[x[0] : x[1]] < down].min() <= c.split_below]
+            if not pauses:
+                ranges.append((begin, over))
+                begin = following(loud, over)
+                break
+            at, back = max(calm or pauses, key=lambda x: (x[1] - x[0], -x[0])) if calm or c.longest_at_max else pauses[-1]
+            ranges.append((begin, at))
+            if back >= over:
+                begin = following(loud, over)
+                break
+            begin, seen, checked, pauses = back, over - 1, over, []
+    found = np.array([(a * FRAME, total if z < 0 else min(z * FRAME, total)) for a, z in ranges], np.int64).reshape(-1, 2)
+    length = found[:, 1] - found[:, 0]
+    found = found[(length >= int(c.min_speech * RATE)) & (length > 0)]
+    if not len(found):
+        return []
     # padding: neighbours closer than two pads share the gap
-    ends = [list(r) for r in found]
-    for i, r in enumerate(ends):
-        if i == 0:
-            r[0] = max(0, r[0] - pad)
-        if i + 1 < len(ends):
-            gap = found[i + 1][0] - found[i][1]
-            give = pad if gap >= 2 * pad else gap // 2
-            r[1] += give
-            ends[i + 1][0] -= give
-        else:
-            r[1] = min(total, r[1] + pad)
-    return [(a, b) for a, b in ends if b > a]
+    gap = found[1:, 0] - found[:-1, 1]
+    share = np.where(gap >= 2 * pad, pad, gap // 2)
+    first = found[:, 0] - np.append(min(pad, found[0, 0]), share)
+    last = found[:, 1] + np.append(share, min(pad, total - found[-1, 1]))
+    return [(int(a), int(z)) for a, z in zip(first, last) if z > a]
 
 
 def vad_segments(frames: DataFrame, config: VadConfig = VadConfig()) -> DataFrame:
@@ -207,10 +209,9 @@ def vad_segments(frames: DataFrame, config: VadConfig = VadConfig()) -> DataFram
     rows = per_key(frames.filter("clip IS NOT NULL"), ["clip"], "frame", ["prob"])
 
     def cut(row):
-        probs = [0.0] * (row["frame"][-1] + 1) if row["frame"] else []
-        for f, p in zip(row["frame"], row["prob"]):
-            if f >= 0:
-                probs[f] = p
+        at, value = np.array(row["frame"], np.int64), np.array([0.0 if x is None else x for x in row["prob"]], float)
+        probs = np.zeros(max(0, at[-1] + 1) if len(at) else 0)
+        probs[at[at >= 0]] = value[at >= 0]
         return [(i, a, b) for i, (a, b) in enumerate(speech_ranges(probs, len(probs) * FRAME, config))]
 
     return fold(rows, ["clip"], "seg int, first long, last long", cut)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cadenza.operators.sessions import fold, per_key
@@ -81,40 +82,60 @@ def collapse_repeats(df: DataFrame, keys: list[str], at: list[str], label: str,
     return x.filter((F.col(label) != blank) & (F.col("_b").isNull() | (F.col("_b") != F.col(label)))).select(*df.columns)
 
 
-def silence_aligned_starts(clips: DataFrame, energy: DataFrame, stride: int, chunk: int) -> DataFrame:
-    """Chunk starts drawn to quiet frames: ``clip, chunk, start``.
+#: How far from its target a start is drawn (seconds), and the share of the upper median energy there that it may have.
+DRAWN = ((4.0, 0.05), (0.5, 0.35))
 
-    ``clips(clip, total)`` in samples, ``energy(clip, frame, value)`` by encoder frame.  Around each target the least
-    energy within 4 s is taken if at most 5 % of the upper median there, else within 0.5 s if at most 35 %, else the
-    target itself; never beyond what the chunk before covers.  Sequential, as each start bounds the next.
+
+def aligned_starts(total: int, level: np.ndarray, settled: np.ndarray | None, stride: int, chunk: int, rate: int = 16_000, keep: int = 6, speech: float = 0.8) -> list[tuple[int, bool]]:
+    """(start, whether it needs a warm-up prefix) of a clip's chunks; ``level`` is the energy by encoder frame, NaN where unknown.
+
+    A start may lie after the last one and up to ``keep`` frames before that chunk's end.  With ``settled`` (whether some
+    quiet follows a frame) a deep silence that quickly turns to speech is begun with a prefix; not if the start is drawn back
+    and both its target and the latest end of the next chunk lie in speech, as the chunk would end in the middle of it.
+    """
+    starts, frames = [(0, False)], min(len(level), (total - 1) // SAMPLES + 1)
+    for target in range(stride, total, stride):
+        last, middle = starts[-1][0], target // SAMPLES
+        latest = last + chunk - keep * SAMPLES
+        start, warm = min(max(middle * SAMPLES, last + SAMPLES), latest), False
+        for deep, (radius, share) in zip((True, False), DRAWN):
+            reach = max(1, int(radius * rate / SAMPLES))
+            a, z = max(1, middle - reach, last // SAMPLES + 1), min(frames, middle + reach + 1, latest // SAMPLES + 1)
+            near = level[a:z] if a < z else level[:0]
+            known = np.sort(near[~np.isnan(near)])
+            if not len(known) or known[0] > share * max(0.0, known[len(known) // 2]):
+                continue
+            at, median = a + int(np.nanargmin(near)), known[len(known) // 2]
+            restless = deep and settled is not None and not settled[at]
+            if restless and at * SAMPLES < start and median > 0:
+                ends = (start, at * SAMPLES + chunk - keep * SAMPLES)
+                if ends[1] < total and all(e // SAMPLES < frames and level[e // SAMPLES] > speech * median for e in ends):
+                    break
+            start, warm = at * SAMPLES, restless
+            break
+        starts.append((start, warm) if start > last else (min(last + stride, total), False))
+    return starts
+
+
+def silence_aligned_starts(clips: DataFrame, energy: DataFrame, stride: int, chunk: int, warm_up: bool = False) -> DataFrame:
+    """Chunk starts drawn to quiet frames: ``clip, chunk, start``, with ``warm_up`` also ``prefix``.
+
+    ``clips(clip, total)`` in samples, ``energy(clip, frame, value)`` by encoder frame, with ``warm_up`` also ``settled``:
+    whether 0.2 s of quiet follow within half a second.  Sequential, as each start bounds the next; a clip is held as numbers.
     """
-    rows = clips.join(per_key(energy, ["clip"], "frame", ["value"]), "clip", "left")
-    wide, near = int(4.0 * 16_000 / SAMPLES), int(0.5 * 16_000 / SAMPLES)
+    fields = ["value", "settled"] if warm_up else ["value"]
+    rows = clips.join(per_key(energy, ["clip"], "frame", fields), "clip", "left")
 
     def plan(row):
-        level = dict(zip(row["frame"] or [], row["value"] or []))
-        total, last, target, n = row["total"], 0, stride, 0
-        yield (0, 0)
-        while target < total:
-            cover = last + chunk - 6 * SAMPLES
-            fallback = min(max(target // SAMPLES * SAMPLES, last + SAMPLES), cover)
-            start = fallback
-            for radius, share in ((wide, 0.05), (near, 0.35)):
-                middle = target // SAMPLES
-                around = [(level[f], f * SAMPLES) for f in range(max(1, middle - radius), min((total - 1) // SAMPLES, middle + radius) + 1) if f in level and last < f * SAMPLES <= cover]
-                if around:
-                    median = sorted(v for v, _ in around)[len(around) // 2]
-                    best = min(around)
-                    if best[0] <= max(0.0, median) * share:
-                        start = best[1]
-                        break
-            if start <= last:
-                start = min(last + stride, total)
-            n += 1
-            yield (n, start)
-            last, target = start, target + stride
-
-    return fold(rows, ["clip"], "chunk int, start long", plan)
+        at = np.array(row["frame"] or [], np.int64)
+        level, settled = np.full(at[-1] + 1 if len(at) else 0, np.nan), np.zeros(at[-1] + 1 if len(at) else 0, bool)
+        level[at[at >= 0]] = np.array([np.nan if v is None else v for v in row["value"] or []], float)[at >= 0]
+        if warm_up:
+            settled[at[at >= 0]] = np.array([bool(v) for v in row["settled"] or []], bool)[at >= 0]
+        for n, (start, prefix) in enumerate(aligned_starts(row["total"], level, settled if warm_up else None, stride, chunk)):
+            yield (n, start, prefix) if warm_up else (n, start)
+
+    return fold(rows, ["clip"], "chunk int, start long" + ", prefix boolean" * warm_up, plan)
 
 
 def drop_seam_words(tokens: DataFrame, overlap: int) -> DataFrame:

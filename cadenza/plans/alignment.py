@@ -27,6 +27,11 @@ def openers(s, d):
     return table(s, d, "token_pieces").filter("piece LIKE '▁%' OR piece LIKE ' %'").select("token")
 
 
+def case_variants(s, d):
+    p = table(s, d, "token_pieces").filter("token IS NOT NULL AND piece IS NOT NULL")
+    return p.select("token", F.min("token").over(W.partitionBy(F.lower("piece"))).alias("class"))
+
+
 QUERIES = {
     "suffix_prefix": lambda s, d: chunks(s, d).select("clip", "chunk", Q.suffix_prefix(F.col("prev"), F.col("cur")).alias("n")),
     "suffix_prefix_dedup": lambda s, d: chunks(s, d).select("clip", "chunk", F.size(Q.drop_overlap(F.col("prev"), F.col("cur"))).alias("n")),
@@ -37,7 +42,7 @@ QUERIES = {
     "token_dedup": lambda s, d: Q.pairwise(chunks(s, d), ["clip", "chunk"], "prev", "cur", Q.without_repeat, "rest"),
     "common_subsequence": lambda s, d: Q.pairwise(chunks(s, d), ["clip", "chunk"], "prev", "cur", lambda a, b: [x for x, _ in Q.common_subsequence(a, b)], "at"),
     "stream_stitch": lambda s, d: Q.pairwise(chunks(s, d), ["clip", "chunk"], "prev", "cur", Q.stitch, "joined"),
-    "chunk_merge": lambda s, d: Q.merged_stream(tokens(s, d), openers(s, d)),
+    "chunk_merge": lambda s, d: Q.merged_stream(tokens(s, d), openers(s, d), case_variants(s, d)),
     "word_errors": lambda s, d: rounded(Q.error_counts(spoken(s, d), "item_id", "hyp", "ref")),
     "char_errors": lambda s, d: rounded(spoken(s, d).filter("ref <> ''").select("item_id", (F.levenshtein(F.replace("hyp", F.lit(" ")), F.replace("ref", F.lit(" "))) / F.length(F.replace("ref", F.lit(" ")))).alias("cer"))),
 }

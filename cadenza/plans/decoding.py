@@ -71,8 +71,8 @@ QUERIES = {
     "stream_windows_whole": lambda s, d: fold(streamed(s, d), ["clip"], "first long, fresh long, last long", lambda r: S.replay(
         lambda a, b: S.window_step(a, b[0], 32_000, 160_000, 16_000, final=b[1]), [(4096, False)] * len(r["prob"]) + [(0, True)])),
     "stream_blocks": lambda s, d: fold(streamed(s, d), ["clip"], "kind string, n long, held long", lambda r: S.replay(S.placed_step, [((f + 1) * 0.256, 4096) for f in r["frame"]])),
-    "stream_commit": lambda s, d: fold(partials(s, d), ["item_id"], "done string, ghost string, reason string", lambda r: S.replay(S.commit_step, [("text", t, float(i)) for i, t in enumerate(r["x"])] + [("end", None, 1e9)])[-1:]),
-    "stream_confirm": lambda s, d: fold(partials(s, d), ["item_id"], "final string, tentative string", lambda r: S.replay(S.confirm_step, [(t, 0.9, 11.0 + i) for i, t in enumerate(r["x"])])[-1:]),
+    "stream_commit": lambda s, d: fold(partials(s, d), ["item_id"], "no int, done string, ghost string, reason string", lambda r: [(i, *o) for i, o in enumerate(S.replay(S.commit_step, [("text", t, float(i)) for i, t in enumerate(r["x"])] + [("end", None, 1e9)]))]),
+    "stream_confirm": lambda s, d: fold(partials(s, d), ["item_id"], "no int, final string, tentative string", lambda r: [(i, *o) for i, o in enumerate(S.replay(S.confirm_step, [(t, 0.9, 11.0 + i) for i, t in enumerate(r["x"])]))]),
     "stream_utterance_end": lambda s, d: fold(streamed(s, d), ["clip"], "ends int", lambda r: [(sum(S.replay(S.utterance_step, [(p is not None and p < 0.3, 0, 4096) for p in r["prob"]])),)]),
     "silence_profile": lambda s, d: rounded(frames(s, d).filter("prob < 0.2").groupBy("clip").agg(F.avg("prob").alias("level"), F.count(F.lit(1)).alias("n")), 8),
     "stream_cache": lambda s, d: fold(streamed(s, d), ["clip"], "frame int", lambda r: [(f,) for _, f in _cached(r)]),

@@ -11,6 +11,7 @@ from cadenza.operators.sessions import fold
 from cadenza.plans.decoding import VAD_EVENTS
 from cadenza.plans.evaluation import rounded
 from cadenza.plans.intervals import SEG, frames, segments
+from cadenza.plans.language import HAN, written_in
 from cadenza.plans.likeness import asked, terms, vecs, whole_terms, whole_words, words
 from cadenza.plans.signals import TOK, clips, tokens
 from cadenza.session import shared_dir, table
@@ -90,8 +91,8 @@ QUERIES = lexical(words, terms) | {f"{n}_whole": q for n, q in lexical(whole_wor
     "custom_rules": lambda s, d: Z.custom_rules(table(s, d, "eval_items").select("item_id", "text"), "text", [("the", "THE"), ("of the", "OF_THE")]),
     "normalised_vocabulary": lambda s, d: table(s, d, "token_pieces").select(F.regexp_replace(F.lower("piece"), "[^a-z0-9]", "").alias("form")).filter("form <> ''").distinct(),
     "words_in_window": nearest_words,
-    "pinyin_tones": lambda s, d: table(s, d, "documents").filter("lang = 'zh' AND text IS NOT NULL").select("doc_id", O.apply_text(F.col("text"), lambda t: " ".join(f"{b}{n}" for b, n in P.read_aloud(t, PINYIN, {}))).alias("sounds")),
-    "lexicon_matches": lambda s, d: fold(table(s, d, "documents").filter("lang = 'zh' AND text IS NOT NULL").select("doc_id", "text"), ["doc_id"], "known int", lambda r: [(sum(h is not None for _, h in K.longest_matches(r["text"], {k: k for k in PINYIN})),)]),
+    "pinyin_tones": lambda s, d: written_in(s, d, "zh", HAN).filter("text IS NOT NULL").select("doc_id", O.apply_text(F.col("text"), lambda t: " ".join(f"{b}{n}" for b, n in P.read_aloud(t, PINYIN, {}))).alias("sounds")),
+    "lexicon_matches": lambda s, d: fold(written_in(s, d, "zh", HAN).filter("text IS NOT NULL").select("doc_id", "text"), ["doc_id"], "known int", lambda r: [(sum(h is not None for _, h in K.longest_matches(r["text"], {k: k for k in PINYIN})),)]),
     "live_vad": live_vad,
     "live_windows": live_windows,
 }
@@ -100,6 +101,8 @@ _SIG = "f AS (SELECT clip, frame, max(prob) AS prob FROM vad_frames WHERE clip I
 _CL = "cl AS (SELECT clip, total_samples AS total FROM (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY registered_at DESC) AS rn FROM clips) WHERE rn = 1 AND total_samples IS NOT NULL)"
 
 ORACLE = {
+    "live_windows": """SELECT strftime(w, '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n
+FROM (SELECT event_type, unnest([time_bucket(INTERVAL 3 HOURS, ts::TIMESTAMP, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 3 HOURS, ts::TIMESTAMP, TIMESTAMP '1970-01-01') - INTERVAL 3 HOURS]) AS w FROM events) GROUP BY 1, 2""",
     "sample_slice": f"WITH {_SIG} SELECT clip, round(coalesce(16 * list_sum(p[3:6]), 0), 6) AS sum FROM g",
     "duration_between": f"WITH {_CL} SELECT * FROM cl WHERE total / 16000 BETWEEN 5 AND 30",
     "audio_issues": f"WITH {_SIG} SELECT clip, concat_ws(',', CASE WHEN len(p) * 16 < 1600 THEN 'short' END, CASE WHEN sqrt(list_sum(list_transform(p, lambda x: x * x)) / len(p)) < 0.5 THEN 'quiet' END) AS issues FROM g",

@@ -13,6 +13,11 @@ def docs(s, d):
     return table(s, d, "documents").select("doc_id", "text", "lang", "kind")
 
 
+def written_in(s, d, code, letters):
+    """Documents of a language, however it is written (``ZH``, ``zh-ZH``), and those whose text has its letters whatever ``lang`` says."""
+    return docs(s, d).filter(F.coalesce(F.lower("lang").rlike(f"^{code}([-_]|$)"), F.lit(False)) | F.coalesce(F.col("text").rlike(letters), F.lit(False)))
+
+
 def items(s, d):
     return table(s, d, "eval_items").select("item_id", "text", "lang")
 
@@ -41,6 +46,7 @@ def lm(s, d):
     return O.bigram_scores(item_words(s, d), uni, bi, ["item_id"], "at").groupBy("item_id").agg(F.round(F.sum("score"), 4).alias("score"))
 
 
+KANA, HAN = "[\u3041-\u30ff]", "(?s)\\A[^\u3041-\u30ff]*[\u4e00-\u9fff][^\u3041-\u30ff]*\\z"  # Chinese: without kana
 ARRAY = T.ArrayType(T.StringType())
 
 QUERIES = {
@@ -55,7 +61,7 @@ QUERIES = {
     "term_warnings": lambda s, d: pieces(s, d).select("token", F.array_join(X.term_warnings(F.col("piece")), ",").alias("warnings")),
     "replacement_floor": lambda s, d: rounded(item_words(s, d).select("item_id", "at", X.replacement_floor(F.col("word"), F.lit("transcript"), F.lit(1), F.lit(0.5)).alias("floor"))),
     "capitals_kept": lambda s, d: items(s, d).select("item_id", X.like_case(F.col("text"), F.lit("word")).alias("word")),
-    "japanese_normalize": lambda s, d: docs(s, d).filter("lang = 'ja'").select("doc_id", X.normalize_japanese(F.col("text")).alias("text")),
+    "japanese_normalize": lambda s, d: written_in(s, d, "ja", KANA).select("doc_id", X.normalize_japanese(F.col("text")).alias("text")),
     "tokens_to_text": lambda s, d: tokens(s, d).join(pieces(s, d), "token", "left").groupBy("clip", "chunk").agg(
         X.pieces_to_text(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"])).alias("text")),
     "initialisms": lambda s, d: docs(s, d).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Z]{2,5})\b")))).alias("word")).select("doc_id", "word", X.spelled(F.col("word")).alias("spoken")),
@@ -71,7 +77,7 @@ QUERIES = {
     "text_chunks": lambda s, d: O.exploded(docs(s, d), ["doc_id"], "text", lambda t: K.chunks(t, 300)),
     "phoneme_chunks": lambda s, d: O.exploded(docs(s, d), ["doc_id"], "text", lambda t: K.bounded_chunks(t, 200)),
     "segment_packing": lambda s, d: items(s, d).filter("text IS NOT NULL").select("item_id", O.apply_text(F.col("text"), lambda t: K.packed([len(w) for w in t.split()], 40), T.ArrayType(T.IntegerType())).alias("bins")),
-    "mandarin_numbers": lambda s, d: docs(s, d).filter("lang = 'zh'").select("doc_id", O.apply_text(F.col("text"), K.han_numbers).alias("text")),
+    "mandarin_numbers": lambda s, d: written_in(s, d, "zh", HAN).select("doc_id", O.apply_text(F.col("text"), K.han_numbers).alias("text")),
     "ngram_lm_score": lm,
     "json_props": lambda s, d: table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")),
     "cjk_rate": lambda s, d: rounded(items(s, d).select("item_id", X.cjk_rate(F.regexp_replace("text", "a", ""), F.col("text")).alias("rate"))),
@@ -94,7 +100,7 @@ SELECT clip, CASE WHEN fits THEN token ELSE -1 END AS token, CASE WHEN fits THEN
     "initialisms": r"SELECT doc_id, word, trim(regexp_replace(word, '(.)', '\1 ', 'g')) AS spoken FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\b[A-Z]{2,5}\b')) AS word FROM documents)",
     "replacement_floor": f"""SELECT item_id, CAST(i AS INT) AS "at", CASE WHEN word IN ({', '.join(repr(w) for w in [*X.FUNCTION_WORDS, *X.COMMON_WORDS])}) THEN NULL WHEN length(word) <= 4 THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS floor
 FROM (SELECT item_id, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS l FROM eval_items))""",
-    "japanese_normalize": r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([二三四五六七八九])十([一二三四五六七八九])', '\1\2', 'g'), '十([一二三四五六七八九])', '一\1', 'g'), '([二三四五六七八九])十', '\1〇', 'g') AS t FROM documents WHERE lang = 'ja'),
+    "japanese_normalize": r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([二三四五六七八九])十([一二三四五六七八九])', '\1\2', 'g'), '十([一二三四五六七八九])', '一\1', 'g'), '([二三四五六七八九])十', '\1〇', 'g') AS t FROM documents WHERE coalesce(regexp_matches(lower(lang), '^ja([-_]|$)'), false) OR coalesce(regexp_matches(text, '[\x{3041}-\x{30ff}]'), false)),
 b AS (SELECT doc_id, replace(replace(replace(replace(t, '百', '100'), '千', '1000'), '万', '10000'), '十', '10') AS t FROM a)
 SELECT doc_id, lower(regexp_replace(translate(t, '０１２３４５６７８９〇零一二三四五六七八九', '012345678900123456789'), '[、。！？・…「」『』（）［］｛｝【】,.!?;:''"()\[\]{}\-\s\x{3000}]', '', 'g')) AS text FROM b""",
     "tag_parse": r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '<([A-Za-z][A-Za-z0-9-]*(?:\s+[\w:-]+\s*=\s*(?:"[^"]*"|''[^'']*''))*)\s*/?>', 1) AS l FROM documents WHERE kind = 'script'),

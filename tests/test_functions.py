@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from cadenza.functions import spoken as K
-from cadenza.operators import clustering as C, sequences as Q
+from cadenza.operators import clustering as C, sequences as Q, timing as T
 from cadenza.operators.matching import assign
 from cadenza.operators.sessions import FRAME, RATE, VadConfig, speech_ranges
 from cadenza.streaming import machines as S
@@ -61,6 +61,35 @@ def test_chunk_merge():
     assert [t for t, _ in apart] == [1, 2, 8, 9]
 
 
+def test_chunk_merge_at_words():
+    opening = {1, 2, 3}
+
+    def merged(left, right, **kw):
+        return [t[0] for t in Q.merge_chunks(left, right, opens=lambda t: t[0] in opening, **kw)]
+
+    # the seam word comes whole from the right side, which has its begin
+    assert merged([(1, 0), (9, 2), (2, 10), (8, 12)], [(2, 10), (8, 12), (7, 13), (3, 20)]) == [1, 9, 2, 8, 7, 3]
+    # the right side begins inside the word: the left side completes it
+    assert merged([(1, 0), (8, 10), (9, 12), (7, 14)], [(8, 10), (9, 12), (6, 14), (3, 20)]) == [1, 8, 9, 7, 3]
+    # variants in case are anchors by their class
+    small = {5: 1}
+    left, right = [(1, 0), (2, 4), (3, 8)], [(5, 0), (2, 4), (3, 8), (1, 40)]
+    assert merged(left, right, key=lambda t: small.get(t[0], t[0])) == [1, 2, 3, 1]
+    assert Q.word_edges([False, True, False, True, False]) == ([-1, 1, 1, 3, 3], [1, 1, 3, 3, 5, 5])
+
+
+def test_starts_with_warm_up():
+    level = np.full(600, 1.0)
+    level[150] = 0.0  # 192,000: deep silence before the target 208,000
+    quiet = np.ones(600, bool)
+    assert T.aligned_starts(600 * 1280, level, quiet, 208_000, 240_000)[1] == (192_000, False)
+    quiet[150] = False  # speech comes back at once; target and forced end lie in speech: not drawn back
+    assert T.aligned_starts(600 * 1280, level, quiet, 208_000, 240_000)[1] == (162 * 1280, False)
+    level[162] = 0.5  # the target isn't loud: begun with a prefix
+    assert T.aligned_starts(600 * 1280, level, quiet, 208_000, 240_000)[1] == (192_000, True)
+    assert T.aligned_starts(0, level[:0], None, 208_000, 240_000) == [(0, False)]
+
+
 @given(st.integers(1, 4), st.integers(1, 4), st.randoms())
 @settings(max_examples=120, deadline=None)
 def test_assignment_is_optimal(n, m, rng):
@@ -126,6 +155,7 @@ def test_numbers():
     assert [K.cardinal(n) for n in (0, 21, 105, 1000, 1_000_001)] == ["zero", "twenty one", "one hundred five", "one thousand", "one million one"]
     assert [K.ordinal(n) for n in (1, 12, 20, 33, 100)] == ["first", "twelfth", "twentieth", "thirty third", "one hundredth"]
     assert K.convert_numbers("twenty one") == "21" and K.convert_numbers("one hundred five") == "105" and K.convert_numbers("zero") == ""
+    assert K.joined_numbers("one thousand five hundred".split()) == "100500" and K.joined_numbers("zero five zero".split()) == "5"
     assert K.convert_numbers("two twenty nine") == "2 29" and K.convert_numbers("a thousand ships") == "a 1000 ships"
     spoken = {
         "at 3:05 PM": "at three oh five p m", "$5.25": "five dollars and twenty five cents", "£1": "one pound", "€0.50": "fifty cents", "3.14": "three point one four",

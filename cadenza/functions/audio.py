@@ -33,6 +33,28 @@ def low_pass(x: np.ndarray, rate: float = 24_000, cutoff: float = 10_000) -> np.
     return out
 
 
+def shelf(cutoff: float, rate: int, gain: float, q: float = 0.707) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (numerator, denominator) of a high shelf of ``gain`` dB, by the bilinear transform of the analogue prototype."""
+    a, w = 10 ** (gain / 40), 2 * math.pi * cutoff / rate
+    c, slope = math.cos(w), math.sqrt(a) * math.sin(w) / q
+    top = np.array([a + 1 + (a - 1) * c + slope, -2 * (a - 1 + (a + 1) * c), a + 1 + (a - 1) * c - slope]) * a
+    low = np.array([a + 1 - (a - 1) * c + slope, 2 * (a - 1 - (a + 1) * c), a + 1 - (a - 1) * c - slope])
+    return top / low[0], low / low[0]
+
+
+def de_ess(x: np.ndarray, rate: int = 24_000, cutoff: float = 6000.0, gain: float = -3.0) -> np.ndarray:
+    """Sibilants softened: what lies above ``cutoff`` is lowered by ``gain`` dB; two samples or fewer stay as they are."""
+    x = np.array(x, float)
+    if len(x) <= 2:
+        return x
+    top, low = shelf(cutoff, rate, gain)
+    fed = np.convolve(x, top)[: len(x)]  # the part without feedback at once
+    out = np.zeros(len(x) + 2)
+    for i in range(len(x)):
+        out[i + 2] = fed[i] - low[1] * out[i + 1] - low[2] * out[i]
+    return out[2:]
+
+
 def mel_filters(bands: int, fft: int, rate: int) -> np.ndarray:
     """Triangles on the mel scale (linear below 1 kHz, logarithmic above), of like area."""
     def mel(f):

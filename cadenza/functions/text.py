@@ -97,11 +97,11 @@ just also only even still now here there very well back way own new old good gre
 
 
 def replacement_floor(word: Column, term: Column, words: Column, least: Column) -> Column:
-    """Similarity a replacement must reach; null where a function or common word stands alone. Spans with function words need 0.85, words much shorter than the term 0.80."""
+    """Similarity a replacement must reach; null where all words are function or common words. Spans with function words need 0.85, words much shorter than the term 0.80."""
     floor = required_similarity(least, words)
     floor = F.when(F.arrays_overlap(F.split(word, " "), F.array(*[F.lit(w) for w in FUNCTION_WORDS])) & (words >= 2), F.greatest(floor, F.lit(0.85))).otherwise(floor)
     floor = F.when((F.length(word) / F.length(term) < 0.75) & (F.length(word) <= 4), F.greatest(floor, F.lit(0.80))).otherwise(floor)
-    return F.when((words == 1) & word.isin(*FUNCTION_WORDS, *COMMON_WORDS), None).otherwise(floor)
+    return F.when(F.forall(F.split(word, " "), lambda w: w.isin(*FUNCTION_WORDS, *COMMON_WORDS)), None).otherwise(floor)
 
 
 def term_warnings(c: Column) -> Column:

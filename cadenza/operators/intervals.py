@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cadenza.operators.coverage import finite, latest_by, periods_and_gaps
-from cadenza.operators.sharded import centred_sums, running_sum, with_neighbours
+from cadenza.operators.sharded import centred_sums, highest_before, running_sum, with_neighbours
 
 BIN = 60_000
 
@@ -141,22 +141,30 @@ def quantised_union(df: DataFrame, frame: int) -> DataFrame:
     return merged(q, ["rec", "spk"]).withColumnsRenamed({"s": "first", "e": "last"})
 
 
-def without_overlap(df: DataFrame, least: int) -> DataFrame:
+def without_overlap(df: DataFrame, least: int, shard: int = 60_000) -> DataFrame:
     """In order of start a segment begins no earlier than the last kept one ends; pieces shorter than ``least`` are dropped and don't move that end.
 
-    Order-dependent on kept rows, so a fold over the rows of one recording (two numbers and a name each), in the JVM.
+    What is kept depends on what was kept before, but only as far as segments overlap: where one begins after all before it
+    have ended, a new island begins.  Islands come from running maxima by time shards; each is a fold of its own.
     Returns ``rec, spk, s, e, share`` with the share of the segment that is left.
     """
-    rows = F.array_sort(F.collect_list(F.struct("s", "e", "spk")))
-    start = F.struct(F.lit(-(2**60)).cast("long").alias("end"), F.array().cast("array<struct<spk:string,s:bigint,e:bigint,share:double>>").alias("out"))
+    from cadenza.operators.sessions import fold
 
-    def step(acc: Column, x: Column) -> Column:
-        s = F.greatest(x["s"], acc["end"])
-        kept = F.struct(x["spk"].alias("spk"), s.alias("s"), x["e"].alias("e"), ((x["e"] - s) / (x["e"] - x["s"])).alias("share"))
-        return F.when(x["e"] - s >= least, F.struct(x["e"].alias("end"), F.concat(acc["out"], F.array(kept)).alias("out"))).otherwise(acc)
-
-    folded = df.groupBy("rec").agg(rows.alias("r")).select("rec", F.aggregate("r", start, step, lambda a: a["out"]).alias("o"))
-    return folded.select("rec", F.explode("o").alias("o")).select("rec", "o.*")
+    x = df.select("rec", "spk", "s", "e", F.monotonically_increasing_id().alias("_id")).withColumn("_h", F.floor(F.col("s") / shard))
+    order = ["s", "e", "spk", "_id"]
+    x = highest_before(x, ["rec"], "_h", order, F.col("e"), "_top")
+    x = running_sum(x, ["rec"], "_h", order, F.when(F.col("_top").isNull() | (F.col("s") >= F.col("_top")), 1).otherwise(0), "_island")
+    islands = x.groupBy("rec", "_island").agg(F.array_sort(F.collect_list(F.struct("s", "e", "spk"))).alias("r")).select("rec", "r")
+
+    def keep(row):
+        end = None
+        for s, e, spk in ((t["s"], t["e"], t["spk"]) for t in row["r"]):
+            start = s if end is None else max(s, end)
+            if e - start >= least:
+                end = e
+                yield (spk, start, e, (e - start) / (e - s) if e > s else None)
+
+    return fold(islands, ["rec"], "spk string, s long, e long, share double", keep)
 
 
 def runs(df: DataFrame, keys: list[str], at: str, flag: Column) -> DataFrame:

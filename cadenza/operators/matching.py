@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cadenza.operators.sessions import fold
@@ -77,6 +78,67 @@ def _block(spark, rows: DataFrame, got: pa.Table, dim: int, k: int | None, withi
     return rows.filter(F.size("v") == dim).mapInArrow(run, "q long, id long, distance double")
 
 
+def similar_pairs(rows: DataFrame, within: float, block: int = 4096) -> DataFrame:
+    """``q, id, distance`` with q < id: all pairs of cosine distance at most ``within``.
+
+    An exact join with a wide threshold has to look at every pair; it does so as matrix products of two blocks of at most
+    about ``block`` vectors a task, of which only pairs within the threshold leave.  Nothing reaches the driver.
+    """
+    from cadenza.functions.vectors import is_embedding
+
+    rows = rows.filter(is_embedding(F.col("v"), 0.0)).select("id", "v")
+    n = max(1, -(-rows.count() // block))
+    mine = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    met = rows.withColumn("b", mine).select("id", "v", "b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("o"))
+    met = met.select("id", "v", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    schema = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        lengths = pc.list_value_length(table.column("v")).to_numpy()
+        low = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        left, ids, found = table.column("b").to_numpy() == table.column("i")[0].as_py(), table.column("id").to_numpy(), []
+        for dim in np.unique(lengths):
+            at = [np.flatnonzero((lengths == dim) & side) for side in ((left, left) if low else (left, ~left))]
+            a, b = (_matrix(table.column("v").take(pa.array(x)), int(dim)) if len(x) else np.empty((0, int(dim))) for x in at)
+            d = np.round(_distances(a, b, True), 12)
+            x, y = np.nonzero(d <= within)
+            p, q = ids[at[0][x]], ids[at[1][y]]
+            keep = p < q if low else p != q
+            found.append((np.minimum(p, q)[keep], np.maximum(p, q)[keep], d[x, y][keep]))
+        return pa.table([np.concatenate(c) for c in zip(*found)], schema=schema)
+
+    return met.groupBy("i", "j").applyInArrow(run, "q long, id long, distance double")
+
+
+def nearest_centroid(rows: DataFrame, centroids: DataFrame, most: int = 65_536) -> DataFrame:
+    """``id, centroid, distance`` (cosine) of each row's nearest centroid, smaller id first on ties.
+
+    The least is taken inside a batch, so that a row leaves a task once.  At most ``most`` centroids are broadcast; more are an error.
+    """
+    from cadenza.functions.vectors import is_embedding
+
+    got = centroids.filter(is_embedding(F.col("v"), 0.0)).select("id", "v").orderBy("id").limit(most + 1).toArrow()
+    if got.num_rows > most:
+        raise ValueError(f"more than {most} centroids")
+    rows = rows.filter(is_embedding(F.col("v"), 0.0)).select("id", "v")
+    schema = pa.schema([("id", pa.int64()), ("centroid", pa.int64()), ("distance", pa.float64())])
+    if not got.num_rows:
+        return rows.sparkSession.createDataFrame([], "id long, centroid long, distance double")
+    dim = len(got.column("v")[0])
+    shared = rows.sparkSession.sparkContext.broadcast((got.column("id").to_numpy(), _matrix(got.column("v"), dim)))
+
+    def run(batches):
+        names, c = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d = np.round(_distances(_matrix(batch.column(1), dim), c, True), 12)
+            best = d.argmin(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(names[best]), pa.array(d[np.arange(len(d)), best])], schema=schema)
+
+    return rows.filter(F.size("v") == dim).mapInArrow(run, "id long, centroid long, distance double")
+
+
 def mergeable(pairs: DataFrame, permanent: DataFrame) -> DataFrame:
     """Direction of merging for near pairs (q < id): the later into the earlier unless only the later is permanent; two permanent ones never.
 

@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def initialise(old: DataFrame, new: DataFrame, key: str, mode: str, keep_permanent: bool = True) -> DataFrame:
+#: What becomes of columns when two entries of one key merge; others stay as they are.
+MERGED = {
+    "name": lambda a, b: F.coalesce(b, a), "duration": lambda a, b: a + b, "updated_at": lambda a, b: F.greatest(a, b),
+    "update_count": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
+}
+
+
+def newest(most: int = 50, at: str = "at"):
+    """Merges two histories (arrays of structs with a time ``at``): the ``most`` newest of both, oldest first if there are no more."""
+    def merge(a, b):
+        both = F.concat(F.coalesce(a, F.array()), F.coalesce(b, F.array()))
+        down = F.array_sort(both, lambda x, y: F.when(x[at] > y[at], -1).when(x[at] < y[at], 1).otherwise(0))
+        return F.when(F.size(both) > most, F.slice(down, 1, most)).otherwise(both)
+    return merge
+
+
+def initialise(old: DataFrame, new: DataFrame, key: str, mode: str, keep_permanent: bool = True, merged: dict | None = None) -> DataFrame:
     """Full outer join of a registry and newcomers (unique keys, like columns with ``permanent boolean``).
 
-    ``skip`` keeps what is there, ``overwrite`` replaces it, ``reset`` empties the registry first; permanent rows are
+    ``skip`` keeps what is there, ``overwrite`` replaces it, ``merge`` joins both by the column functions ``merged``
+    (``MERGED`` by default; columns without one stay), ``reset`` empties the registry first; permanent rows are
     kept in each case if asked.  Null flags count as not permanent; rows without a key are left out.
     """
-    if mode not in ("skip", "overwrite", "reset"):
+    if mode not in ("skip", "overwrite", "merge", "reset"):
         raise ValueError(f"unknown mode {mode}")
     cols = [c for c in old.columns if c != key]
     a = old.filter(F.col(key).isNotNull()).select(key, F.struct(*cols).alias("_a"))
@@ -20,6 +37,10 @@ def initialise(old: DataFrame, new: DataFrame, key: str, mode: str, keep_permane
     x = a.join(b, key, "full")
     if mode == "skip":
         row = F.coalesce("_a", "_b")
+    elif mode == "merge":
+        how = MERGED if merged is None else merged
+        both = F.struct(*[(how[c](F.col(f"_a.{c}"), F.col(f"_b.{c}")) if c in how else F.col(f"_a.{c}")).cast(old.schema[c].dataType).alias(c) for c in cols])
+        row = F.when(F.col("_a").isNull(), F.col("_b")).when(F.col("_b").isNull() | fixed, F.col("_a")).otherwise(both)
     else:
         row = F.when(fixed | F.col("_b").isNull(), F.col("_a")).otherwise(F.col("_b"))
         if mode == "reset":

@@ -34,17 +34,18 @@ def fold(df: DataFrame, keys: list[str], schema: str, fn) -> DataFrame:
     """Apply ``fn(row as dict) -> iterable of tuples`` to each row in Arrow batches; its tuples are put after the keys."""
     types = dict(df.dtypes)
     out = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + schema
-    names = [c.strip().split(" ")[0].strip("`") for c in _split(out)]
 
     def run(batches):
         for batch in batches:
             cols = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-            rows = []
+            made, source = [], []
             for i in range(batch.num_rows):
-                row = {n: c[i] for n, c in cols.items()}
-                head = tuple(row[k] for k in keys)
-                rows += [head + tuple(r) for r in fn(row)]
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=arrow) if rows else pa.RecordBatch.from_pylist([], schema=arrow)
+                before = len(made)
+                made += fn({n: c[i] for n, c in cols.items()})
+                source += [i] * (len(made) - before)
+            at = pa.array(source, pa.int64())
+            own = [pa.array(list(c), f.type) for c, f in zip(zip(*made) if made else [[]] * (len(arrow) - len(keys)), list(arrow)[len(keys):])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at).cast(arrow.field(k).type) for k in keys), *own], schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -52,16 +53,6 @@ def fold(df: DataFrame, keys: list[str], schema: str, fn) -> DataFrame:
     return df.mapInArrow(run, out)
 
 
-def _split(schema: str) -> list[str]:
-    parts, depth, last = [], 0, 0
-    for i, c in enumerate(schema):
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and not depth:
-            parts.append(schema[last:i])
-            last = i + 1
-    return parts + [schema[last:]]
-
-
 def hysteresis(df: DataFrame, keys: list[str], at: str, value: str, onset: float, offset: float) -> DataFrame:
     """Adds ``on``: set from a value above ``onset`` while values are at least ``offset``.  Null and NaN values change nothing."""
     v = F.col(value)

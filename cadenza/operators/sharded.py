@@ -52,6 +52,15 @@ def running_sum(df: DataFrame, keys: list[str], shard: str, order: list, value:
     return running_sums(df, keys, shard, order, {name: value})
 
 
+def highest_before(df: DataFrame, keys: list[str], shard: str, order: list, value: Column, name: str) -> DataFrame:
+    """Adds the greatest value of the rows before this one; null in a key's first row."""
+    w = W.partitionBy(*keys, shard).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    x = df.withColumn("_v", value)
+    across = W.partitionBy(*keys).orderBy(shard).rowsBetween(W.unboundedPreceding, -1)
+    s = _summary(x, keys, shard, [F.max("_v").alias("_t")], [F.max("_t").over(across).alias("_b")])
+    return x.withColumn("_r", F.max("_v").over(w)).join(s, [*keys, shard]).withColumn(name, F.greatest("_r", "_b")).drop("_v", "_r", "_b")
+
+
 def last_known(df: DataFrame, keys: list[str], shard: str, order: list, value: Column, name: str) -> DataFrame:
     """Adds the latest value that isn't null up to this row."""
     w = W.partitionBy(*keys, shard).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)

@@ -1,9 +1,10 @@
 """Queries of clustering, decoding, readers on text columns and replayed streams."""
 
 import math
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cadenza.operators import clustering as C, registry as R
 from cadenza.operators.sessions import fold, per_key
@@ -49,6 +50,12 @@ def partials(s, d):
     return w
 
 
+def kaldi(s, d):
+    """All six files of a split, by name."""
+    x = segments(s, d).select(F.concat_ws("-", "rec", "spk", "s", "e").alias("utt"), "rec", "spk", (F.col("s") / 100).alias("s"), (F.col("e") / 100).alias("e"), F.concat("rec", F.lit(".wav")).alias("wav"))
+    return reduce(DataFrame.unionByName, [part.select(F.lit(name).alias("file"), "value") for name, part in sinks.kaldi_lines(x).items()])
+
+
 QUERIES = {
     "ahc_partition": lambda s, d: C.clustered(grouped(s, d), "g", "id", "v", lambda x: C.agglomerate(x, 0.3)),
     "kmeans_partition": lambda s, d: C.clustered(grouped(s, d), "g", "id", "v", lambda x: C.kmeans(x, 3)[0]),
@@ -64,7 +71,7 @@ QUERIES = {
         F.count_if(F.col("chunk") % 3 == 0).alias("a"), F.count_if(F.col("chunk") % 3 == 2).alias("c"), F.avg("conf").alias("m")).select(
         "clip", C.arbitrate(F.col("c") / F.greatest("a", F.lit(1)), F.lit(0.8), F.round("m", 6), F.round("m", 6) + 0.01, F.lit(0.5), F.col("c") / F.greatest("a", F.lit(1)), F.round("m", 6) + 0.01).alias("kept")),
     "rttm_scan": lambda s, d: table(s, d, "documents").filter("kind = 'rttm' AND text IS NOT NULL").select("doc_id", F.posexplode(readers.parse_rttm(F.col("text"))).alias("no", "r")).select("doc_id", "no", "r.rec", "r.spk", F.round("r.s", 4).alias("s"), F.round("r.e", 4).alias("e")),
-    "kaldi_lines": lambda s, d: sinks.kaldi_lines(segments(s, d).select(F.concat_ws("-", "rec", "spk", "s", "e").alias("utt"), "rec", "spk", (F.col("s") / 100).alias("s"), (F.col("e") / 100).alias("e"), F.concat("rec", F.lit(".wav")).alias("wav")))["reco2num_spk"],
+    "kaldi_lines": kaldi,
     "stream_vad_events": lambda s, d: fold(streamed(s, d), ["clip"], "kind string, sample long", lambda r: S.replay(S.vad_step, r["prob"])),
     "stream_hops": lambda s, d: fold(streamed(s, d), ["clip"], "first long, last long", lambda r: S.replay(lambda a, b: S.hop_step(a, b, 160_000, 128_000), [4096] * len(r["prob"]))),
     "stream_windows": lambda s, d: fold(streamed(s, d), ["clip"], "first long, fresh long, last long", lambda r: S.replay(lambda a, b: S.window_step(a, b, 32_000, 160_000, 16_000), [4096] * len(r["prob"]))),
@@ -110,7 +117,11 @@ SELECT doc_id, CAST(no AS INT) AS no, f[2] AS rec, f[8] AS spk, round(try_cast(f
     "silence_profile": f"WITH {_F} SELECT clip, round(avg(prob), 8) AS level, count(*) AS n FROM f WHERE prob < 0.2 GROUP BY clip",
     "stream_cache": f"WITH {_F}, k AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY prob DESC, frame) AS r FROM f) SELECT clip, frame FROM k WHERE r <= 16",
     "stream_hops": f"WITH {_F}, n AS (SELECT clip, count(*) * 4096 AS n FROM f GROUP BY clip) SELECT clip, i * 128000 AS first, i * 128000 + 160000 AS last FROM n, LATERAL (SELECT unnest(range(0, greatest(0, (n - 160000) // 128000 + 1))) AS i) WHERE n >= 160000",
-    "kaldi_lines": f"{SEG} SELECT rec || ' ' || count(DISTINCT spk) AS value FROM seg GROUP BY rec",
+    "kaldi_lines": f"""{SEG}, x AS (SELECT concat_ws('-', rec, spk, s, e) AS utt, rec, spk, s / 100 AS s, e / 100 AS e FROM seg),
+p AS (SELECT rec, max(e) AS e, count(DISTINCT spk) AS n FROM x GROUP BY rec)
+SELECT 'wav.scp' AS file, rec || ' ' || rec || '.wav' AS value FROM p UNION ALL SELECT 'segments', format('{{}} {{}} {{:.2f}} {{:.2f}}', utt, rec, s::DOUBLE, e::DOUBLE) FROM x UNION ALL SELECT 'utt2spk', utt || ' ' || spk FROM x
+UNION ALL SELECT 'spk2utt', spk || ' ' || string_agg(DISTINCT utt, ' ' ORDER BY utt) FROM x GROUP BY spk
+UNION ALL SELECT 'reco2dur', format('{{}} {{:.2f}}', rec, e::DOUBLE) FROM p UNION ALL SELECT 'reco2num_spk', rec || ' ' || n FROM p""",
     "stream_blocks": f"""WITH {_F}, p AS (SELECT clip, frame, coalesce(lag((frame + 1) * 4096) OVER (PARTITION BY clip ORDER BY frame), 0) AS held FROM f)
 SELECT clip, CASE WHEN frame * 4096 > held THEN 'gap' ELSE 'next' END AS kind, CAST(frame * 4096 - held AS BIGINT) AS n, CAST((frame + 1) * 4096 AS BIGINT) AS held FROM p""",
     "stream_windows": f"""WITH {_F}, n AS (SELECT clip, count(*) * 4096 AS n FROM f GROUP BY clip HAVING count(*) * 4096 >= 48000)

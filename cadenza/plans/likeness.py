@@ -107,10 +107,10 @@ QUERIES = lexical(words, terms) | {f"{n}_whole": q for n, q in lexical(whole_wor
     "exclusive_scores": lambda s, d: vecs(s, d).select("id", F.transform(V.exclusive_scores(F.transform("v", lambda x: V.sigmoid(x.cast("double"))), 0.25), lambda x: F.round(x, 6) + 0.0).alias("scores")),
     "nn_join": lambda s, d: rounded(X.cosine_pairs(asked(s, d), vecs(s, d), k=5), 5),
     "threshold_join": lambda s, d: X.cosine_pairs(asked(s, d), vecs(s, d), within=0.7).select("q", "id"),
-    "mergeable_pairs": lambda s, d: X.mergeable(X.cosine_pairs(vecs(s, d), vecs(s, d), within=0.6), vecs(s, d).select("id", (F.col("id") % 3 == 0).alias("permanent"))).select("source", "target"),
+    "mergeable_pairs": lambda s, d: X.mergeable(X.similar_pairs(vecs(s, d), 0.6), vecs(s, d).select("id", (F.col("id") % 3 == 0).alias("permanent"))).select("source", "target"),
     "mean_vector": lambda s, d: centroids(s, d).select("id", F.transform("v", lambda x: F.round(x, 5)).alias("v")),
     "weighted_centroid": lambda s, d: R.mean_vectors(vecs(s, d).withColumn("w", F.col("id") % 4 + 1), ["label"], "v", "w", unit=True).select("label", F.transform("v", lambda x: F.round(x, 5)).alias("v")),
-    "centroid_assign": lambda s, d: X.cosine_pairs(centroids(s, d).withColumn("id", -1 - F.col("id")), vecs(s, d), within=2.0).groupBy("id").agg(F.min(F.struct("distance", (-1 - F.col("q")).alias("c"))).alias("m")).select("id", F.col("m.c").alias("centroid")),
+    "centroid_assign": lambda s, d: X.nearest_centroid(vecs(s, d), centroids(s, d)).select("id", "centroid"),
     "time_tolerant_match": lambda s, d: X.time_matches(
         tokens(s, d).filter("chunk % 2 = 0").select("clip", F.col("token").alias("label"), F.col("ts").alias("t"), F.struct("chunk", "pos").alias("n")),
         tokens(s, d).filter("chunk % 2 = 1").select("clip", F.col("token").alias("label"), F.col("ts").alias("t"), F.struct("chunk", "pos").alias("n")), ["clip"], 13).groupBy("clip").agg(F.count(F.lit(1)).alias("pairs")),
@@ -123,6 +123,7 @@ QUERIES = lexical(words, terms) | {f"{n}_whole": q for n, q in lexical(whole_wor
     "registry_upsert": lambda s, d: R.upsert(voices(s, d).filter("length(id) > 0 AND substr(id, -1, 1) < '7'"), voices(s, d).filter("substr(id, -1, 1) > '4'").withColumn("duration", F.col("duration") + 1), "id").select("id", "duration"),
     "registry_skip": lambda s, d: R.initialise(voices(s, d).filter("substr(id, -1, 1) < '7'"), voices(s, d).filter("substr(id, -1, 1) > '4'").withColumn("duration", F.col("duration") + 1), "id", "skip").select("id", "duration"),
     "registry_reset": lambda s, d: R.initialise(voices(s, d).filter("substr(id, -1, 1) < '7'"), voices(s, d).filter("substr(id, -1, 1) > '4'").withColumn("duration", F.col("duration") + 1), "id", "reset").select("id", "duration"),
+    "registry_merge": lambda s, d: R.initialise(voices(s, d).filter("substr(id, -1, 1) < '7'"), voices(s, d).filter("substr(id, -1, 1) > '4'").withColumn("duration", F.col("duration") + 1), "id", "merge", merged=R.MERGED).select("id", F.round("duration", 4).alias("duration"), "update_count"),
     "registry_expire": lambda s, d: R.active_since(voices(s, d), "updated_at", F.lit("2026-01-06 12:00:00").cast("timestamp_ntz")).select("id"),
     "registry_stats": lambda s, d: rounded(R.registry_stats(voices(s, d).filter("duration IS NOT NULL AND NOT isnan(duration)")), 4),
     "dedup_last_wins": lambda s, d: R.last_wins(table(s, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id"),
@@ -176,6 +177,9 @@ SELECT rec, CAST(sum(x) AS BIGINT) AS total, CAST(sum(greatest(x - y, 0)) AS BIG
     "registry_upsert": f"WITH {_V} SELECT id, CASE WHEN right(id, 1) > '4' THEN duration + 1 ELSE duration END AS duration FROM vc WHERE (length(id) > 0 AND right(id, 1) < '7') OR right(id, 1) > '4'",
     "registry_skip": f"WITH {_V} SELECT id, CASE WHEN right(id, 1) < '7' THEN duration ELSE duration + 1 END AS duration FROM vc WHERE right(id, 1) < '7' OR right(id, 1) > '4'",
     "registry_reset": f"WITH {_V} SELECT id, CASE WHEN right(id, 1) < '7' AND permanent THEN duration ELSE duration + 1 END AS duration FROM vc WHERE (right(id, 1) < '7' AND permanent) OR right(id, 1) > '4'",
+    "registry_merge": f"""WITH {_V}, x AS (SELECT *, right(id, 1) < '7' AS old, right(id, 1) > '4' AS new FROM vc)
+SELECT id, round(CASE WHEN old AND new AND NOT permanent THEN duration + duration + 1 WHEN old THEN duration ELSE duration + 1 END, 4) AS duration,
+  CAST(CASE WHEN old AND new AND NOT permanent THEN greatest(update_count, 0) * 2 ELSE nullif(update_count, -1) END AS INT) AS update_count FROM x WHERE old OR new""",
     "registry_expire": f"WITH {_V} SELECT id FROM vc WHERE coalesce(updated_at >= TIMESTAMP '2026-01-06 12:00:00', false) OR permanent",
     "registry_stats": f"WITH {_V} SELECT count(*) AS n, round(sum(duration), 4) AS duration, round(least(1, coalesce(sum(CASE WHEN update_count >= 0 THEN update_count END), 0) / count(*) / 10), 4) AS confidence, count(*) FILTER (update_count > 0) AS updated FROM vc WHERE duration IS NOT NULL AND NOT isnan(duration)",
     "dedup_last_wins": "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2",

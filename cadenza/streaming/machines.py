@@ -21,6 +21,56 @@ def hop_step(state, block, chunk: int, hop: int):
     return (total, begin), out
 
 
+def recent_step(state, block, chunk: int, hop: int, first: int | None = None):
+    """As ``hop_step``, but a chunk is always the newest ``chunk`` samples, once ``hop`` new ones are there; older ones are skipped.
+
+    ``first``: a shorter chunk to begin with, which grows by ``hop`` until it is full.  state: (samples so far, samples at which the next is due, size).
+    """
+    total, due, size = state or (0, first or chunk, first or chunk)
+    total += block
+    if total < due:
+        return (total, due, size), []
+    out = [(total - size, total)]
+    grown = min(size + hop, chunk)
+    return (total, total + (grown - size if size < chunk else hop), grown), out
+
+
+def timeline_step(state, event, up: float, down: float):
+    """A timeline of one speaker that can be taken back.
+
+    state: (final frames, segments so far, begin of the open one, named snapshots).  Events: ("final", values) appends frames,
+    ("tentative", values) shows what they would add, ("snapshot", name) keeps the timeline under a name, ("rollback", name)
+    returns to it, ("rebuild", values) begins anew with these frames.
+    Output: (kind, final frames, segments as (first, last)); an open segment ends at the last frame.
+    """
+    n, done, begin, kept = state or (0, (), None, ())
+    kind, value = event
+
+    def append(n, done, begin, values):
+        for p in values:
+            if begin is None and p is not None and p > up:
+                begin = n
+            elif begin is not None and (p is None or p < down):
+                done, begin = (*done, (begin, n)), None
+            n += 1
+        return n, done, begin
+
+    def shown(n, done, begin):
+        return list(done) + ([(begin, n)] if begin is not None else [])
+
+    if kind == "snapshot":
+        kept = (*((k, v) for k, v in kept if k != value), (value, (n, done, begin)))
+    elif kind == "rollback":
+        n, done, begin = dict(kept).get(value, (n, done, begin))
+    elif kind == "rebuild":
+        n, done, begin = append(0, (), None, value)
+    elif kind == "final":
+        n, done, begin = append(n, done, begin, value)
+    else:
+        return (n, done, begin, kept), [(kind, n, shown(*append(n, done, begin, value)))]
+    return (n, done, begin, kept), [(kind, n, shown(n, done, begin))]
+
+
 def placed_step(state, block, rate: int = RATE):
     """Where a block with an end time goes: ahead of the buffer the gap is silence; behind it the newest samples give way to the late block.
 

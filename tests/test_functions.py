@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from cadenza.functions import spoken as K
+from cadenza.functions import audio as A, spoken as K
 from cadenza.operators import clustering as C, sequences as Q, timing as T
 from cadenza.operators.matching import assign
 from cadenza.operators.sessions import FRAME, RATE, VadConfig, speech_ranges
@@ -141,6 +141,27 @@ def test_commits():
     assert S.commit_step(None, ("end", None, 0.0))[1] == [("", "", None)]
 
 
+def test_newest_chunks():
+    assert S.replay(lambda a, b: S.recent_step(a, b, 10, 4), [7, 7, 7, 1]) == [(4, 14), (11, 21)]
+    assert S.replay(lambda a, b: S.recent_step(a, b, 10, 4, first=2), [2, 4, 4, 4]) == [(0, 2), (0, 6), (0, 10), (4, 14)]
+
+
+def test_timeline_goes_back():
+    events = [("final", [0.9, 0.9]), ("snapshot", "a"), ("tentative", [0.1]), ("final", [0.1, 0.9]), ("rollback", "a"), ("final", [0.9, 0.0]), ("rebuild", [0.0, 0.9]), ("rollback", "a")]
+    got = S.replay(lambda a, b: S.timeline_step(a, b, 0.5, 0.3), events)
+    assert got == [("final", 2, [(0, 2)]), ("snapshot", 2, [(0, 2)]), ("tentative", 2, [(0, 2)]), ("final", 4, [(0, 2), (3, 4)]), ("rollback", 2, [(0, 2)]), ("final", 4, [(0, 3)]),
+                   ("rebuild", 2, [(1, 2)]), ("rollback", 2, [(0, 2)])]
+
+
+def test_de_esser_lowers_what_lies_above():
+    t = np.arange(24_000) / 24_000
+    low, high = np.sin(2 * np.pi * 300 * t), np.sin(2 * np.pi * 11_000 * t)
+    def gain(x):
+        return float(np.sqrt((A.de_ess(x)[2000:] ** 2).mean() / (x[2000:] ** 2).mean()))
+    assert gain(low) == pytest.approx(1, abs=0.01) and gain(high) == pytest.approx(10 ** (-3 / 20), abs=0.01)
+    assert A.de_ess(np.array([0.5])).tolist() == [0.5]
+
+
 def test_other_machines():
     assert S.replay(lambda a, b: S.hop_step(a, b, 10, 4), [7, 7, 7]) == [(0, 10), (4, 14), (8, 18)]
     assert S.replay(lambda a, b: S.placed_step(a, b, 10), [(None, 10), (3.0, 10), (2.5, 10)]) == [("next", 0, 10), ("gap", 10, 30), ("back", 15, 25)]

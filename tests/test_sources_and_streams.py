@@ -103,10 +103,17 @@ def test_japanese(spark):
     assert [r[0] for r in t.select(X.normalize_japanese(F.col("t"))).collect()] == ["21と1520", "3100102024年", "100"]
 
 
+def test_merged_histories_keep_the_newest(spark):
+    t = spark.createDataFrame([([(3, "c"), (1, "a")], [(2, "b"), (4, "d")]), (None, [(1, "z")])], "a array<struct<at:int,x:string>>, b array<struct<at:int,x:string>>")
+    got = [[x["x"] for x in r[0]] for r in t.select(R.newest(3)(F.col("a"), F.col("b"))).collect()]
+    assert got == [["d", "c", "b"], ["z"]]
+
+
 def test_registry_modes(spark):
     schema = "id string, v int, permanent boolean"
     old, new = spark.createDataFrame([("a", 1, True), ("b", 1, False), ("c", 1, None)], schema), spark.createDataFrame([("a", 2, False), ("b", 2, False), ("d", 2, False), (None, 2, False)], schema)
     value = {m: {r["id"]: r["v"] for r in R.initialise(old, new, "id", m).collect()} for m in ("skip", "overwrite", "reset")}
+    assert {r["id"]: r["v"] for r in R.initialise(old, new, "id", "merge", merged={"v": lambda a, b: a + b}).collect()} == {"a": 1, "b": 3, "c": 1, "d": 2}
     assert value == {"skip": {"a": 1, "b": 1, "c": 1, "d": 2}, "overwrite": {"a": 1, "b": 2, "c": 1, "d": 2}, "reset": {"a": 1, "b": 2, "d": 2}}
     with pytest.raises(ValueError):
         R.initialise(old, new, "id", "other")

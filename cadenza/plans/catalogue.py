@@ -1,8 +1,8 @@
 """All queries of the core, with their SQL."""
 
-from cadenza.plans import alignment, coverage, decoding, evaluation, extras, intervals, language, likeness, signals
+from cadenza.plans import alignment, coverage, decoding, evaluation, extras, goldens, intervals, language, likeness, signals
 
-_MODULES = [coverage, intervals, evaluation, signals, likeness, alignment, language, decoding, extras]
+_MODULES = [coverage, intervals, evaluation, signals, likeness, alignment, language, decoding, extras, goldens]
 
 
 def queries() -> dict:

@@ -137,17 +137,18 @@ def co_occurrence(ref: DataFrame, hyp: DataFrame, step: int, disjoint: bool = Fa
     return both.groupBy("rec", "spk", "hyp").agg(F.sum(F.col("e") - F.col("s")).alias("frames"))
 
 
-def frame_errors(ref: DataFrame, hyp: DataFrame, mapping: DataFrame, step: int, shard: int = 6000, disjoint: bool = False) -> DataFrame:
+def frame_errors(ref: DataFrame, hyp: DataFrame, mapping: DataFrame, step: int, shard: int = 6000, disjoint: bool = False, met: DataFrame | None = None) -> DataFrame:
     """Per recording: reference frames (``total``), missed, false alarm, confusion and the error rate (0 without reference speech).
 
     ``mapping(rec, spk, hyp)`` is the one-to-one assignment.  Per frame: missed max(0, ref - hyp), false alarm
     max(0, hyp - ref), confusion min(ref, hyp) - correct.  A sweep over the ends of intervals on the frame grid counts
     active reference, hypothesis and rightly mapped speakers; each stretch between ends weighs its length.
+    ``met(rec, spk, hyp, s, e)``: where both are active on the grid, if that is known already.
     """
     from cadenza.operators.intervals import overlap_join
 
     r, h = on_grid(ref, "spk", step, disjoint), on_grid(hyp, "hyp", step, disjoint)
-    ok = overlap_join(r.join(mapping, ["rec", "spk"]), h, ["rec", "hyp"], 6000)
+    ok = met.join(mapping, ["rec", "spk", "hyp"]) if met is not None else overlap_join(r.join(mapping, ["rec", "spk"]), h, ["rec", "hyp"], 6000)
 
     def ends(df, a, b, c):
         one = [F.lit(x) for x in (a, b, c)]

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import text as N, vectors as V
 from cadenza.operators import matching as X, metrics as M, registry as R
-from cadenza.operators.intervals import collar_trim, merged, overlap_join, overlap_length, subtract
+from cadenza.operators.intervals import collar_trim, merged, overlap_join
 from cadenza.plans.evaluation import rounded
 from cadenza.plans.intervals import SEG, domain, hypothesis, merge_sql, segments
 from cadenza.plans.signals import TOK, tokens
@@ -55,26 +55,33 @@ def mapping(s, d):
 
 
 def frame_errors(s, d):
-    ref, hyp = materialise(M.on_grid(segments(s, d), "spk", 10)), materialise(M.on_grid(hypothesis(s, d), "hyp", 10))
-    chosen = X.best_mapping(M.co_occurrence(ref, hyp, 1, disjoint=True), "rec", "spk", "hyp", "frames")
-    return M.frame_errors(ref, hyp, materialise(chosen), 1, disjoint=True)
+    ref, hyp = M.on_grid(segments(s, d), "spk", 10), M.on_grid(hypothesis(s, d), "hyp", 10)
+    # where two are active decides the mapping, and then what is right: it is written once
+    met = materialise(overlap_join(ref, hyp, ["rec"], 6000).select("rec", "spk", "hyp", "s", "e"))
+    chosen = X.best_mapping(met.groupBy("rec", "spk", "hyp").agg(F.sum(F.col("e") - F.col("s")).alias("frames")), "rec", "spk", "hyp", "frames")
+    return M.frame_errors(ref, hyp, chosen, 1, disjoint=True, met=met)
 
 
 def jaccard(s, d):
-    """Interval scoring: collars and overlaps left out, then miss, false alarm and the speakers' mean Jaccard error."""
+    """Interval scoring: collars left out, then the speakers' mean Jaccard error.
+
+    What lies in the zones that aren't scored is measured and taken off, so scored pieces needn't be built and merged again.
+    """
     seg = segments(s, d)
+    a, b = merged(seg, ["rec", "spk"]), merged(hypothesis(s, d), ["rec", "hyp"])
     zones = collar_trim(seg, 25)[1]
-    scored = subtract(domain(s, d), zones, ["rec"])
-
-    def inside(df, who):
-        return merged(overlap_join(df, scored, ["rec"]).select("rec", who, "s", "e"), ["rec", who])
-
-    # each is read several times below
-    a, b = materialise(inside(seg, "spk")), materialise(inside(hypothesis(s, d), "hyp"))
-    both = materialise(overlap_length(a, b, ["rec"], ["rec", "spk", "hyp"]))
+    left_out = overlap_join(zones, domain(s, d), ["rec"]).select("rec", "s", "e")
+    none = F.lit(None).cast("string")
+    rows = a.select("rec", "spk", none.alias("hyp"), "s", "e").unionByName(b.select("rec", none.alias("spk"), "hyp", "s", "e")).unionByName(overlap_join(a, b, ["rec"]).select("rec", "spk", "hyp", "s", "e"))
+    end = domain(s, d).select("rec", F.col("e").alias("stop"))
+    rows = rows.join(end, "rec").withColumn("e", F.least("e", "stop")).filter("e > s").drop("stop")
+    off = overlap_join(rows, left_out, ["rec"]).select("rec", "spk", "hyp", (F.col("s") - F.col("e")).alias("n"))
+    lengths = rows.select("rec", "spk", "hyp", (F.col("e") - F.col("s")).alias("n")).unionByName(off).groupBy("rec", "spk", "hyp").agg(F.sum("n").alias("n")).filter("n > 0")
+    lengths = materialise(lengths)  # a few rows a recording, read several times below
+    la = lengths.filter("hyp IS NULL").select("rec", "spk", F.col("n").alias("x"))
+    lb = lengths.filter("spk IS NULL").select("rec", "hyp", F.col("n").alias("y"))
+    both = lengths.filter("spk IS NOT NULL AND hyp IS NOT NULL").withColumnRenamed("n", "overlap")
     chosen = X.best_mapping(both, "rec", "spk", "hyp", "overlap")
-    la = a.groupBy("rec", "spk").agg(F.sum(F.col("e") - F.col("s")).alias("x"))
-    lb = b.groupBy("rec", "hyp").agg(F.sum(F.col("e") - F.col("s")).alias("y"))
     j = la.join(chosen, ["rec", "spk"], "left").join(lb, ["rec", "hyp"], "left").join(both, ["rec", "spk", "hyp"], "left")
     o = F.coalesce("overlap", F.lit(0))
     value = M.ratio(o, F.col("x") + F.coalesce("y", F.lit(0)) - o)

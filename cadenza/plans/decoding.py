@@ -107,7 +107,17 @@ s AS (
   FROM s JOIN r ON r.clip = s.clip AND r.i = s.i + 1)
 SELECT clip, kind, sample FROM s WHERE kind IS NOT NULL"""
 
+_UNIT = "list_transform({v}, lambda x: x / greatest(sqrt(list_sum(list_transform({v}, lambda y: y * y))), 1e-300))"
+
 ORACLE = {
+    "ema_update": f"""WITH RECURSIVE x AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, {_UNIT.format(v='embedding::DOUBLE[]')} AS u FROM embeddings),
+st AS (SELECT label, n, u AS acc FROM x WHERE n = 1 UNION ALL
+  SELECT label, n, {_UNIT.format(v='m')} FROM (SELECT x.label, x.n, list_transform(list_zip(acc, u), lambda p: 0.9 * p[1] + 0.1 * p[2]) AS m FROM st JOIN x ON x.label = st.label AND x.n = st.n + 1))
+SELECT label, list_transform(arg_max(acc, n), lambda y: round(y, 6)) AS v FROM st GROUP BY label""",
+    "greedy_decode": f"""WITH {TOK}, l AS (SELECT clip, chunk, pos, CASE WHEN a = b OR 4 * c > 1 THEN a WHEN 4 * c < 1 THEN b ELSE least(a, b) END AS k
+  FROM (SELECT clip, chunk, pos, token % 9 AS a, token // 9 % 9 AS b, CASE WHEN conf IS NULL OR conf = 0 THEN 0.1 ELSE conf END AS c FROM tok)),
+g AS (SELECT *, lag(k) OVER (PARTITION BY clip, chunk ORDER BY pos) AS p FROM l)
+SELECT clip, chunk, coalesce(list(CAST(k AS INT) ORDER BY pos) FILTER (k <> 0 AND (p IS NULL OR p <> k)), []) AS labels FROM g GROUP BY clip, chunk""",
     "count_constraints": "SELECT g, CAST(least(greatest(1, least(n, 12)), greatest(1, least(n, g % 15))) AS INT) AS low, CAST(greatest(1, least(n, g % 15)) AS INT) AS high FROM (SELECT vec_id % 50 AS g, count(*) AS n FROM embeddings GROUP BY 1)",
     "arbitration": f"""WITH {TOK}, m AS (SELECT clip, count(*) FILTER (chunk % 3 = 0) AS a, count(*) FILTER (chunk % 3 = 2) AS c FROM tok GROUP BY clip)
 SELECT clip, CASE WHEN c / greatest(a, 1) >= 1.15 THEN 'C' WHEN c / greatest(a, 1) <= 0.9 THEN 'B' ELSE 'A' END AS kept FROM m""",

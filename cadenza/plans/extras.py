@@ -101,6 +101,11 @@ _SIG = "f AS (SELECT clip, frame, max(prob) AS prob FROM vad_frames WHERE clip I
 _CL = "cl AS (SELECT clip, total_samples AS total FROM (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY registered_at DESC) AS rn FROM clips) WHERE rn = 1 AND total_samples IS NOT NULL)"
 
 ORACLE = {
+    "resample_linear": """WITH f AS (SELECT clip, frame, max(prob) AS prob FROM vad_frames WHERE clip IS NOT NULL AND frame IS NOT NULL AND prob IS NOT NULL AND NOT isnan(prob) GROUP BY clip, frame),
+x AS (SELECT clip, list(prob ORDER BY frame) AS p, count(*) * 16 AS m FROM f GROUP BY clip),
+y AS (SELECT clip, p, m, CAST(floor(m * 16 / 24) AS BIGINT) AS n, unnest(range(CAST(floor(m * 16 / 24) AS BIGINT))) * 1.5::DOUBLE AS pos FROM x),
+z AS (SELECT clip, n, p[1 + CAST(floor(pos) AS BIGINT) // 16] AS a, p[1 + least(CAST(floor(pos) AS BIGINT) + 1, m - 1) // 16] AS b, pos - floor(pos) AS w FROM y)
+SELECT clip, CAST(n AS INT) AS n, round(avg(a + (b - a) * w), 6) AS mean FROM z GROUP BY clip, n""",
     "live_windows": """SELECT strftime(w, '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n
 FROM (SELECT event_type, unnest([time_bucket(INTERVAL 3 HOURS, ts::TIMESTAMP, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 3 HOURS, ts::TIMESTAMP, TIMESTAMP '1970-01-01') - INTERVAL 3 HOURS]) AS w FROM events) GROUP BY 1, 2""",
     "sample_slice": f"WITH {_SIG} SELECT clip, round(coalesce(16 * list_sum(p[3:6]), 0), 6) AS sum FROM g",

@@ -88,6 +88,12 @@ _SCRIPT = {"latin": r"[\x{20}-\x{7F}\x{A0}-\x{24F}\x{300}-\x{36F}\x{1E00}-\x{1EF
 _DW = "SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS l FROM documents WHERE text IS NOT NULL)"
 
 ORACLE = {
+    "segment_packing": r"""WITH RECURSIVE w AS (SELECT item_id, list_transform(list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> ''), lambda x: length(x)) AS l FROM eval_items WHERE text IS NOT NULL),
+st AS (SELECT item_id, l, 1 AS i, CAST(0 AS INT) AS bin, coalesce(l[1], 0) AS used, CASE WHEN len(l) > 0 THEN [CAST(0 AS INT)] ELSE CAST([] AS INT[]) END AS bins FROM w
+  UNION ALL
+  SELECT item_id, l, i + 1, CASE WHEN fits THEN bin ELSE bin + 1 END, CASE WHEN fits THEN used + l[i + 1] + 1 ELSE l[i + 1] END, list_append(bins, CASE WHEN fits THEN bin ELSE bin + 1 END)
+  FROM (SELECT *, used + l[i + 1] + 1 <= 40 AS fits FROM st WHERE i < len(l)))
+SELECT item_id, arg_max(bins, i) AS bins FROM st GROUP BY item_id""",
     "similarity_form": r"SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\s''-]', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM eval_items",
     "script_filter": "SELECT token, " + ", ".join(f"regexp_full_match(replace(piece, '▁', ''), '{p}*') AS {n}" for n, p in _SCRIPT.items()) + " FROM token_pieces",
     "script_topk": f"""WITH {TOK}, g AS (SELECT clip, token, count(*)::DOUBLE AS logit FROM tok GROUP BY 1, 2), p AS (SELECT g.*, piece, regexp_full_match(replace(piece, '▁', ''), '{_SCRIPT['latin']}*') AND piece LIKE '▁%' AS fits FROM g JOIN token_pieces USING (token)),

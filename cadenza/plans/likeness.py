@@ -177,6 +177,21 @@ SELECT word, term, CAST(levenshtein(word, term) AS INT) AS distance FROM dw, t W
 SELECT coalesce(rk.item_id, hk.item_id) AS item_id, count(*) FILTER (rk.word IS NOT NULL AND hk.word IS NOT NULL) AS tp, count(*) FILTER (rk.word IS NULL) AS fp, count(*) FILTER (hk.word IS NULL) AS fn
 FROM rk FULL JOIN hk ON rk.item_id = hk.item_id AND rk.word = hk.word GROUP BY 1""",
     "lookup_chain": f"""WITH {_W}, {_T} SELECT word, CASE WHEN term IS NOT NULL THEN upper(term) WHEN word LIKE '%s' THEN word[:-2] END AS value, CASE WHEN term IS NOT NULL THEN 0 WHEN word LIKE '%s' THEN 1 ELSE -1 END AS stage FROM (SELECT DISTINCT word FROM w) LEFT JOIN t ON term = word""",
+    # a dynamic program over the speakers and the set of labels that are taken gives the best total of a one-to-one mapping
+    "der_frames": f"""{SEG}, {merge_sql('a', 'seg', ['rec', 'spk'])}, {merge_sql('b', 'hyp', ['rec', 'hyp'])},
+fa AS (SELECT DISTINCT rec, spk, unnest(range(CAST(ceil(s / 10 - 0.5) AS BIGINT), CAST(ceil(e / 10 - 0.5) AS BIGINT))) AS f FROM a), fb AS (SELECT DISTINCT rec, hyp, unnest(range(CAST(ceil(s / 10 - 0.5) AS BIGINT), CAST(ceil(e / 10 - 0.5) AS BIGINT))) AS f FROM b),
+n AS (SELECT rec, f, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM (SELECT rec, f, count(*) AS x FROM fa GROUP BY rec, f) FULL JOIN (SELECT rec, f, count(*) AS y FROM fb GROUP BY rec, f) USING (rec, f)),
+co AS (SELECT rec, dense_rank() OVER (PARTITION BY rec ORDER BY spk) AS i, dense_rank() OVER (PARTITION BY rec ORDER BY hyp) - 1 AS j, count(*) AS w FROM fa JOIN fb USING (rec, f) GROUP BY rec, spk, hyp),
+dp AS (
+  SELECT DISTINCT rec, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS mask, CAST(0 AS BIGINT) AS v FROM co
+  UNION ALL
+  SELECT rec, i, mask, max(v) AS v FROM (
+    SELECT dp.rec, dp.i + 1 AS i, dp.mask, dp.v FROM dp WHERE EXISTS (SELECT 1 FROM co WHERE co.rec = dp.rec AND co.i > dp.i)
+    UNION ALL SELECT dp.rec, dp.i + 1, dp.mask + (1 << co.j), dp.v + co.w FROM dp JOIN co ON co.rec = dp.rec AND co.i = dp.i + 1 AND (dp.mask >> co.j) % 2 = 0) GROUP BY rec, i, mask),
+best AS (SELECT rec, max(v) AS v FROM dp GROUP BY rec)
+SELECT rec, CAST(sum(x) AS BIGINT) AS total, CAST(sum(greatest(x - y, 0)) AS BIGINT) AS missed, CAST(sum(greatest(y - x, 0)) AS BIGINT) AS false_alarm, CAST(sum(least(x, y)) - coalesce(max(best.v), 0) AS BIGINT) AS confusion,
+  round(CASE WHEN sum(x) > 0 THEN (sum(greatest(x, y)) - coalesce(max(best.v), 0)) / sum(x) ELSE 0 END, 6) AS error
+FROM n LEFT JOIN best USING (rec) GROUP BY rec""",
     "der_miss_fa": f"""{SEG}, {merge_sql('a', 'seg', ['rec', 'spk'])}, {merge_sql('b', 'hyp', ['rec', 'hyp'])},
 fa AS (SELECT DISTINCT rec, spk, unnest(range(CAST(ceil(s / 10 - 0.5) AS BIGINT), CAST(ceil(e / 10 - 0.5) AS BIGINT))) AS f FROM a), fb AS (SELECT DISTINCT rec, hyp, unnest(range(CAST(ceil(s / 10 - 0.5) AS BIGINT), CAST(ceil(e / 10 - 0.5) AS BIGINT))) AS f FROM b),
 n AS (SELECT rec, f, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM (SELECT rec, f, count(*) AS x FROM fa GROUP BY rec, f) FULL JOIN (SELECT rec, f, count(*) AS y FROM fb GROUP BY rec, f) USING (rec, f))

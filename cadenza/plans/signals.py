@@ -71,7 +71,51 @@ act AS (SELECT rec, spk, frame, sum(least(e, (frame + 1) * 100) - greatest(s, fr
 _TIMES = f"""{TOK}, tt AS (SELECT *, greatest(0, ts - 1) AS a, greatest(0, lead(ts) OVER w - 1) AS nx FROM tok WINDOW w AS (PARTITION BY clip ORDER BY ts, chunk, pos)),
 tm AS (SELECT *, a * 0.08 AS s, (CASE WHEN dur > 0 THEN a + dur ELSE greatest(coalesce(nx, a + 1), a + 1) END) * 0.08 AS e FROM tt)"""
 
+#: Quietest frame near a target (its energy, itself) and the upper median there, in seconds around it.
+_NEAR = """(SELECT {{'v': min(value), 'f': arg_min(frame, (value, frame)), 'm': list_sort(list(value))[1 + count(*) // 2]}} FROM lv WHERE lv.clip = st.clip
+    AND frame BETWEEN greatest(1, st.target // 1280 - {r}) AND least((st.total - 1) // 1280, st.target // 1280 + {r}) AND frame * 1280 > st.start AND frame * 1280 <= st.start + 232320)"""
+_STARTS = f"""WITH RECURSIVE {CLIPS}, {FRAMES}, lv AS (SELECT clip, unnest(generate_series(CAST(ceil(frame * 4096 / 1280) AS BIGINT), CAST(ceil((frame + 1) * 4096 / 1280) AS BIGINT) - 1)) AS frame, prob AS value FROM frames),
+st AS (
+  SELECT clip, total, 0 AS chunk, CAST(0 AS BIGINT) AS start, CAST(208000 AS BIGINT) AS target FROM cl
+  UNION ALL
+  SELECT clip, total, chunk + 1, CAST(CASE WHEN s > start THEN s ELSE least(start + 208000, total) END AS BIGINT), target + 208000 FROM (
+    SELECT *, CASE WHEN w.v <= 0.05 * greatest(0, w.m) THEN w.f * 1280 WHEN n.v <= 0.35 * greatest(0, n.m) THEN n.f * 1280
+      ELSE least(greatest(target // 1280 * 1280, start + 1280), start + 232320) END AS s
+    FROM (SELECT st.*, {_NEAR.format(r=50)} AS w, {_NEAR.format(r=6)} AS n FROM st WHERE st.target < st.total)))
+SELECT clip, chunk, start FROM st"""
+
+_VAD = S.VadConfig()
+_UP, _DOWN = _VAD.thresholds()
+_MOST = max(0, int(_VAD.max_speech * S.RATE) - S.FRAME - 2 * int(_VAD.pad * S.RATE)) if _VAD.max_speech != float("inf") else 2**60
+_PAD = int(_VAD.pad * S.RATE)
+#: The state machine as a recursion over a clip's frames: begin of open speech, begin and least value of the silence under way, pauses so far.
+_SPEECH = f"""WITH RECURSIVE f AS (SELECT clip, frame, max(CASE WHEN isnan(prob) THEN 0 ELSE prob END) AS prob FROM vad_frames WHERE clip IS NOT NULL AND frame IS NOT NULL GROUP BY clip, frame),
+ln AS (SELECT clip, max(frame) + 1 AS n FROM f GROUP BY clip),
+r AS (SELECT g.clip, n, g.i, coalesce(f.prob, 0) AS p FROM (SELECT clip, n, unnest(range(n)) AS i FROM ln) g LEFT JOIN f ON f.clip = g.clip AND f.frame = g.i),
+st AS (
+  SELECT clip, CAST(-1 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS start, CAST(NULL AS BIGINT) AS hush, CAST(1 AS DOUBLE) AS low, CAST([] AS STRUCT(len BIGINT, neg BIGINT, low DOUBLE)[]) AS cuts,
+    CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS z FROM ln
+  UNION ALL
+  SELECT clip, i, CASE WHEN closes THEN NULL ELSE s2 END, CASE WHEN closes THEN NULL ELSE h3 END, CASE WHEN closes THEN 1 ELSE l3 END, CASE WHEN closes THEN [] ELSE c3 END,
+    CASE WHEN over THEN s1 WHEN closes THEN s2 END, CASE WHEN over THEN coalesce(-best.neg, now) WHEN closes THEN h3 END
+  FROM (SELECT *, quiet AND now - h3 >= {int(_VAD.min_silence * S.RATE)} AS closes FROM (
+   SELECT *, p < {_DOWN} AND s2 IS NOT NULL AND NOT opened AS quiet, CASE WHEN p < {_DOWN} AND s2 IS NOT NULL AND NOT opened THEN coalesce(h2, now) ELSE h2 END AS h3,
+     CASE WHEN p < {_DOWN} AND s2 IS NOT NULL AND NOT opened THEN least(CASE WHEN h2 IS NULL THEN p ELSE l2 END, p) ELSE l2 END AS l3 FROM (
+    SELECT *, CASE WHEN NOT over THEN s1 WHEN best IS NOT NULL AND best.len - best.neg < now THEN best.len - best.neg END AS s2,
+      CASE WHEN over THEN NULL ELSE h1 END AS h2, CASE WHEN over THEN 1 ELSE l1 END AS l2, CASE WHEN over THEN [] ELSE c2 END AS c3 FROM (
+     SELECT *, s1 IS NOT NULL AND NOT opened AND now - s1 > {_MOST} AS over, coalesce(list_max(list_filter(c2, lambda x: x.low <= {_VAD.split_below})), list_max(c2)) AS best FROM (
+      SELECT r.clip, r.i, r.p, r.i * 4096 AS now, r.p >= {_UP} AND st.start IS NULL AS opened, CASE WHEN r.p >= {_UP} THEN coalesce(st.start, r.i * 4096) ELSE st.start END AS s1,
+        CASE WHEN r.p >= {_UP} THEN NULL ELSE st.hush END AS h1, CASE WHEN r.p >= {_UP} THEN 1 ELSE st.low END AS l1,
+        CASE WHEN r.p >= {_UP} AND r.i * 4096 - st.hush > {int(_VAD.min_silence_at_max * S.RATE)} THEN list_append(st.cuts, {{'len': r.i * 4096 - st.hush, 'neg': -st.hush, 'low': st.low}}) ELSE st.cuts END AS c2
+      FROM st JOIN r ON r.clip = st.clip AND r.i = st.i + 1)))))),
+e AS (SELECT clip, a, least(z, n * 4096) AS z, n * 4096 AS total FROM st JOIN ln USING (clip) WHERE a IS NOT NULL UNION ALL SELECT clip, start, n * 4096, n * 4096 FROM st JOIN ln USING (clip) WHERE i = n - 1 AND start IS NOT NULL),
+k AS (SELECT *, row_number() OVER w - 1 AS seg, lead(a) OVER w - z AS after, a - lag(z) OVER w AS before FROM e WHERE z - a >= {int(_VAD.min_speech * S.RATE)} AND z > a WINDOW w AS (PARTITION BY clip ORDER BY a))
+SELECT clip, CAST(seg AS INT) AS seg, a - CASE WHEN before IS NULL THEN least({_PAD}, a) WHEN before >= {2 * _PAD} THEN {_PAD} ELSE before // 2 END AS first,
+  z + CASE WHEN after IS NULL THEN least({_PAD}, total - z) WHEN after >= {2 * _PAD} THEN {_PAD} ELSE after // 2 END AS last FROM k"""
+
 ORACLE = {
+    "vad_segments": _SPEECH,
+    "silence_aligned_starts": _STARTS,
     "schmitt_segments": f"WITH {FRAMES}, {_ON} SELECT * FROM runs",
     "onset_offset_timeline": f"WITH {FRAMES}, {_LINE} SELECT clip, s AS first, e AS last FROM m",
     "timeline_final": f"WITH {FRAMES}, {_LINE}, z AS (SELECT clip, max(frame) + 1 AS z FROM frames GROUP BY clip) SELECT clip, s AS first, e AS last, e < z - 4 AS final FROM m JOIN z USING (clip)",

@@ -7,7 +7,7 @@ partition.  Query and domain being of one size, containment 1 means Jaccard 1,
 so a passage's MinHash signature is met by every window that contains it: the
 search loses nothing.  A window's signature is a rolling minimum over its words'
 hashes.  Windows whose signature is no passage's are dropped where they are made,
-by a bitmap of fixed size; the rest meet the passages in a join and are verified
+by a bitmap of bounded size; the rest meet the passages in a join and are verified
 word by word (exact containment of the passage's shingle).
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 ROWS = 4  # MinHash functions in a signature
-BITS = 22  # the bitmap has 2 ** BITS bits: 512 KB, however many passages there are
+BITS = (22, 28)  # the bitmap has 2 ** 22 to 2 ** 28 bits (512 KB to 32 MB), by the number of passages
 
 _FIND = re.compile(r"[^\W_]+").findall
 
@@ -106,11 +106,13 @@ def leaked_passages(docs: DataFrame, items: DataFrame, passage: int = 10) -> Dat
     """
     spark = docs.sparkSession
     queries = passages_of(items, passage)
-    mask = (1 << BITS) - 1
+    # at least 64 bits a passage, so that one window in 64 passes by chance, up to four million passages; beyond that more pass
+    bits_log = min(BITS[1], max(BITS[0], queries.count().bit_length() + 6))
+    mask = (1 << bits_log) - 1
     got = queries.select("size", F.col("sign").bitwiseAND(mask).cast("int").alias("bit")).distinct()
-    bits = got.select("bit").distinct().toArrow().column(0).to_numpy()  # at most 2 ** BITS numbers
+    bits = got.select("bit").distinct().toArrow().column(0).to_numpy()  # at most 2 ** 28 numbers, and as many as there are passages
     sizes = sorted(r[0] for r in got.select("size").distinct().collect())  # at most ``passage`` numbers
-    table = np.zeros(1 << (BITS - 3), np.uint8)
+    table = np.zeros(1 << (bits_log - 3), np.uint8)
     np.bitwise_or.at(table, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
     shared = spark.sparkContext.broadcast(table)
     kind = docs.schema["doc_id"].dataType.simpleString()

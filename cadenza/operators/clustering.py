@@ -66,6 +66,30 @@ def agglomerate(x: np.ndarray, similarity: float) -> list[int]:
     return renumbered(label)
 
 
+class Seeded:
+    """Random whole numbers that a seed fixes: a linear congruential generator of 64 bits; draws below a bound by its high product."""
+
+    # fixed values: multiplier and increment, as partitions depend on them
+    MULTIPLIER, INCREMENT = 6364136223846793005, 1442695040888963407
+
+    def __init__(self, seed: int):
+        self.state = seed
+
+    def below(self, n: int) -> int:
+        while True:
+            self.state = (self.state * self.MULTIPLIER + self.INCREMENT) % (1 << 64)
+            high, low = divmod(self.state * n, 1 << 64)
+            if low >= (1 << 64) % n:  # else the draw would favour small numbers
+                return high
+
+    def shuffled(self, n: int) -> list[int]:
+        order = list(range(n))
+        for i in range(n - 1):
+            j = i + self.below(n - i)
+            order[i], order[j] = order[j], order[i]
+        return order
+
+
 def kmeans(x: np.ndarray, k: int, seeds: int = 10, rounds: int = 100) -> tuple[list[int], float]:
     """Best of several seeded starts by inertia; rows as many as clusters or fewer keep their own labels. Empty clusters take a random row."""
     x = unit_rows(x)
@@ -73,22 +97,28 @@ def kmeans(x: np.ndarray, k: int, seeds: int = 10, rounds: int = 100) -> tuple[l
         return list(range(len(x))), 0.0
     best = None
     for seed in range(seeds):
-        rng = np.random.default_rng(seed)
-        centre, label = x[rng.permutation(len(x))[:k]].copy(), None
+        draw = Seeded(seed)
+        centre, label = x[draw.shuffled(len(x))[:k]].copy(), np.zeros(len(x), int)
         for _ in range(rounds):
-            d = ((x[:, None] - centre[None]) ** 2).sum(2)
-            new = d.argmin(1)
-            if label is not None and (new == label).all():
+            new = ((x[:, None] - centre[None]) ** 2).sum(2).argmin(1)
+            if (new == label).all():
                 break
             label = new
             for c in range(k):
-                centre[c] = x[label == c].mean(0) if (label == c).any() else x[rng.integers(len(x))]
+                centre[c] = x[label == c].mean(0) if (label == c).any() else x[draw.below(len(x))]
         inertia = float(((x - centre[label]) ** 2).sum())
         if best is None or inertia < best[1]:
             best = renumbered(label), inertia
     return best
 
 
+def within_bounds(x: np.ndarray, labels: list[int], low: int, high: int) -> list[int]:
+    """The partition, or one anew by k-means if its number of clusters lies outside the bounds: into the nearer bound."""
+    n = len(set(labels))
+    wanted = min(max(n, low), high)
+    return list(labels) if n == wanted else kmeans(x, wanted)[0]
+
+
 def variational(x: np.ndarray, phi: np.ndarray, start: list[int], fa: float = 0.07, fb: float = 0.8, rounds: int = 20, least: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Refines hard clusters by variational Bayes over ``x`` with between-class variances ``phi``: (responsibilities, weights)."""
     s, (t, d) = max(start) + 1, x.shape

@@ -287,15 +287,15 @@ def error_counts(df: DataFrame, key: str, hyp: str, ref: str) -> DataFrame:
 
     Empty references give a rate of 0; nulls count as empty; characters are compared without blanks.
     """
-    rows = df.select(key, F.coalesce(hyp, F.lit("")).alias("h"), F.coalesce(ref, F.lit("")).alias("r"))
+    h, r = F.coalesce(hyp, F.lit("")), F.coalesce(ref, F.lit(""))
+    a, b = F.replace(h, F.lit(" "), F.lit("")), F.replace(r, F.lit(" "), F.lit(""))
+    rows = df.select(key, h.alias("h"), r.alias("r"), F.when(F.length(b) > 0, F.levenshtein(a, b) / F.length(b)).otherwise(0.0).alias("cer"))
 
     def run(row):
-        h, r = row["h"].split(), row["r"].split()
-        c = edit_counts(h, r)
-        words = c["replaced"] + c["ref_only"] + c["hyp_only"]
-        a, b = row["h"].replace(" ", ""), row["r"].replace(" ", "")
-        chars = distance(list(a), list(b))
-        return [(c["equal"], c["replaced"], c["ref_only"], c["hyp_only"], words / len(r) if r else 0.0, chars / len(b) if b else 0.0)]
+        words = row["r"].split()
+        c = edit_counts(row["h"].split(), words)
+        errors = c["replaced"] + c["ref_only"] + c["hyp_only"]
+        return [(c["equal"], c["replaced"], c["ref_only"], c["hyp_only"], errors / len(words) if words else 0.0, row["cer"])]
 
     return fold(rows, [key], "equal int, replaced int, ref_only int, hyp_only int, wer double, cer double", run)
 

@@ -19,7 +19,7 @@ def keyed(s, d):
 
 
 def spoken(s, d):
-    r = F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), "[^a-z0-9' ]", " "), " +", " "))
+    r = F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{M}\p{N}' ]", " "), " +", " "))
     return table(s, d, "eval_items").select("item_id", r.alias("ref"), F.regexp_replace(F.regexp_replace(r, "er\\b", "ar"), "\\bthe ", "").alias("hyp"))
 
 

@@ -168,6 +168,9 @@ def blobs(s):
 for _name, _how in (("linkage", lambda x: C.agglomerate(x, 0.8)), ("kmeans", lambda x: C.kmeans(x, 3)[0]), ("variational", lambda x: C.variational(C.unit_rows(x) * 4, np.ones(x.shape[1]), [0, 0, 1, 1, 2], fa=1.0, fb=1.0)[0].argmax(1).tolist())):
     known(f"{_name}_groups", "g string, id int, label int", [("g", 0, 0), ("g", 1, 0), ("g", 2, 1), ("g", 3, 1), ("g", 4, 2)],
           lambda s, how=_how: (lambda df: df.select("g", "id", F.col(df.columns[-1]).alias("label")))(C.clustered(blobs(s), "g", "id", "v", how)))
+known("bounded_groups", "no int, result string", [(0, "0 | 0 | 1 | 1 | 2"), (1, "0 | 0 | 1 | 1 | 2"), (2, "0 | 0 | 0 | 0 | 0")], lambda s: s.createDataFrame([(0, 1, 5), (1, 3, 5), (2, 1, 1)], "no int, low int, high int").select(
+    "no", O.apply_text(F.concat_ws(",", "low", "high"), lambda t: " | ".join(map(str, C.within_bounds(
+        np.array([[1.0, 0.02, 0.0], [1.0, 0.0, 0.03], [0.0, 1.0, 0.02], [0.03, 1.0, 0.0], [0.0, 0.0, 1.0]]), [0, 0, 1, 1, 2] if t == "1,5" else [0] * 5 if t == "3,5" else [0, 0, 1, 1, 2], *map(int, t.split(",")))))).alias("result")))
 known("assigned_voices", "g string, id int, label int", [("g", 0, 0), ("g", 1, 0), ("g", 2, 1), ("g", 3, 1), ("g", 4, 2)],
       lambda s: (lambda df: df.select("g", "id", F.col(df.columns[-1]).alias("label")))(C.assigned(blobs(s).filter("v IS NOT NULL").withColumn("d", F.lit(2.0)), "g", "id", "id", "v", "d")))
 _SURE = [[0.05, 0.9, 0.05], [0.05, 0.9, 0.05], [0.9, 0.05, 0.05], [0.05, 0.9, 0.05], [0.05, 0.05, 0.9]]

@@ -27,12 +27,12 @@ def pieces(s, d):
 
 
 def item_words(s, d):
-    return items(s, d).select("item_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias("at", "word"))
+    return items(s, d).select("item_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("at", "word"))
 
 
 def model(s, d):
     """A bigram model counted on the documents: relative frequencies in logs, flat back-off."""
-    w = docs(s, d).filter("text IS NOT NULL").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias("at", "word"))
+    w = docs(s, d).filter("text IS NOT NULL").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("at", "word"))
     n = w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     total = n.agg(F.sum("n").alias("t"))
     uni = n.crossJoin(F.broadcast(total)).select("word", F.log(F.col("n") / F.col("t")).alias("lp"), F.lit(-1.0).alias("bo"))  # the total is one row
@@ -85,7 +85,7 @@ QUERIES = {
 
 _SCRIPT = {"latin": r"[\x{20}-\x{7F}\x{A0}-\x{24F}\x{300}-\x{36F}\x{1E00}-\x{1EFF}]", "cyrillic": r"[\x{20}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}\x{400}-\x{4FF}]",
            "greek": r"[\x{20}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}\x{300}-\x{36F}\x{370}-\x{3FF}\x{1F00}-\x{1FFF}]"}
-_DW = "SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS l FROM documents WHERE text IS NOT NULL)"
+_DW = r"SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS l FROM documents WHERE text IS NOT NULL)"
 
 ORACLE = {
     "segment_packing": r"""WITH RECURSIVE w AS (SELECT item_id, list_transform(list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> ''), lambda x: length(x)) AS l FROM eval_items WHERE text IS NOT NULL),
@@ -104,8 +104,8 @@ SELECT clip, CASE WHEN fits THEN token ELSE -1 END AS token, CASE WHEN fits THEN
     "capitals_kept": r"SELECT item_id, CASE WHEN regexp_matches(text, '^\p{Lu}') THEN 'Word' ELSE 'word' END AS word FROM eval_items",
     "tokens_to_text": f"WITH {TOK} SELECT clip, chunk, coalesce(trim(replace(string_agg(piece, '' ORDER BY pos), '▁', ' ')), '') AS text FROM tok LEFT JOIN token_pieces USING (token) GROUP BY clip, chunk",
     "initialisms": r"SELECT doc_id, word, trim(regexp_replace(word, '(.)', '\1 ', 'g')) AS spoken FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\b[A-Z]{2,5}\b')) AS word FROM documents)",
-    "replacement_floor": f"""SELECT item_id, CAST(i AS INT) AS "at", CASE WHEN word IN ({', '.join(repr(w) for w in [*X.FUNCTION_WORDS, *X.COMMON_WORDS])}) THEN NULL WHEN length(word) <= 4 THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS floor
-FROM (SELECT item_id, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS l FROM eval_items))""",
+    "replacement_floor": rf"""SELECT item_id, CAST(i AS INT) AS "at", CASE WHEN word IN ({', '.join(repr(w) for w in [*X.FUNCTION_WORDS, *X.COMMON_WORDS])}) THEN NULL WHEN length(word) <= 4 THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS floor
+FROM (SELECT item_id, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '\p{{L}}+') AS l FROM eval_items))""",
     "japanese_normalize": r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([二三四五六七八九])十([一二三四五六七八九])', '\1\2', 'g'), '十([一二三四五六七八九])', '一\1', 'g'), '([二三四五六七八九])十', '\1〇', 'g') AS t FROM documents WHERE coalesce(regexp_matches(lower(lang), '^ja([-_]|$)'), false) OR coalesce(regexp_matches(text, '[\x{3041}-\x{30ff}]'), false)),
 b AS (SELECT doc_id, replace(replace(replace(replace(t, '百', '100'), '千', '1000'), '万', '10000'), '十', '10') AS t FROM a)
 SELECT doc_id, lower(regexp_replace(translate(t, '０１２３４５６７８９〇零一二三四五六七八九', '012345678900123456789'), '[、。！？・…「」『』（）［］｛｝【】,.!?;:''"()\[\]{}\-\s\x{3000}]', '', 'g')) AS text FROM b""",
@@ -113,9 +113,9 @@ SELECT doc_id, lower(regexp_replace(translate(t, '０１２３４５６７８９
 u AS (SELECT doc_id, unnest(l) AS tag, generate_subscripts(l, 1) - 1 AS no FROM t)
 SELECT doc_id, CAST(no AS INT) AS no, lower(regexp_extract(tag, '^([\w-]+)', 1)) AS name, nullif(regexp_extract(tag, '\brate\s*=\s*["'']([^"'']*)', 1), '') AS rate, nullif(regexp_extract(tag, '\btime\s*=\s*["'']([^"'']*)', 1), '') AS time FROM u""",
     "json_props": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events",
-    "ngram_lm_score": f"""WITH w AS ({_DW}), n AS (SELECT word, count(*) AS n FROM w GROUP BY word), u AS (SELECT word, ln(n / (SELECT sum(n) FROM n)) AS lp FROM n),
+    "ngram_lm_score": rf"""WITH w AS ({_DW}), n AS (SELECT word, count(*) AS n FROM w GROUP BY word), u AS (SELECT word, ln(n / (SELECT sum(n) FROM n)) AS lp FROM n),
 p AS (SELECT context, word, count(*) AS c FROM (SELECT word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS context FROM w) WHERE context IS NOT NULL GROUP BY 1, 2), b AS (SELECT context, p.word, ln(c / n) AS lp FROM p JOIN n ON n.word = context),
-q AS (SELECT item_id, word, lag(word) OVER (PARTITION BY item_id ORDER BY i) AS context FROM (SELECT item_id, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS l FROM eval_items)))
+q AS (SELECT item_id, word, lag(word) OVER (PARTITION BY item_id ORDER BY i) AS context FROM (SELECT item_id, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '\p{{L}}+') AS l FROM eval_items)))
 SELECT item_id, round(sum(coalesce(b.lp, CASE WHEN o.word IS NOT NULL THEN -1.0 ELSE 0.0 END + coalesce(u.lp, -23.026))), 4) AS score
 FROM q LEFT JOIN b ON b.context = q.context AND b.word = q.word LEFT JOIN u ON u.word = q.word LEFT JOIN n o ON o.word = q.context GROUP BY item_id""",
 }

@@ -244,6 +244,13 @@ def test_clusterings():
     assert C.agglomerate(x[:1], 0.7) == [0] and C.agglomerate(np.vstack([x[0], x[0]]), 0.9) == [0, 0] and C.kmeans(x[:2], 5)[0] == [0, 1]
 
 
+def test_seeded_draws():
+    draw = C.Seeded(0)
+    assert [draw.below(10) for _ in range(3)] == [(s * 10) >> 64 for s in (1442695040888963407, (1442695040888963407 * 6364136223846793005 + 1442695040888963407) % 2**64,
+                                                                          (((1442695040888963407 * 6364136223846793005 + 1442695040888963407) % 2**64) * 6364136223846793005 + 1442695040888963407) % 2**64)]
+    assert sorted(C.Seeded(7).shuffled(50)) == list(range(50)) and C.Seeded(7).shuffled(50) == C.Seeded(7).shuffled(50)
+
+
 def test_registry_assigns_or_creates():
     r = C.Registry()
     a, b = np.eye(2, 8)

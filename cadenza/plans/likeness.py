@@ -144,7 +144,29 @@ _V = "vc AS (SELECT id, CASE WHEN NOT isnan(arg_max(CAST(duration AS DOUBLE), {u
 _VALID = "len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) > 0.1"
 _HITS = """{n} AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower({c}), '[a-z0-9_]+')) AS word FROM eval_items), {n}k AS (SELECT * FROM {n} WHERE word IN (SELECT word FROM w WHERE length(word) > 6))"""
 
+#: Pairs (i, j) of the one-to-one mapping of greatest total weight per recording, of ``co(rec, i, j, w)``: a dynamic program over the speakers and the set of labels that are taken.
+_MAPPED = """dp AS (
+  SELECT DISTINCT rec, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS mask, CAST(0 AS BIGINT) AS v, CAST([] AS BIGINT[]) AS path FROM co
+  UNION ALL
+  SELECT rec, i, mask, max(v) AS v, arg_max(path, v) AS path FROM (
+    SELECT dp.rec, dp.i + 1 AS i, dp.mask, dp.v, dp.path FROM dp WHERE EXISTS (SELECT 1 FROM co WHERE co.rec = dp.rec AND co.i > dp.i)
+    UNION ALL SELECT dp.rec, dp.i + 1, dp.mask + (1 << co.j), dp.v + co.w, list_append(dp.path, co.i * 100 + co.j) FROM dp JOIN co ON co.rec = dp.rec AND co.i = dp.i + 1 AND (dp.mask >> co.j) % 2 = 0) GROUP BY rec, i, mask),
+mapped AS (SELECT rec, p // 100 AS i, p % 100 AS j FROM (SELECT rec, unnest(arg_max(path, v)) AS p FROM dp GROUP BY rec))"""
+_POINTS = f"""{SEG}, {merge_sql('a', 'seg', ['rec', 'spk'])}, {merge_sql('b', 'hyp', ['rec', 'hyp'])},
+stop AS (SELECT rec, max(e) AS m FROM seg GROUP BY rec), zone AS (SELECT DISTINCT rec, unnest(range(x - 25, x + 25)) AS f FROM (SELECT rec, s AS x FROM seg UNION ALL SELECT rec, e FROM seg)),
+fa AS (SELECT rec, spk, f, dense_rank() OVER (PARTITION BY rec ORDER BY spk) AS i FROM (SELECT rec, spk, unnest(range(s, e)) AS f FROM a) ANTI JOIN zone USING (rec, f) JOIN stop USING (rec) WHERE f < m),
+fb AS (SELECT rec, hyp, f, dense_rank() OVER (PARTITION BY rec ORDER BY hyp) - 1 AS j FROM (SELECT rec, hyp, unnest(range(s, e)) AS f FROM b) ANTI JOIN zone USING (rec, f) JOIN stop USING (rec) WHERE f < m),
+co AS (SELECT rec, i, j, count(*) AS w FROM fa JOIN fb USING (rec, f) GROUP BY rec, i, j)"""
+
 ORACLE = {
+    "jer": f"""{_POINTS}, {_MAPPED}, la AS (SELECT rec, i, count(*) AS x FROM fa GROUP BY rec, i), lb AS (SELECT rec, j, count(*) AS y FROM fb GROUP BY rec, j),
+v AS (SELECT la.rec, coalesce(w, 0) / (x + coalesce(y, 0) - coalesce(w, 0)) AS v FROM la LEFT JOIN mapped USING (rec, i) LEFT JOIN lb ON lb.rec = la.rec AND lb.j = mapped.j LEFT JOIN co ON co.rec = la.rec AND co.i = la.i AND co.j = mapped.j
+  UNION ALL SELECT rec, 0 FROM lb ANTI JOIN mapped USING (rec, j))
+SELECT rec, round((1 - avg(v)) * 100, 4) AS jer FROM v GROUP BY rec""",
+    "optimal_assignment": f"""{SEG}, {merge_sql('a', 'seg', ['rec', 'spk'])}, {merge_sql('b', 'hyp', ['rec', 'hyp'])},
+fa AS (SELECT DISTINCT rec, spk, unnest(range(CAST(ceil(s / 10 - 0.5) AS BIGINT), CAST(ceil(e / 10 - 0.5) AS BIGINT))) AS f FROM a), fb AS (SELECT DISTINCT rec, hyp, unnest(range(CAST(ceil(s / 10 - 0.5) AS BIGINT), CAST(ceil(e / 10 - 0.5) AS BIGINT))) AS f FROM b),
+co AS (SELECT rec, dense_rank() OVER (PARTITION BY rec ORDER BY spk) AS i, dense_rank() OVER (PARTITION BY rec ORDER BY hyp) - 1 AS j, count(*) AS w FROM fa JOIN fb USING (rec, f) GROUP BY rec, spk, hyp), {_MAPPED}
+SELECT rec, count(*) AS pairs FROM mapped GROUP BY rec""",
     "embedding_valid": f"SELECT DISTINCT id, updated_at, coalesce({_VALID}, false) AS ok FROM speaker_params",
     "embedding_quality": "SELECT vec_id AS id, round(least(1, n / 10), 6) AS quality, round(n / sqrt(64), 6) AS rms FROM (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS n FROM embeddings)",
     "l2_normalise": "SELECT vec_id AS id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y))), 5)) AS v FROM embeddings",

@@ -109,7 +109,19 @@ SELECT clip, kind, sample FROM s WHERE kind IS NOT NULL"""
 
 _UNIT = "list_transform({v}, lambda x: x / greatest(sqrt(list_sum(list_transform({v}, lambda y: y * y))), 1e-300))"
 
+_PARTIALS = r"p AS (SELECT item_id, str_split(regexp_replace(text, '([.!?])[ \t\n\x0b\f\r]+', '\1' || chr(1), 'g'), chr(1)) AS x FROM eval_items WHERE text IS NOT NULL)"
+
 ORACLE = {
+    "stream_confirm": f"""WITH {_PARTIALS} SELECT item_id, CAST(i AS INT) AS no, trim(array_to_string(list_filter(x[:i], lambda t: t <> ''), ' ')) AS final, x[i + 1] AS tentative FROM (SELECT *, unnest(range(len(x))) AS i FROM p)""",
+    "stream_commit": rf"""WITH RECURSIVE {_PARTIALS}, st AS (
+  SELECT item_id, x, -1 AS no, '' AS done, '' AS ghost, CAST(NULL AS VARCHAR) AS reason FROM p
+  UNION ALL
+  SELECT item_id, x, no + 1, CASE WHEN no + 1 = len(x) THEN CASE WHEN ghost = '' THEN done WHEN done = '' OR done LIKE '% ' THEN done || ghost ELSE done || ' ' || ghost END
+      WHEN head <> '' THEN done || head || coalesce(nullif(regexp_extract(rest, '^\s+'), ''), ' ') ELSE done END,
+    CASE WHEN no + 1 = len(x) THEN '' WHEN head <> '' THEN regexp_replace(rest, '^\s+', '') ELSE t END,
+    CASE WHEN no + 1 = len(x) THEN CASE WHEN ghost <> '' THEN 'end' END WHEN head <> '' THEN 'punctuation' END
+  FROM (SELECT *, substr(t, length(head) + 1) AS rest FROM (SELECT *, coalesce(x[no + 2], '') AS t, regexp_extract(coalesce(x[no + 2], ''), '(?s)^.*[.!?。！？]') AS head FROM st WHERE no < len(x))))
+SELECT item_id, no, done, ghost, reason FROM st WHERE no >= 0""",
     "ema_update": f"""WITH RECURSIVE x AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, {_UNIT.format(v='embedding::DOUBLE[]')} AS u FROM embeddings),
 st AS (SELECT label, n, u AS acc FROM x WHERE n = 1 UNION ALL
   SELECT label, n, {_UNIT.format(v='m')} FROM (SELECT x.label, x.n, list_transform(list_zip(acc, u), lambda p: 0.9 * p[1] + 0.1 * p[2]) AS m FROM st JOIN x ON x.label = st.label AND x.n = st.n + 1))

@@ -3,6 +3,7 @@
 from pyspark.sql import Window as W, functions as F
 
 from cadenza.operators import sequences as Q
+from cadenza.operators.sharded import with_neighbours
 from cadenza.plans.evaluation import rounded
 from cadenza.plans.signals import TOK, tokens
 from cadenza.session import table
@@ -11,7 +12,9 @@ from cadenza.session import table
 def chunks(s, d):
     """Each chunk's tokens beside those of the clip's chunk before."""
     t = tokens(s, d).groupBy("clip", "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("cur"))
-    return t.withColumn("prev", F.lag("cur").over(W.partitionBy("clip").orderBy("chunk"))).filter("prev IS NOT NULL")
+    # by shards of chunks, as a clip may hold a large share of them
+    t = with_neighbours(t.filter("clip IS NOT NULL AND chunk IS NOT NULL").withColumn("_h", F.floor(F.col("chunk") / 64)), ["clip"], "_h", ["chunk"], before={"prev": "cur"})
+    return t.drop("_h").filter("prev IS NOT NULL")
 
 
 def keyed(s, d):

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import audio as A, sounds as P, spoken as K, vectors as V
 from cadenza.operators import matching as X, rescoring as Z, sequences as Q, texts as O
-from cadenza.operators.sessions import fold
+from cadenza.operators.sessions import fold, per_key
+from cadenza.operators.sharded import running_sum
 from cadenza.plans.decoding import VAD_EVENTS
 from cadenza.plans.evaluation import rounded
 from cadenza.plans.intervals import SEG, frames, segments
@@ -20,8 +21,8 @@ from cadenza.streaming import live, machines as S
 
 def signal(s, d):
     """Voice activity of a clip as a signal of 16 samples a frame."""
-    f = frames(s, d).groupBy("clip").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "prob"))), lambda x: x["prob"]).alias("x"))
-    return f.select("clip", F.flatten(F.transform("x", lambda p: F.array_repeat(p, 16))).alias("x"))
+    f = per_key(frames(s, d), ["clip"], "frame", ["prob"])
+    return f.select("clip", F.flatten(F.transform("prob", lambda p: F.array_repeat(p, 16))).alias("x"))
 
 
 def stream_of(s, d, name, schema):
@@ -54,9 +55,7 @@ def matrix_product(s, d):
 
 def nearest_words(s, d):
     w = segments(s, d).select("rec", F.monotonically_increasing_id().alias("k"), "spk", "s", "e")
-    from pyspark.sql import Window as W
-
-    w = w.withColumn("n", F.row_number().over(W.partitionBy("rec").orderBy("s", "e", "spk"))).select("rec", "n", "s", "e")
+    w = running_sum(w.withColumn("h", F.floor(F.col("s") / 60_000)), ["rec"], "h", ["s", "e", "spk", "k"], F.lit(1), "n").select("rec", F.col("n").cast("int").alias("n"), "s", "e")
     windows = w.groupBy("rec").agg(F.max("e").alias("m")).select("rec", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"), F.lit(1000).cast("long"))).alias("win")).select("rec", "win", F.col("win").alias("s"), (F.col("win") + 100).alias("e"))
     return X.words_in_window(w, windows, "rec")
 

@@ -107,7 +107,7 @@ QUERIES = lexical(words, terms) | {f"{n}_whole": q for n, q in lexical(whole_wor
         whole_words(s, d).filter("length(word) > 6").select("word"), "item_id", WORD),
     "embedding_valid": lambda s, d: table(s, d, "speaker_params").select("id", "updated_at", V.is_embedding(F.col("embedding")).alias("ok")).distinct(),
     "embedding_quality": lambda s, d: rounded(vecs(s, d).select("id", V.quality(F.col("v")).alias("quality"), V.rms(F.col("v")).alias("rms"))),
-    "l2_normalise": lambda s, d: vecs(s, d).select("id", F.transform(V.l2(F.col("v")), lambda x: F.round(x, 5)).alias("v")),
+    "l2_normalise": lambda s, d: vecs(s, d).select("id", F.transform(V.l2(F.col("v")), lambda x: F.round(x, 5) + 0.0).alias("v")),
     "softmax": lambda s, d: rounded(vecs(s, d).select("id", F.round(V.log_sum_exp(F.col("v")), 6).alias("lse"), F.array_max(V.softmax(F.col("v"))).alias("top"))),
     "log_softmax": lambda s, d: rounded(vecs(s, d).select("id", F.array_max(V.log_softmax(F.col("v"), 0.5)).alias("top"))),
     "interpolate": lambda s, d: vecs(s, d).select("id", F.transform(V.resample(F.col("v"), F.lit(96)), lambda x: F.round(x, 5) + 0.0).alias("v")),
@@ -169,7 +169,7 @@ co AS (SELECT rec, dense_rank() OVER (PARTITION BY rec ORDER BY spk) AS i, dense
 SELECT rec, count(*) AS pairs FROM mapped GROUP BY rec""",
     "embedding_valid": f"SELECT DISTINCT id, updated_at, coalesce({_VALID}, false) AS ok FROM speaker_params",
     "embedding_quality": "SELECT vec_id AS id, round(least(1, n / 10), 6) AS quality, round(n / sqrt(64), 6) AS rms FROM (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS n FROM embeddings)",
-    "l2_normalise": "SELECT vec_id AS id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y))), 5)) AS v FROM embeddings",
+    "l2_normalise": "SELECT vec_id AS id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y))), 5) + 0.0) AS v FROM embeddings",
     "softmax": "SELECT vec_id AS id, round(ln(z), 6) AS lse, round(exp(list_max(embedding)::DOUBLE) / z, 6) AS top FROM (SELECT *, list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE)))) AS z FROM embeddings)",
     "log_softmax": "SELECT vec_id AS id, round(list_max(embedding)::DOUBLE * 2 - ln(list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE) * 2)))), 6) AS top FROM embeddings",
     "interpolate": """WITH p AS (SELECT vec_id, embedding, i, greatest(0.0, least(63.0, (i + 0.5) / 1.5 - 0.5)) AS pos FROM embeddings, range(96) r(i))

@@ -69,7 +69,7 @@ _LINE = f"{_ON}, padded AS (SELECT clip, first - 1 AS s, last + 1 AS e FROM runs
 _ACT = f"""{merge_sql('m', 'seg', ['rec', 'spk'])}, fr AS (SELECT rec, spk, s, e, unnest(generate_series(s // 100, (e - 1) // 100)) AS frame FROM m),
 act AS (SELECT rec, spk, frame, sum(least(e, (frame + 1) * 100) - greatest(s, frame * 100)) / 100 AS activity FROM fr GROUP BY rec, spk, frame)"""
 _TIMES = f"""{TOK}, tt AS (SELECT *, greatest(0, ts - 1) AS a, greatest(0, lead(ts) OVER w - 1) AS nx FROM tok WINDOW w AS (PARTITION BY clip ORDER BY ts, chunk, pos)),
-tm AS (SELECT *, a * 0.08 AS s, (CASE WHEN dur > 0 THEN a + dur ELSE greatest(coalesce(nx, a + 1), a + 1) END) * 0.08 AS e FROM tt)"""
+tm AS (SELECT *, a * 0.08::DOUBLE AS s, (CASE WHEN dur > 0 THEN a + dur ELSE greatest(coalesce(nx, a + 1), a + 1) END) * 0.08::DOUBLE AS e FROM tt)"""
 
 #: Quietest frame near a target (its energy, itself) and the upper median there, in seconds around it.
 _NEAR = """(SELECT {{'v': min(value), 'f': arg_min(frame, (value, frame)), 'm': list_sort(list(value))[1 + count(*) // 2]}} FROM lv WHERE lv.clip = st.clip
@@ -130,7 +130,7 @@ SELECT rec, spk, min(frame) AS s, max(frame) + 1 AS e, round(greatest(0, least(1
     "hop_windows": f"WITH {CLIPS} SELECT clip, CAST(i AS INT) AS chunk, i * 128000 AS start, least(i * 128000 + 160000, total) AS \"end\" FROM (SELECT clip, total, unnest(generate_series(0, greatest(0, (total - 1) // 128000))) AS i FROM cl)",
     "context_windows": f"WITH {CLIPS} SELECT clip, CAST(i AS INT) AS chunk, greatest(0, i * 128000 - 160000) AS first, i * 128000 AS centre, least(i * 128000 + 160000, total) AS last FROM (SELECT clip, total, unnest(generate_series(0, greatest(0, (total - 1) // 128000))) AS i FROM cl)",
     "token_timings": f"WITH {_TIMES} SELECT clip, chunk, pos, round(s, 6) AS s, round(e, 6) AS e FROM tm",
-    "prefix_sum_timing": f"WITH {TOK}, u AS (SELECT *, sum(dur) OVER (PARTITION BY clip ORDER BY chunk, pos ROWS UNBOUNDED PRECEDING) AS z FROM tok) SELECT clip, chunk, pos, round((z - dur) * 0.0125, 6) AS s, round(z * 0.0125, 6) AS e FROM u",
+    "prefix_sum_timing": f"WITH {TOK}, u AS (SELECT *, sum(dur) OVER (PARTITION BY clip ORDER BY chunk, pos ROWS UNBOUNDED PRECEDING) AS z FROM tok) SELECT clip, chunk, pos, round((z - dur) * 0.0125::DOUBLE, 6) AS s, round(z * 0.0125::DOUBLE, 6) AS e FROM u",
     "word_assembly": f"""WITH {_TIMES}, p AS (SELECT tm.*, piece FROM tm JOIN token_pieces USING (token) WHERE piece NOT IN ('', '<blank>', '<pad>')),
 n AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY ts, chunk, pos) AS n FROM p),
 w AS (SELECT *, sum(CASE WHEN n = 1 OR piece[1] IN ('▁', ' ') THEN 1 ELSE 0 END) OVER (PARTITION BY clip ORDER BY n ROWS UNBOUNDED PRECEDING) AS word_no FROM n),

@@ -91,13 +91,57 @@ def phrase_readings(raw: bytes) -> dict[str, list[str]]:
     return out
 
 
+def r_coloured(syllables: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """``er`` after another syllable colours it (``zher``) and is no syllable of its own; at the beginning and after ``er`` it stays."""
+    joins = [k > 0 and base == "er" and syllables[k - 1][0] not in ("er", "") for k, (base, _) in enumerate(syllables)] + [False]
+    return [(base + "r" if joins[k + 1] else base, tone) for k, (base, tone) in enumerate(syllables) if not joins[k]]
+
+
+# Phonetic signs of initials and finals.
+INITIALS = {
+    "b": "ㄅ", "p": "ㄆ", "m": "ㄇ", "f": "ㄈ", "d": "ㄉ", "t": "ㄊ", "n": "ㄋ", "l": "ㄌ", "g": "ㄍ", "k": "ㄎ", "h": "ㄏ", "j": "ㄐ", "q": "ㄑ", "x": "ㄒ",
+    "zh": "ㄓ", "ch": "ㄔ", "sh": "ㄕ", "r": "ㄖ", "z": "ㄗ", "c": "ㄘ", "s": "ㄙ"}
+FINALS = {
+    "a": "ㄚ", "o": "ㄛ", "e": "ㄜ", "ai": "ㄞ", "ei": "ㄟ", "ao": "ㄠ", "ou": "ㄡ", "an": "ㄢ", "en": "ㄣ", "ang": "ㄤ", "eng": "ㄥ", "er": "ㄦ", "ong": "ㄨㄥ",
+    "i": "ㄧ", "ia": "ㄧㄚ", "ie": "ㄧㄝ", "iao": "ㄧㄠ", "iu": "ㄧㄡ", "ian": "ㄧㄢ", "in": "ㄧㄣ", "iang": "ㄧㄤ", "ing": "ㄧㄥ", "iong": "ㄩㄥ",
+    "u": "ㄨ", "ua": "ㄨㄚ", "uo": "ㄨㄛ", "uai": "ㄨㄞ", "ui": "ㄨㄟ", "uan": "ㄨㄢ", "un": "ㄨㄣ", "uang": "ㄨㄤ", "ueng": "ㄨㄥ", "v": "ㄩ", "ve": "ㄩㄝ", "van": "ㄩㄢ", "vn": "ㄩㄣ"}
+
+
+def bopomofo(base: str, tone: int) -> str | None:
+    """A numbered syllable in phonetic signs with its tone; r-coloured ones end in ㄦ; None for what isn't a syllable.
+
+    Spellings with y, w, and with u for ü after j, q and x are taken back to their finals; the vowel of ``zhi``, ``si`` and the like isn't written.
+    """
+    coloured = base.endswith("r") and base != "er"
+    plain = base[:-1] if coloured else base
+    initial = next((plain[:n] for n in (2, 1) if plain[:n] in INITIALS), "")
+    final = plain[len(initial) :]
+    if not initial and plain[:1] == "y":
+        rest = plain[1:]
+        final = "v" + rest[1:] if rest[:1] == "u" else "iu" if rest == "ou" else rest if rest[:1] == "i" else "i" + rest
+    elif not initial and plain[:1] == "w":
+        final = {"wei": "ui", "wen": "un", "weng": "ueng", "wu": "u"}.get(plain, "u" + plain[1:])
+    elif initial in ("j", "q", "x") and final[:1] == "u":
+        final = "v" + final[1:]
+    if initial in ("zh", "ch", "sh", "r", "z", "c", "s") and final == "i":
+        signs = ""
+    elif (signs := FINALS.get(final)) is None:
+        return None
+    return f"{INITIALS.get(initial, '')}{signs}{'ㄦ' if coloured else ''}{tone}"
+
+
 def read_aloud(text: str, phrases: dict[str, list[str]], singles: dict[str, list[str]]) -> list[tuple[str, int]]:
-    """Numbered syllables of a Chinese text by longest phrase, then single character (first reading), with tone changes; other characters are left out."""
+    """Numbered syllables of a Chinese text by longest phrase, then single character (first reading); other characters are left out.
+
+    Tone changes and r-colouring stay within a stretch of characters that have readings.
+    """
     from cadenza.functions.spoken import longest_matches
 
-    out: list[tuple[str, int]] = []
+    stretches: list[list[tuple[str, int]]] = [[]]
     known = {k: "" for k in phrases} | {k: "" for k in singles}
     for part, hit in longest_matches(text, known):
-        if hit is not None:
-            out += [numbered(p) for p in (phrases.get(part) or singles[part][:1])]
-    return tones(out)
+        if hit is None:
+            stretches.append([])
+        else:
+            stretches[-1] += [numbered(p) for p in (phrases.get(part) or singles[part][:1])]
+    return [s for stretch in stretches for s in tones(r_coloured(stretch))]

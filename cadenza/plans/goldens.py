@@ -235,3 +235,8 @@ known("json_sink", "value string", [('{"file":"f","n":1,"wer":null}',)], lambda
 known("rttm_sink", "value string", [("SPEAKER m 1 1.00 1.25 <NA> <NA> s <NA> <NA>",)], lambda s: _written(s, lambda p: sinks.rttm(s.createDataFrame([("m", "s", 1.0, 2.25)], "rec string, spk string, s double, e double"), p)))
 known("embedding_sink", "id string, n int", [("a", 2)], lambda s: (lambda p: (sinks.embeddings(s.createDataFrame([("a", [1.0, 2.0])], "id string, v array<double>"), p), s.read.parquet(p))[1].select("id", F.size("v").alias("n")))(f"{shared_dir(s)}/cadenza-{uuid.uuid4().hex}"))
 by_case("tone_marks", lambda c: [f"{b}{n}" for b, n in P.read_aloud(c, {"不": ["bù"], "一": ["yī"], "你好": ["nǐ", "hǎo"]}, {})], [("你好", "ni2 | hao3")])
+by_case("r_colouring", lambda c: [f"{b}{n}" for b, n in P.r_coloured([tuple(x) for x in c])], [
+    ([["zhe", 4], ["er", 5]], "zher4"), ([["xiao", 3], ["hai", 2], ["er", 5]], "xiao3 | hair2"), ([["er", 2], ["zi", 5]], "er2 | zi5"), ([["zhe", 4], ["er", 5], ["er", 5]], "zher4 | er5"), ([], "")])
+by_case("phonetic_signs", lambda c: P.bopomofo(*c) or "", [
+    (["zhong", 1], "ㄓㄨㄥ1"), (["guo", 2], "ㄍㄨㄛ2"), (["shi", 4], "ㄕ4"), (["xu", 1], "ㄒㄩ1"), (["yuan", 2], "ㄩㄢ2"), (["you", 3], "ㄧㄡ3"), (["ying", 1], "ㄧㄥ1"), (["wei", 4], "ㄨㄟ4"), (["weng", 1], "ㄨㄥ1"),
+    (["er", 2], "ㄦ2"), (["nv", 3], "ㄋㄩ3"), (["jiong", 3], "ㄐㄩㄥ3"), (["hair", 2], "ㄏㄞㄦ2"), (["yi", 1], "ㄧ1"), (["wu", 3], "ㄨ3"), (["xyz", 1], "")])

@@ -187,6 +187,28 @@ def test_numbers():
     assert K.speak_numbers(None) is None and K.speak_numbers("") == ""
 
 
+def test_spelled_digits():
+    spelled = {
+        "in 21 rooms": "in twenty one rooms", "30 000 and 1\u00a0000\u00a0000": "thirty thousand and one million", "800\u2009000, 5\u2007000, 7\u202f001": "eight hundred thousand, five thousand, seven thousand one",
+        "007 v2": "seven vtwo", "0": "zero", "12 34": "twelve thirty four", "\u0663": "\u0663", "9" * 30: "9" * 30, "1" + " 000" * 5: "1" + " 000" * 5, "1" + " 000" * 4: "one trillion", "none": "none", "": ""}
+    for text, want in spelled.items():
+        assert K.spell_digits(text) == want
+    assert K.spell_digits(None) is None
+
+
+def test_spelled_digits_of_every_item(spark):
+    import __spark_entry__ as entry
+    from cadenza.session import table
+
+    d = "/root/testdata/sf0.001"
+    texts = {r["item_id"]: r["text"] for r in table(spark, d, "eval_items").collect()}
+    got = {r["item_id"]: r["text"] for r in entry.queries()["spell_digits"](spark, d).collect()}
+    assert got.keys() == texts.keys() and any(c.isdigit() for t in texts.values() for c in t or "")
+    for i, t in texts.items():
+        words = None if t is None else "".join(K.cardinal(int("".join(run))) if number else "".join(run) for number, run in itertools.groupby(t, str.isdigit))
+        assert got[i] == words  # no numbers of several groups in this table
+
+
 def test_say_as_and_markup():
     cases = [("12/25/2007", "date", "mdy", "December twenty fifth two thousand seven"), ("25/12/1905", "date", "dmy", "December twenty fifth nineteen oh five"), ("13/45", "date", "md", "13/45"),
              ("1'21\"", "time", None, "one minute twenty one seconds"), ("3:00", "time", None, "three o'clock"), ("3/4", "fraction", None, "three quarters"), ("1/2", "fraction", None, "one half"),

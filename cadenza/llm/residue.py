@@ -4,9 +4,9 @@ Character n-gram models (hashed, bytes of the lower-cased text) are fitted for
 filler, for notices, for unfilled slots and for natural prose.  Slots have a
 second model over shapes (runs of letters and of digits as one sign each), which
 knows a slot by its brackets, whatever name stands in them.  The models start
-from the phrases below and are fitted on a bounded sample of the documents:
-prose counts all of it, filler and notices learn from texts recognised as a
-whole.  Then one scan judges every document:
+from the phrases below and are fitted on all documents: prose counts every one,
+filler and notices learn from texts recognised as a whole.  Then one more scan
+judges every document:
 
 * likelihood ratios are averaged over windows; filler and notices are the end of
   a text (or all of it) that such windows cover;
@@ -34,7 +34,8 @@ SHAPES, SHORT, SHORT_SHAPES = 1 << 17, 4, 2  # buckets of shapes; n-grams in a s
 CHUNK = 1 << 20  # bytes that are scored together
 BACKOFF, SLOT_BACKOFF = 0.03, 0.2  # share of a residue model that is prose
 EVIDENCE, COVERED, SLOT, SLOT_SHAPE, SLOT_SURE = 12.0, 0.35, 2.25, 3.0, 3.5  # least evidence and coverage of residue in place of content; least mean ratios of a slot's window
-FIT_ROWS = 20_000
+LEAST, MOST, LEVEL = -3.5, 6.0, 2.5  # bounds of a ratio, and of a window's mean as evidence
+WHOLE, WHOLE_SHARE, WHOLE_COVERED = 30.0, 0.95, 0.8  # least evidence, share and coverage of a text recognised as a whole
 
 # Phrases of pages that hold no content.
 LATIN = """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua
@@ -114,6 +115,9 @@ class Laid:
         raw[(raw >= 48) & (raw <= 57)] = 48
         return cls(raw, np.fromiter(map(len, parts), np.int64, len(parts)))
 
+    def of_documents(self, which: np.ndarray) -> Laid:
+        return Laid(self.raw[np.repeat(which, self.size)], self.size[which])
+
     def shapes(self) -> tuple[Laid, np.ndarray]:
         """The same documents with one sign for a run of letters or digits, and where in the bytes each sign begins."""
         x = self.raw.copy()
@@ -146,17 +150,34 @@ class Grams:
             inside[np.maximum(ends - i, ends - laid.size)] = False
         return cls((h & np.uint32(buckets - 1)).astype(np.int32)[inside[:n]], np.maximum(laid.size - ORDER + 1, 0))
 
+    def of_documents(self, which: np.ndarray) -> Grams:
+        return Grams(self.code[np.repeat(which, self.size)], self.size[which])
+
     @property
     def edge(self) -> np.ndarray:
         return np.concatenate([[0], np.cumsum(self.size)])
 
 
+def running(x: np.ndarray, kind: type = np.float64) -> np.ndarray:
+    """Sums of the values before each position, and of all."""
+    out = np.zeros(len(x) + 1, kind)
+    np.cumsum(x, dtype=kind, out=out[1:])
+    return out
+
+
 def smooth(x: np.ndarray, edge: np.ndarray, before: int, after: int) -> np.ndarray:
     """Means over windows from ``before`` a position to ``after`` it, cut off at the document's ends."""
-    total = np.concatenate([[0], np.cumsum(x, dtype=np.float64)])
-    size, at = np.diff(edge), np.arange(len(x))
-    a, b = np.maximum(at - before, np.repeat(edge[:-1], size)), np.minimum(at + after, np.repeat(edge[1:], size))
-    return (total[b] - total[a]) / (b - a)
+    total, n = running(x), len(x)
+    out = np.empty(n)
+    if n >= before + after:
+        out[before : n - after + 1] = (total[before + after :] - total[: n + 1 - before - after]) / (before + after)
+    first, last = edge[:-1, None], edge[1:, None]
+    at = np.hstack([first + np.arange(before), last - np.arange(1, after)])  # windows that reach beyond their document
+    doc, _ = inside = np.nonzero((at >= first) & (at < last))
+    at = at[inside]
+    a, b = np.maximum(at - before, edge[doc]), np.minimum(at + after, edge[doc + 1])
+    out[at] = (total[b] - total[a]) / (b - a)
+    return out
 
 
 def sentence_starts(raw: np.ndarray) -> np.ndarray:
@@ -184,7 +205,7 @@ def best_ends(laid: Laid, grams: Grams, filler: np.ndarray, notice: np.ndarray)
     at = np.concatenate([edge[:-1], edge[doc[n:]] + (starts - offset[np.searchsorted(offset, starts, "right") - 1])[ok]])
     order = np.lexsort((at, doc))
     doc, at = doc[order], at[order]
-    sums, above, more = (np.concatenate([[0], np.cumsum(x, dtype=np.float64)]) for x in (both.clip(-2.5, 2.5), both > 0, f - e))
+    sums, above, more = running(both.clip(-LEVEL, LEVEL)), running(both > 0, np.int64), running(f - e)
     value = sums[edge[doc + 1]] - sums[at]
     most = np.maximum.reduceat(value, np.searchsorted(doc, np.arange(n)))
     here = np.flatnonzero(value == most[doc])
@@ -193,6 +214,24 @@ def best_ends(laid: Laid, grams: Grams, filler: np.ndarray, notice: np.ndarray)
     return most, (above[edge[1:]] - above[at]) / length, (edge[1:] - at) / np.maximum(grams.size, 1), more[edge[1:]] - more[at] > 0
 
 
+def recognised(laid: Laid, grams: Grams, filler: np.ndarray, notice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each document is filler, or a notice, as a whole.
+
+    Windows are laid only over documents that can be, which loses none.  The evidence of all of a document is at least
+    ``WHOLE`` less what a start outside ``WHOLE_SHARE`` takes off; it is at most the sum of the greater ratio of each
+    n-gram, but for n-grams within a window of the ends, which count 0.3 more or less in the windows cut off there.
+    """
+    upper = running(np.maximum(np.maximum(filler, notice), -LEVEL)[grams.code])[grams.edge]
+    least = WHOLE - LEVEL * (1 - WHOLE_SHARE) * grams.size - 0.3 * MOST * 2 * WINDOW
+    maybe = (grams.size < 2 * WINDOW) | (np.diff(upper) >= least)
+    out = np.zeros((2, len(maybe)), bool)
+    if maybe.any():
+        evidence, covered, share, is_filler = best_ends(laid.of_documents(maybe), grams.of_documents(maybe), filler, notice)
+        sure = (share >= WHOLE_SHARE) & (covered >= WHOLE_COVERED) & (evidence >= WHOLE)
+        out[:, maybe] = sure & is_filler, sure & ~is_filler
+    return out[0], out[1]
+
+
 def slot_windows(laid: Laid, grams: Grams, slot: np.ndarray, shape: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By document: bytes at which a short window begins whose mean ratio shows a slot, and whether it does so by its bytes beyond doubt."""
     offset, found = np.concatenate([[0], np.cumsum(laid.size)]), []
@@ -277,7 +316,7 @@ def known_phrases() -> dict[str, list[list[str]]]:
 def ratios(share: np.ndarray, prose: np.ndarray, backoff: float = BACKOFF) -> np.ndarray:
     """Log likelihood ratio of each bucket; the residue model backs off to prose."""
     p = (prose + 0.5) / (prose.sum() + 0.5 * len(prose))
-    return np.log(backoff + (1 - backoff) * share / p).clip(-3.5, 6).astype(np.float32)
+    return np.log(backoff + (1 - backoff) * share / p).clip(LEAST, MOST).astype(np.float32)
 
 
 def chunks(keys: list, texts: list):
@@ -296,7 +335,7 @@ def chunks(keys: list, texts: list):
 
 
 def fitted(rows: DataFrame, phrases: dict, rounds: int) -> dict[str, np.ndarray]:
-    """Ratios of the models, learnt from the sample ``rows`` (key, text)."""
+    """Ratios of the models, learnt from ``rows`` (text)."""
     spark = rows.sparkSession
 
     def summed(label) -> dict[str, np.ndarray]:
@@ -304,7 +343,7 @@ def fitted(rows: DataFrame, phrases: dict, rounds: int) -> dict[str, np.ndarray]
         def run(batches):
             totals: dict[str, np.ndarray] = {}
             for batch in batches:
-                for _, texts in chunks([None] * batch.num_rows, batch.column(1).to_pylist()):
+                for _, texts in chunks([None] * batch.num_rows, batch.column(0).to_pylist()):
                     laid = Laid.of(texts)
                     grams = Grams.of(laid, BUCKETS)
                     for name, which in label(laid, grams).items():
@@ -333,19 +372,14 @@ def fitted(rows: DataFrame, phrases: dict, rounds: int) -> dict[str, np.ndarray]
     for _ in range(rounds):
         known = spark.sparkContext.broadcast((ratios(model["filler"], rest), ratios(model["notice"], rest)))
 
-        def whole(laid, grams, known=known):
-            evidence, covered, share, filler = best_ends(laid, grams, *known.value)
-            sure = (share >= 0.95) & (covered >= 0.8) & (evidence >= 30)
-            return {"filler": sure & filler, "notice": sure & ~filler}
-
-        learnt = summed(whole)
+        learnt = summed(lambda laid, grams, known=known: dict(zip(("filler", "notice"), recognised(laid, grams, *known.value))))
         # what was learnt leaves the prose model
         rest = np.maximum(prose - sum(learnt.values()), 0)
         model = {k: mixed(start[k], learnt[k]) if k in learnt else start[k] for k in start}
     return {"filler": ratios(model["filler"], rest), "notice": ratios(model["notice"], rest), "slot": ratios(model["slot"], rest, SLOT_BACKOFF), "shape": ratios(model["shape"], shape)}
 
 
-def residue(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 2, fit_rows: int = FIT_ROWS, phrases: dict | None = None) -> DataFrame:
+def residue(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 2, fit_rows: int | None = None, phrases: dict | None = None) -> DataFrame:
     """``key, window, slot, in_place, evidence, covered`` of documents with residue, by the models and windows.
 
     ``window``: a short window shows a slot; ``slot``: the exact check agrees; ``in_place``: filler, an error or a
@@ -354,16 +388,22 @@ def residue(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: in
     * null, empty and blank texts have none; repeated keys and rows stay as they are;
     * texts are scanned whole, whatever their length; an empty table gives an empty result; extra columns are ignored.
 
-    The models are fitted on about ``fit_rows`` documents, chosen by the hash of their key; their counts are tables of
-    fixed size (2 ** 19 buckets a model).  Every document is judged, in one scan.
+    The models are fitted on all documents, in ``rounds`` + 1 scans; their counts are tables of fixed size (2 ** 19
+    buckets a model).  Every document is judged, in one more scan.  Only a caller who asks for it by ``fit_rows`` has
+    the models of about that many documents, chosen by the hash of their key.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    share = min(1.0, fit_rows / max(1, docs.count()))
-    sample = materialise(rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))))
-    tables = spark.sparkContext.broadcast(fitted(sample, phrases or known_phrases(), rounds))
-    drop(sample)
+    phrases = phrases or known_phrases()
+    if fit_rows is None:
+        models = fitted(rows.select("text"), phrases, rounds)
+    else:
+        share = min(1.0, fit_rows / max(1, docs.count()))
+        sample = materialise(rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))).select("text"))
+        models = fitted(sample, phrases, rounds)
+        drop(sample)
+    tables = spark.sparkContext.broadcast(models)
 
     def judge(batches):
         known = tables.value

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from cadenza.llm.leaks import leak_report, leaked_items, leaked_passages
-from cadenza.llm.residue import BUCKETS, Grams, Laid, best_ends, known_phrases, residue, residue_documents, windowed_residue, without_residue
+from cadenza.llm.residue import BUCKETS, WINDOW, Grams, Laid, best_ends, known_phrases, ratios, recognised, residue, residue_documents, seeds, smooth, windowed_residue, without_residue
 from cadenza.llm.tokens import VOCABULARY, Vocabulary, encode_texts, load_ranks
 
 DOCS = "doc_id long, text string, ids string, slot int, sign int"
@@ -143,6 +143,44 @@ def test_models_fitted_on_a_sample_judge_every_document(spark):
     assert min(found) >= start and len(found) >= len(RESIDUE) - 1
 
 
+def test_models_are_fitted_on_all_documents(spark):
+    rng = random.Random(7)
+    words = " ".join(PROSE[:2]).split()
+    table = docs(spark, [" ".join(rng.choices(words, k=12)) for _ in range(24_000)] + RESIDUE).cache()
+    by_default, by_all = ({r["doc_id"]: (r["slot"], r["in_place"], r["evidence"]) for r in residue(table, **p).collect()} for p in ({}, {"fit_rows": table.count()}))
+    assert by_default == by_all and by_default
+
+
+def test_window_means_by_hand():
+    rng = np.random.default_rng(4)
+    for sizes in ([0, 3, 1, 40, 0, 100, 17], [5], [64], []):
+        edge = np.concatenate([[0], np.cumsum(np.array(sizes, int))])
+        x = rng.normal(size=edge[-1]).astype(np.float32)
+        for before, after in ((16, 16), (0, 4), (0, 2)):
+            want = [x[max(i - before, a) : min(i + after, b)].mean(dtype=float) for a, b in zip(edge, edge[1:]) for i in range(a, b)]
+            assert np.allclose(smooth(x, edge, before, after), want, rtol=0, atol=1e-9)
+
+
+def test_whole_documents_are_recognised_as_by_windows_over_all():
+    rng = np.random.default_rng(5)
+    known = known_phrases()
+    start, residues = seeds(known), [*RESIDUE, *known["filler"][0], *known["notice"][2]]
+    texts = [p[: rng.integers(0, len(p))] + "\n" + " ".join(rng.choice(residues, rng.integers(1, 12))) for p in PROSE * 20] + PROSE + residues
+    laid = Laid.of(texts)
+    grams = Grams.of(laid, BUCKETS)
+    prose = np.bincount(grams.code, minlength=BUCKETS)
+    found = set()
+    for shift in (-2, -1, 0, 1):  # from few to almost all
+        pairs = [[ratios(start[k], prose) + np.float32(shift) for k in ("filler", "notice")], [rng.uniform(-3.5, 6, BUCKETS).astype(np.float32) + np.float32(shift) for _ in "ab"]]
+        for filler, notice in (np.clip(p, -3.5, 6) for p in pairs):
+            evidence, covered, share, is_filler = best_ends(laid, grams, filler, notice)
+            sure = (share >= 0.95) & (covered >= 0.8) & (evidence >= 30)
+            got = recognised(laid, grams, filler, notice)
+            assert (got[0] == (sure & is_filler)).all() and (got[1] == (sure & ~is_filler)).all()
+            found.add(int(sure.sum()))
+    assert len(found) > 3 and max(grams.size) > 4 * WINDOW
+
+
 def test_laid_documents_score_as_each_alone():
     rng = np.random.default_rng(3)
     texts = ["Short.", "x", *PROSE, *RESIDUE, "日本。 次の文\n終わり"]
